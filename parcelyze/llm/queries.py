@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
+from .decontaminate import contamination, contamination_digest
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 
 
@@ -18,6 +21,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=4, num=80, den=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' words inside benchmark windows of 13 words."""
+    return contamination_digest(contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document for weights 5, 2, 1 over the sources and 150 % of all words."""
+    return mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, ceiling=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_source_mixing": op9_source_mixing,
+}
 #: Where SQL can express a query on whole tables.
-SQL: dict[str, str | None] = {}
+SQL: dict[str, str | None] = {"op7_benchmark_decontamination": sql.CONTAMINATION, "op9_source_mixing": sql.MIXING}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .decontaminate import contamination, contamination_digest
+from .language import identify_languages
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 
@@ -21,6 +22,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=4, num=80, den=100)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from four fifths of the labelled ones."""
+    return identify_languages(_read(spark, sf_dir, "documents"), folds=5, held_out=0, most_rows=4000)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words inside benchmark windows of 13 words."""
     return contamination_digest(contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13))
@@ -33,6 +39,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_id": op2_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
 }

@@ -11,6 +11,7 @@ from .decontaminate import contamination, contamination_digest
 from .language import identify_languages
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .toxicity import score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,11 +38,17 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, ceiling=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from three quarters of the labelled ones."""
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=4, held_out=2, threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 #: Where SQL can express a query on whole tables.
 SQL: dict[str, str | None] = {"op7_benchmark_decontamination": sql.CONTAMINATION, "op9_source_mixing": sql.MIXING}

@@ -11,6 +11,7 @@ from .decontaminate import contamination, contamination_digest
 from .language import identify_languages
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .pii import personal_data, pii_digest
 from .toxicity import score_toxicity
 
 
@@ -28,6 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_read(spark, sf_dir, "documents"), folds=5, held_out=0, most_rows=4000)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document: base spans and those that bootstrapped patterns add."""
+    return pii_digest(personal_data(_read(spark, sf_dir, "documents")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words inside benchmark windows of 13 words."""
     return contamination_digest(contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13))
@@ -46,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
+    "op5_pii": op5_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,

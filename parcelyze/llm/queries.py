@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .decontaminate import contamination, contamination_digest
 from .language import identify_languages
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .nearest import nearest_neighbours
 from .pii import personal_data, pii_digest
 from .toxicity import score_toxicity
 
@@ -39,6 +41,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_digest(contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all others, by inner product."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document for weights 5, 2, 1 over the sources and 150 % of all words."""
     return mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, ceiling=2.0).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op5_pii": op5_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
 }

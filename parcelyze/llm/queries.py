@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .decontaminate import contamination, contamination_digest
 from .language import identify_languages
+from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .nearest import nearest_neighbours
@@ -31,6 +32,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_read(spark, sf_dir, "documents"), folds=5, held_out=0, most_rows=4000)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of each document under a word-pair model of nine tenths of them."""
+    return score_texts(_read(spark, sf_dir, "documents"), folds=10, held_out=0)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in each document: base spans and those that bootstrapped patterns add."""
     return pii_digest(personal_data(_read(spark, sf_dir, "documents")))
@@ -60,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_nearest_neighbours": op8_nearest_neighbours,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .nearest import nearest_neighbours
 from .pii import personal_data, pii_digest
+from .token_files import tokens_of
 from .toxicity import score_toxicity
 
 
@@ -42,6 +44,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(personal_data(_read(spark, sf_dir, "documents")))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written range-coded and read back."""
+    return tokens_of(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words inside benchmark windows of 13 words."""
     return contamination_digest(contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13))
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
+    "op6_token_files": op6_token_files,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_source_mixing": op9_source_mixing,

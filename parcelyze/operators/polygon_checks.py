@@ -1,0 +1,80 @@
+"""Checks of polygon components as column expressions, windows and joins.
+
+Components: (feature_index, layer, rings, area_m2, minx, miny, maxx, maxy); rings are closed and finite.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import SLIVER_COMPACTNESS, Options
+from ..functions.geometry import compactness, orientation, perimeter
+
+
+def ring_orientation(components: DataFrame) -> DataFrame:
+    """(feature_index, ring_index, code): exteriors are to be counter-clockwise, holes clockwise."""
+    r = components.select("feature_index", F.posexplode("rings").alias("ring_index", "ring")).withColumn("turn", orientation(F.col("ring")))
+    wanted = F.when(F.col("ring_index") == 0, "ccw").otherwise("cw")
+    code = F.when(F.col("turn") == "indeterminate", "INDETERMINATE_RING_ORIENTATION").when(F.col("turn") != wanted, "INCORRECT_RING_ORIENTATION")
+    return r.select("feature_index", "ring_index", code.alias("code")).where("code is not null")
+
+
+def zero_area(components: DataFrame) -> DataFrame:
+    return components.where("area_m2 = 0").select("feature_index", F.lit("ZERO_AREA_POLYGON").alias("code"))
+
+
+def tiny(components: DataFrame, options: Options) -> DataFrame:
+    """Areas above 0 and strictly below the threshold."""
+    return components.where((F.col("area_m2") > 0) & (F.col("area_m2") < options.area_m2)).select("feature_index", "area_m2", F.lit("TINY_POLYGON").alias("code"))
+
+
+def slivers(components: DataFrame, options: Options) -> DataFrame:
+    """(feature_index, area_m2, perimeter_m, compactness, reason) of small or thin polygons with an area."""
+    c = components.where("area_m2 > 0").withColumn("perimeter_m", perimeter(F.col("rings")))
+    c = c.withColumn("compactness", compactness(F.col("area_m2"), F.col("perimeter_m")))
+    reason = F.when(F.col("area_m2") < options.area_m2, "Area").when(F.col("compactness") < SLIVER_COMPACTNESS, "Compactness")
+    return c.select("feature_index", "area_m2", "perimeter_m", "compactness", reason.alias("reason")).where("reason is not null")
+
+
+def collapsed(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(feature_index, baseline_area_m2, reason) of components that had an area and now are missing or have none."""
+    now = current.select("feature_index", F.col("area_m2").alias("now"))
+    was = baseline.where("area_m2 > 0").select("feature_index", F.col("area_m2").alias("baseline_area_m2"))
+    reason = F.when(F.col("now").isNull(), "Missing").when(F.col("now") <= 0, "ZeroArea")
+    return was.join(now, "feature_index", "left").select("feature_index", "baseline_area_m2", reason.alias("reason")).where("reason is not null")
+
+
+def duplicate_vertices(vertices: DataFrame, sequence: str, position: str, key: str) -> DataFrame:
+    """(sequence, position, previous, consecutive) of vertices whose key came before in their sequence."""
+    same = Window.partitionBy(sequence, key).orderBy(position)
+    v = vertices.select(sequence, position, key).withColumn("previous", F.lag(position).over(same))
+    return v.where("previous is not null").select(sequence, position, "previous", (F.col(position) - F.col("previous") == 1).alias("consecutive"))
+
+
+def rounding_collisions(values: DataFrame, sequence: str, position: str, exact: str, rounded: str) -> DataFrame:
+    """(sequence, position, first_exact) of values that round to what another value of their sequence rounded to first."""
+    same = Window.partitionBy(sequence, rounded).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return values.withColumn("first_exact", F.first(exact).over(same)).where(F.col(exact) != F.col("first_exact")).select(sequence, position, "first_exact")
+
+
+def dimension_consistency(positions: DataFrame, sequence: str, position: str, size: str) -> DataFrame:
+    """(sequence, position, expected, received, code): sizes differ from the first valid one before, or are below two."""
+    before = Window.partitionBy(sequence).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    valid = F.when(F.col(size) >= 2, F.col(size))
+    p = positions.withColumn("expected", F.first(valid, ignorenulls=True).over(before))
+    code = F.when(F.col(size) < 2, "INVALID_POSITION_DIMENSION").when(F.col("expected") != F.col(size), "INCONSISTENT_POSITION_DIMENSION")
+    return p.select(sequence, position, "expected", F.col(size).alias("received"), code.alias("code")).where("code is not null")
+
+
+def exact_duplicates(components: DataFrame) -> DataFrame:
+    """(feature_index, kept_index): components with the rings of another one of their layer; the least index is kept."""
+    same = Window.partitionBy("layer", F.xxhash64("rings"), "rings")
+    return components.withColumn("kept_index", F.min("feature_index").over(same)).where("feature_index <> kept_index").select("feature_index", "kept_index")
+
+
+def quarantined(features: DataFrame, unsafe: DataFrame, geometry: str) -> DataFrame:
+    """All features, in place; the geometry of those in ``unsafe`` (feature_index) is null."""
+    marked = unsafe.select("feature_index").distinct().withColumn("_unsafe", F.lit(True))
+    held = F.when(F.col("_unsafe").isNull(), F.col(geometry))
+    return features.join(marked, "feature_index", "left").withColumn(geometry, held).drop("_unsafe")

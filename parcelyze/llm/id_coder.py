@@ -24,6 +24,8 @@ _ESCAPE_BITS = 16
 _STEP = 24  # what a right prediction adds to its weight
 _LIMIT = 4000  # weights are halved beyond
 _FIELD, _HALF, _ONES = 0xFFFF, 0x7FFF7FFF7FFF7FFF, 0x0001000100010001
+_F_HALF, _F_TWELVE = np.float32(0.5), np.float32(12)
+_RUNNING = np.triu(np.ones((GROUP, GROUP), np.float32))  # running sums as a product
 _START = 2 | 2 << 16 | 8 << 32 | 8 << 48
 
 
@@ -34,8 +36,8 @@ class Model:
         self.next2 = np.zeros(lanes * TABLE2, np.int32)
         self.next1 = np.zeros(lanes * TABLE1, np.int32)
         self.cache = np.full(lanes * CACHE, -1, np.int32)
-        self.count = np.ones(lanes * CACHE, np.int32)
-        self.group = np.full(lanes * GROUP, CACHE // GROUP, np.int32)
+        self.count = np.ones(lanes * CACHE, np.float32)  # whole numbers below 2^24: exact
+        self.group = np.full(lanes * GROUP, CACHE // GROUP, np.float32)
         self.weight = np.full(lanes * 16, _START, np.int64)  # of order 2, order 1, order 0 and the escape, by confidences
         self.last = np.zeros(lanes, np.int64)
         self.last2 = np.zeros(lanes, np.int64)
@@ -85,7 +87,7 @@ class Model:
         self.next1[self.at1] = np.where(right1, self.p1 + ((self.p1 & 3) < 3), np.where((self.p1 & 3) < 2, packed, self.p1 - 1 - (self.p1 & 1)))
         # A new id takes over its slot and half of the slot's count.
         old = self.count.take(slot, mode="clip")
-        new = np.where(right0, old + 24, (old >> 1) + 12)
+        new = np.where(right0, old + _STEP, np.floor(old * _F_HALF) + _F_TWELVE)
         self.cache[slot] = ids
         self.count[slot] = new
         at = slot >> 4
@@ -95,17 +97,17 @@ class Model:
         if len(full):
             lanes = np.unique(at[full] // GROUP)
             view = self.count.reshape(self.lanes, CACHE)
-            view[lanes] = (view[lanes] >> 1) + 1
+            view[lanes] = np.floor(view[lanes] * _F_HALF) + 1
             self.group.reshape(self.lanes, GROUP)[lanes] = view[lanes].reshape(len(lanes), GROUP, -1).sum(axis=2)
         self.last2, self.last = self.last, ids
 
     def group_ends(self, some: np.ndarray) -> np.ndarray:
         """Running sums of the cache's groups in some lanes."""
-        return np.cumsum(self.group.reshape(self.lanes, GROUP).take(some, axis=0), axis=1)
+        return (self.group.reshape(self.lanes, GROUP).take(some, axis=0) @ _RUNNING).astype(np.int64)
 
     def member_ends(self, group: np.ndarray) -> np.ndarray:
         """Running sums of the counts within some groups (numbered over all lanes)."""
-        return np.cumsum(self.count.reshape(-1, CACHE // GROUP).take(group, axis=0), axis=1)
+        return (self.count.reshape(-1, CACHE // GROUP).take(group, axis=0) @ _RUNNING).astype(np.int64)
 
 
 class _Encoder:
@@ -188,7 +190,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         if len(some):
             at = slot[some]
             groups, members, line = model.group_ends(some), model.member_ends(at >> 4), np.arange(len(some))
-            width = model.count[at]
+            width = model.count[at].astype(np.int64)
             g = (at >> 4) & (GROUP - 1)
             begin = groups[line, g] - members[:, -1] + members[line, at & 15] - width
             enc.put(some, begin, width, groups[:, -1])
@@ -271,7 +273,7 @@ def decode(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             before = groups[line, g] - members[:, -1]
             k = (members <= (v - before)[:, None]).sum(axis=1)
             at = model.base0[some] + g * 16 + k
-            width = model.count[at]
+            width = model.count[at].astype(np.int64)
             dec.take(some, before + members[line, k] - width, width)
             x[some] = model.cache[at]
         some = np.flatnonzero(~by0)

@@ -38,6 +38,7 @@ MAGIC = b"PTK1"
 BLOCK_IDS = 4096
 SEGMENT_IDS = 6 << 20
 _CACHE_PIECES = 1 << 20
+_TOGETHER = 64
 
 _CLASS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other ASCII, 4 beyond
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -104,9 +105,26 @@ class PieceTokenizer:
             return
         data = raw.tobytes()
         texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(length.sum()))
+        # Pieces that are one word to the tokenizer go in groups; word numbers tell their ids apart.
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"]
+        odd = sorted(set(range(len(texts))) - set(plain))
+        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        length = np.zeros(len(texts), np.int64)
+        parts: list[tuple[list[int], np.ndarray]] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
+            count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
+            if len(count) != len(group):
+                odd += group
+                continue
+            length[group] = count
+            parts.append((group, np.array(e.ids, np.uint16)))
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
+            length[i] = len(e.ids)
+            parts.append(([i], np.array(e.ids, np.uint16)))
+        ends_in = np.cumsum(length)
+        flat = np.zeros(int(ends_in[-1]), np.uint16)
+        for group, ids in parts:
+            flat[joined_ranges(ends_in[group] - length[group], length[group])] = ids
         place = len(self.store) + np.cumsum(length) - length
         order = np.argsort(known := np.concatenate([self.known, names]), kind="stable")
         self.known = known[order]

@@ -1,14 +1,512 @@
-"""All queries of the engine by name, with SQL that gives the same rows."""
+"""All queries of the engine by name, with SQL that gives the same rows.
+
+The lattice of ``lattice.py`` stands for a parcel dataset, ``events`` for upload activity and job events, ``documents`` and
+``orders`` for files and articles, ``customer`` for users.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Options
+from ..functions import geometry as g
+from ..functions import text as t
+from ..operators import pair_checks, polygon_checks
+from ..operators.components import components as connected
+from ..streaming import events as ev
+from ..tables import written
+from . import lattice, reports
+from .dry_run import dry_run, issue_groups, summary
+from .lattice import PARCELS_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str | None] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Issue groups of a dry run over the lattice."""
+    run = dry_run(lattice.features_json(spark, sf_dir), Options())
+    return issue_groups(run.issues).select("check", "code", "issue_count", "affected_feature_count", "disposition")
+
+
+_P = "WITH " + PARCELS_SQL
+_R = "6371008.8"
+_AREA = f"({_R} * {_R} * abs(radians(x1 / 1e6) - radians(x0 / 1e6)) * abs(sin(radians(y1 / 1e6)) - sin(radians(y0 / 1e6))))"
+
+
+def _hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    lon1, lat1, lon2, lat2 = (f"({x})" for x in (lon1, lat1, lon2, lat2))
+    return f"(2 * {_R} * asin(least(1.0, sqrt(power(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+
+
+_PERIMETER = f"(2 * {_hav('0.0', 'y0 / 1e6', '0.0', 'y1 / 1e6')} + {_hav('x0 / 1e6', 'y0 / 1e6', 'x1 / 1e6', 'y0 / 1e6')} + {_hav('x0 / 1e6', 'y1 / 1e6', 'x1 / 1e6', 'y1 / 1e6')})"
+
+
+_COARSE = Options(tolerance_mm=1000)
+#: Line items as the vertices of their order's sequence; line numbers repeat.
+_POSITION = "(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000)"
+
+
+# ---- scalar geometry --------------------------------------------------------------------------------------------
+
+
+@query(_P + f" SELECT parcel_id AS feature_index, round({_AREA}, 3) AS area_m2 FROM parcels")
+def parcel_area(spark, sf_dir):
+    return lattice.features(spark, sf_dir).select("feature_index", F.round("area_m2", 3).alias("area_m2"))
+
+
+@query(_P + f" SELECT parcel_id AS feature_index, round({_PERIMETER}, 3) AS perimeter_m, round(4 * pi() * {_AREA} / power({_PERIMETER}, 2), 6) AS compactness FROM parcels")
+def parcel_perimeter_compactness(spark, sf_dir):
+    around = g.perimeter(F.col("rings"))
+    return lattice.features(spark, sf_dir).select("feature_index", F.round(around, 3).alias("perimeter_m"), F.round(g.compactness(F.col("area_m2"), around), 6).alias("compactness"))
+
+
+@query(f"SELECT c_custkey, round({_hav('51.0 + (c_custkey % 100) * 0.01', '35.0 + (c_custkey % 77) * 0.01', '51.0 + n_nationkey * 0.03', '35.0 + n_regionkey * 0.05')}, 3) AS distance_m FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def haversine_distance(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    here = g.haversine(51.0 + (F.col("c_custkey") % 100) * 0.01, 35.0 + (F.col("c_custkey") % 77) * 0.01, 51.0 + F.col("n_nationkey") * 0.03, 35.0 + F.col("n_regionkey") * 0.05)
+    return c.select("c_custkey", F.round(here, 3).alias("distance_m"))
+
+
+@query(
+    _P
+    + """ SELECT parcel_id AS feature_index, round(x0 / 1e6 - 5.0 / (111320.0 * greatest(0.01, cos(radians(y1 / 1e6)))), 9) AS minx, round(y0 / 1e6 - 5.0 / 110574.0, 9) AS miny,
+  round(x1 / 1e6 + 5.0 / (111320.0 * greatest(0.01, cos(radians(y1 / 1e6)))), 9) AS maxx, round(y1 / 1e6 + 5.0 / 110574.0, 9) AS maxy FROM parcels"""
+)
+def expand_bounds(spark, sf_dir):
+    f = lattice.features(spark, sf_dir)
+    wide = g.expand(*map(F.col, ("minx", "miny", "maxx", "maxy")), F.lit(5.0))
+    return f.select("feature_index", *[F.round(c, 9).alias(n) for c, n in zip(wide, ("minx", "miny", "maxx", "maxy"))])
+
+
+# ---- checks of single features ----------------------------------------------------------------------------------
+
+
+@query(
+    _P
+    + """ SELECT parcel_id AS feature_index, 0 AS ring_index, CASE WHEN y0 = y1 THEN 'INDETERMINATE_RING_ORIENTATION' ELSE 'INCORRECT_RING_ORIENTATION' END AS code
+  FROM parcels WHERE y0 = y1 OR winding = 'cw'"""
+)
+def ring_orientation_check(spark, sf_dir):
+    return polygon_checks.ring_orientation(lattice.features(spark, sf_dir))
+
+
+@query(_P + " SELECT parcel_id AS feature_index, 'ZERO_AREA_POLYGON' AS code FROM parcels WHERE y0 = y1")
+def zero_area_polygons(spark, sf_dir):
+    return polygon_checks.zero_area(lattice.features(spark, sf_dir))
+
+
+@query(_P + f" SELECT parcel_id AS feature_index, round({_AREA}, 3) AS area_m2, 'TINY_POLYGON' AS code FROM parcels WHERE y1 > y0 AND {_AREA} < 100")
+def tiny_polygons(spark, sf_dir):
+    return polygon_checks.tiny(lattice.features(spark, sf_dir), _COARSE).withColumn("area_m2", F.round("area_m2", 3))
+
+
+@query(
+    _P
+    + f""", m AS (SELECT parcel_id, {_AREA} AS a, {_PERIMETER} AS p FROM parcels WHERE y1 > y0)
+SELECT parcel_id AS feature_index, round(a, 3) AS area_m2, round(p, 3) AS perimeter_m, round(4 * pi() * a / (p * p), 6) AS compactness,
+  CASE WHEN a < 0.0625 THEN 'Area' ELSE 'Compactness' END AS reason FROM m WHERE a < 0.0625 OR 4 * pi() * a / (p * p) < 0.1"""
+)
+def sliver_detection(spark, sf_dir):
+    s = polygon_checks.slivers(lattice.features(spark, sf_dir), Options())
+    return s.select("feature_index", F.round("area_m2", 3).alias("area_m2"), F.round("perimeter_m", 3).alias("perimeter_m"), F.round("compactness", 6).alias("compactness"), "reason")
+
+
+@query(
+    f"""WITH v AS (SELECT l_orderkey, {_POSITION} AS position, l_partkey % 3 AS vertex, lag({_POSITION}) OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY {_POSITION}) AS previous FROM lineitem)
+SELECT l_orderkey, position, previous, position - previous = 1 AS consecutive FROM v WHERE previous IS NOT NULL"""
+)
+def duplicate_vertices(spark, sf_dir):
+    v = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_POSITION).alias("position"), (F.col("l_partkey") % 3).alias("vertex"))
+    return polygon_checks.duplicate_vertices(v, "l_orderkey", "position", "vertex")
+
+
+@query(
+    """WITH v AS (SELECT user_id, event_id, value, first_value(value) OVER (PARTITION BY user_id, floor(value / 5) ORDER BY event_id) AS first_exact FROM events)
+SELECT user_id, event_id, first_exact FROM v WHERE value <> first_exact"""
+)
+def rounding_collisions(spark, sf_dir):
+    v = _read(spark, sf_dir, "events").select("user_id", "event_id", "value", F.floor(F.col("value") / 5).alias("cell"))
+    return polygon_checks.rounding_collisions(v, "user_id", "event_id", "value", "cell")
+
+
+@query("SELECT event_id, value FROM events WHERE abs(value * 10 - round(value * 10)) > 1e-6")
+def excess_precision(spark, sf_dir):
+    return _read(spark, sf_dir, "events").where(F.abs(F.col("value") * 10 - F.round(F.col("value") * 10)) > 1e-6).select("event_id", "value")
+
+
+@query(
+    f"""WITH v AS (SELECT l_orderkey, {_POSITION} AS position, CAST(1 + l_suppkey % 3 AS INTEGER) AS received FROM lineitem),
+w AS (SELECT *, first_value(CASE WHEN received >= 2 THEN received END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected FROM v)
+SELECT l_orderkey, position, expected, received, CASE WHEN received < 2 THEN 'INVALID_POSITION_DIMENSION' ELSE 'INCONSISTENT_POSITION_DIMENSION' END AS code
+FROM w WHERE received < 2 OR expected <> received"""
+)
+def dimension_consistency(spark, sf_dir):
+    v = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_POSITION).alias("position"), (1 + F.col("l_suppkey") % 3).cast("int").alias("size"))
+    return polygon_checks.dimension_consistency(v, "l_orderkey", "position", "size")
+
+
+@query(
+    _P
+    + f""" SELECT parcel_id AS feature_index, round({_AREA}, 3) AS baseline_area_m2, CASE WHEN parcel_id % 5 = 0 THEN 'Missing' ELSE 'ZeroArea' END AS reason
+  FROM parcels WHERE y1 > y0 AND (parcel_id % 5 = 0 OR parcel_id % 4 = 0)"""
+)
+def collapsed_polygons(spark, sf_dir):
+    before = lattice.features(spark, sf_dir)
+    after = before.where("feature_index % 5 <> 0").withColumn("area_m2", F.when(F.col("feature_index") % 4 == 0, 0.0).otherwise(F.col("area_m2")))
+    return polygon_checks.collapsed(before, after).withColumn("baseline_area_m2", F.round("baseline_area_m2", 3))
+
+
+# ---- checks between features --------------------------------------------------------------------------------------
+
+
+def _components(spark, sf_dir) -> DataFrame:
+    """The lattice's sound parcels as a component table."""
+    f = lattice.features(spark, sf_dir).where("area_m2 > 0")
+    none = F.array().cast("array<int>")
+    f = f.select("feature_index", F.col("feature_index").cast("string").alias("feature_id"), "layer", F.col("feature_index").alias("component"), none.alias("gc_path"), F.lit("Polygon").alias("geometry_type"), none.alias("polygon_path"), "rings", "minx", "miny", "maxx", "maxy")
+    return written(f, "components")
+
+
+_BOTH = "p.layer IS NOT DISTINCT FROM q.layer AND p.y1 > p.y0 AND q.y1 > q.y0"
+_SHARED = "least(p.x1, q.x1) - greatest(p.x0, q.x0)"
+
+
+@query(
+    _P
+    + f""" SELECT p.parcel_id AS feature_index, q.parcel_id AS related_feature_index,
+  round({_R} * {_R} * (radians(least(p.x1, q.x1) / 1e6) - radians(greatest(p.x0, q.x0) / 1e6)) * (sin(radians(p.y1 / 1e6)) - sin(radians(p.y0 / 1e6))), 2) AS overlap_m2
+  FROM parcels p JOIN parcels q ON p.r = q.r AND p.parcel_id < q.parcel_id AND {_BOTH} AND {_SHARED} > 0"""
+)
+def polygon_overlaps(spark, sf_dir):
+    o = pair_checks.overlaps(_components(spark, sf_dir))
+    return o.select("feature_index", F.col("r_feature_index").alias("related_feature_index"), F.round("overlap_m2", 2).alias("overlap_m2"))
+
+
+@query(
+    _P
+    + f""" SELECT p.parcel_id AS feature_index, q.parcel_id AS related_feature_index, round({_hav("p.x1 / 1e6", "(p.y0 + 500) / 1e6", "q.x0 / 1e6", "(q.y0 + 500) / 1e6")}, 3) AS distance_m,
+  'SharedBoundaryPattern' AS detection_mode FROM parcels p JOIN parcels q ON q.parcel_id = p.parcel_id + 1 AND q.r = p.r AND {_BOTH} AND q.x0 - p.x1 = 2"""
+)
+def polygon_gaps(spark, sf_dir):
+    found = pair_checks.gaps(_components(spark, sf_dir), Options())
+    return found.select("feature_index", F.col("r_feature_index").alias("related_feature_index"), F.round("distance_m", 3).alias("distance_m"), F.col("mode").alias("detection_mode"))
+
+
+@query(
+    _P
+    + f""" SELECT p.parcel_id AS feature_index, 2 AS vertex, q.parcel_id AS related_feature_index, 0.5 AS fraction, true AS repairable
+  FROM parcels p JOIN parcels q ON q.parcel_id = p.parcel_id + 1 AND q.r = p.r AND {_BOTH} AND q.x0 = p.x1 WHERE p.parcel_id % 5 = 0 AND q.parcel_id % 13 <> 0""".replace("0.5 AS", "CAST(0.5 AS DOUBLE) AS")
+)
+def neighbor_vertices(spark, sf_dir):
+    """A vertex in the middle of the east side of every fifth parcel, whose neighbour lacks it."""
+    c = _components(spark, sf_dir)
+    ring = F.get("rings", F.lit(0))
+    ring = F.when(g.orientation(ring) == "cw", F.reverse(ring)).otherwise(ring)
+    middle = F.array(F.col("maxx"), (F.col("miny") + F.col("maxy")) / 2)
+    c = c.withColumn("rings", F.array(F.when(F.col("feature_index") % 5 == 0, F.concat(F.slice(ring, 1, 2), F.array(middle), F.slice(ring, 3, 10))).otherwise(ring)))
+    c = written(c, "components")
+    v = pair_checks.neighbour_vertices(c).where("feature_index < r_feature_index and r_feature_index % 13 <> 0")
+    return v.select("feature_index", "vertex", F.col("r_feature_index").alias("related_feature_index"), F.round("fraction", 6).alias("fraction"), "repairable")
+
+
+@query(_P + " SELECT parcel_id + 1000000 AS feature_index, parcel_id AS kept_index FROM parcels WHERE parcel_id % 19 = 0")
+def exact_duplicates(spark, sf_dir):
+    f = lattice.features(spark, sf_dir)
+    copies = f.where("feature_index % 19 = 0").withColumn("feature_index", F.col("feature_index") + 1000000)
+    return polygon_checks.exact_duplicates(f.unionByName(copies))
+
+
+@query()
+def duplicate_polygons(spark, sf_dir):
+    c = _components(spark, sf_dir)
+    ring = F.get("rings", F.lit(0))
+    turned = F.concat(F.slice(ring, 2, 10), F.slice(ring, 2, 1))
+    copies = c.where("feature_index % 19 = 0").withColumn("rings", F.when(F.col("feature_index") % 2 == 0, F.array(turned)).otherwise(F.col("rings"))).withColumn("feature_index", F.col("feature_index") + 1000000)
+    return pair_checks.duplicate_polygons(c.unionByName(copies)).select("feature_index", F.col("r_feature_index").alias("related_feature_index"), "kind")
+
+
+@query()
+def sliver_adjacency(spark, sf_dir):
+    c = _components(spark, sf_dir)
+    s = polygon_checks.slivers(lattice.features(spark, sf_dir), Options()).select(F.col("feature_index").alias("component"), "feature_index", "area_m2", "perimeter_m")
+    return pair_checks.sliver_neighbours(s, c).select("component", "target", F.round("shared_m", 3).alias("shared_m"), F.round("shared_ratio", 6).alias("shared_ratio"), "absorb")
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """A line in every seventh parcel, eastwards, that ends 0 to 4 micro-degrees before, on or beyond the east side."""
+    p = lattice.parcels(spark, sf_dir).where("parcel_id % 7 = 3 and y1 > y0 and x1 - x0 > 10")
+    y = (F.col("y0") + 500) / 1e6
+    end = (F.col("x1") + F.col("parcel_id") % 9 - 4) / 1e6
+    none = F.array().cast("array<int>")
+    line = F.array(F.array((F.col("x0") + 400) / 1e6, y), F.array(end, y))
+    return p.select((F.col("parcel_id") + 2000000).alias("feature_index"), F.lit(None).cast("string").alias("feature_id"), "layer", (F.col("parcel_id") + 2000000).alias("part"), none.alias("gc_path"), F.lit("LineString").alias("geometry_type"), none.alias("root_path"), line.alias("line"))
+
+
+_LINES = f""", k AS (SELECT parcel_id + 2000000 AS part, layer, r, x0 + 400 AS a, x1 + parcel_id % 9 - 4 AS e, x1, y0 + 500 AS y FROM parcels WHERE parcel_id % 7 = 3 AND y1 > y0 AND x1 - x0 > 10),
+b AS (SELECT parcel_id, layer, r, x0 AS x FROM parcels WHERE y1 > y0 UNION SELECT parcel_id, layer, r, x1 FROM parcels WHERE y1 > y0),
+over AS (SELECT k.part, max(b.x) AS x FROM k JOIN b ON b.r = k.r AND b.x < k.e AND b.x > k.a AND k.e - b.x <= 200 AND {_hav("b.x / 1e6", "y / 1e6", "e / 1e6", "y / 1e6")} <= greatest(0.025, least(100, 0.25 * {_hav("a / 1e6", "y / 1e6", "e / 1e6", "y / 1e6")})) GROUP BY k.part)"""
+
+
+@query(_P + _LINES + f" SELECT part, 'end' AS endpoint, round({_hav('x / 1e6', 'y / 1e6', 'e / 1e6', 'y / 1e6')}, 4) AS overrun_m FROM over JOIN k USING (part)")
+def overshoots(spark, sf_dir):
+    over, _ = pair_checks.line_ends(_lines(spark, sf_dir), _components(spark, sf_dir), Options())
+    return over.select("part", "endpoint", F.round("distance_m", 4).alias("overrun_m"))
+
+
+@query()
+def undershoots(spark, sf_dir):
+    _, under = pair_checks.line_ends(_lines(spark, sf_dir), _components(spark, sf_dir), Options())
+    return under.select("part", "endpoint", F.round("distance_m", 4).alias("distance_m"), "mode", "repairable")
+
+
+@query(
+    _P
+    + f""", RECURSIVE_EDGES AS (SELECT p.parcel_id AS u, q.parcel_id AS v FROM parcels p JOIN parcels q ON p.r = q.r AND p.parcel_id < q.parcel_id AND {_BOTH} AND {_SHARED} > 0),
+both_ways AS (SELECT u, v FROM RECURSIVE_EDGES UNION SELECT v, u FROM RECURSIVE_EDGES),
+reach(node, other) AS (SELECT u, u FROM both_ways UNION SELECT reach.node, both_ways.v FROM reach JOIN both_ways ON both_ways.u = reach.other)
+SELECT node AS feature_index, min(other) AS component FROM reach GROUP BY node""".replace("RECURSIVE_EDGES", "e")
+)
+def overlap_components(spark, sf_dir):
+    o = pair_checks.overlaps(_components(spark, sf_dir)).select(F.col("feature_index").alias("u"), F.col("r_feature_index").alias("v"))
+    return connected(o).select(F.col("node").alias("feature_index"), F.col("root").alias("component"))
+
+
+SQL["overlap_components"] = SQL["overlap_components"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# ---- dry run ------------------------------------------------------------------------------------------------------
+
+
+@query()
+def issue_group_report(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query()
+def report_summary(spark, sf_dir):
+    return summary(dry_run(lattice.features_json(spark, sf_dir), Options()))
+
+
+@query(_P + " SELECT parcel_id AS feature_index, CASE WHEN parcel_id % 13 = 0 OR y0 = y1 THEN NULL ELSE layer || ':' END AS geometry FROM parcels")
+def quarantine_view(spark, sf_dir):
+    f = lattice.features(spark, sf_dir)
+    unsafe = f.where("feature_index % 13 = 0 or area_m2 = 0")
+    view = polygon_checks.quarantined(f.select("feature_index", F.concat("layer", F.lit(":")).alias("geometry")), unsafe, "geometry")
+    return view.select("feature_index", "geometry")
+
+
+@query(_P + ", i AS (SELECT parcel_id, CASE WHEN y0 = y1 THEN 'ZERO_AREA_POLYGON' ELSE 'INCORRECT_RING_ORIENTATION' END AS code FROM parcels WHERE y0 = y1 OR winding = 'cw') SELECT code, count(*) AS issue_count, count(DISTINCT parcel_id) AS affected_feature_count FROM i GROUP BY code")
+def issue_groups_by_code(spark, sf_dir):
+    f = lattice.features(spark, sf_dir)
+    i = polygon_checks.zero_area(f).unionByName(polygon_checks.ring_orientation(f).where("code = 'INCORRECT_RING_ORIENTATION'").select("feature_index", "code"))
+    return i.groupBy("code").agg(F.count("*").alias("issue_count"), F.countDistinct("feature_index").alias("affected_feature_count"))
+
+
+# ---- reports --------------------------------------------------------------------------------------------------------
+
+_STATUS = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'processing' WHEN 'signup' THEN 'queued' ELSE 'dry-run-complete' END"
+_ACTIVITY = f"""WITH activity AS (SELECT event_id, user_id, user_id % 7 AS company_id, CAST(event_id % 1000 AS BIGINT) AS size_in_bytes, CAST(event_id % 11 AS BIGINT) AS identified_issues,
+  CAST(event_id % 5 AS BIGINT) AS healed_issues, {_STATUS} AS heal_status, ts AS created_at, CASE WHEN event_id % 10 = 0 THEN ts END AS deleted_at FROM events)"""
+_SUMS = "CAST(coalesce(sum(size_in_bytes), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(identified_issues), 0) AS BIGINT) AS identified_issues, CAST(coalesce(sum(healed_issues), 0) AS BIGINT) AS healed_issues"
+_FROM, _TO = date(2024, 1, 5), date(2024, 2, 10)
+_WITHIN = "created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-02-10'"
+
+
+def _activity(spark, sf_dir) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "signup", "queued").otherwise("dry-run-complete")
+    return e.select("event_id", "user_id", (F.col("user_id") % 7).alias("company_id"), (F.col("event_id") % 1000).alias("size_in_bytes"), (F.col("event_id") % 11).alias("identified_issues"), (F.col("event_id") % 5).alias("healed_issues"), status.alias("heal_status"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 10 == 0, F.col("ts")).alias("deleted_at"))
+
+
+_DAILY = f"SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS uploads, count(*) FILTER (WHERE heal_status = 'completed') AS completed, count(*) FILTER (WHERE heal_status = 'failed') AS failed, {_SUMS} FROM activity WHERE {_WITHIN} GROUP BY 1"
+
+
+@query(_ACTIVITY + _DAILY)
+def daily_report(spark, sf_dir):
+    return reports.daily(reports.within(_activity(spark, sf_dir), _FROM, _TO))
+
+
+@query(_ACTIVITY + f", d AS ({_DAILY}), c AS (SELECT strftime(unnest(range(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 1 DAY)), '%Y-%m-%d') AS date) SELECT date, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("uploads", "completed", "failed", "bytes", "identified_issues", "healed_issues")) + " FROM c LEFT JOIN d USING (date)")
+def zero_filled_calendar(spark, sf_dir):
+    return reports.zero_filled(reports.calendar(spark, _FROM, _TO), reports.daily(reports.within(_activity(spark, sf_dir), _FROM, _TO)))
+
+
+@query(_ACTIVITY + f" SELECT heal_status AS status, count(*) AS count FROM activity WHERE {_WITHIN} GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return reports.status_counts(reports.within(_activity(spark, sf_dir), _FROM, _TO))
+
+
+@query(_ACTIVITY + f" SELECT count(*) AS uploads, {_SUMS}, count(*) FILTER (WHERE heal_status = 'completed') AS completed, count(*) FILTER (WHERE heal_status = 'failed') AS failed, count(*) FILTER (WHERE heal_status IN ('processing', 'queued')) AS processing, count(deleted_at) AS deleted_files FROM activity WHERE {_WITHIN}")
+def global_usage(spark, sf_dir):
+    return reports.summary(reports.within(_activity(spark, sf_dir), _FROM, _TO))
+
+
+@query(_ACTIVITY + f", u AS (SELECT user_id, count(*) AS uploads, {_SUMS} FROM activity GROUP BY 1), f AS (SELECT user_id, count(*) AS stored_files FROM activity WHERE deleted_at IS NULL GROUP BY 1) SELECT c_custkey AS user_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("uploads", "bytes", "identified_issues", "healed_issues", "stored_files")) + " FROM customer LEFT JOIN u ON u.user_id = c_custkey LEFT JOIN f ON f.user_id = c_custkey")
+def per_user_usage(spark, sf_dir):
+    a = _activity(spark, sf_dir)
+    users = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return reports.with_usage(users, a, a.where("deleted_at is null"))
+
+
+@query(_ACTIVITY + f" SELECT company_id, user_id, count(*) AS uploads, {_SUMS} FROM activity GROUP BY 1, 2")
+def company_usage(spark, sf_dir):
+    return reports.usage(_activity(spark, sf_dir), "company_id", "user_id")
+
+
+@query(_ACTIVITY + f" SELECT user_id, count(*) AS uploads, {_SUMS} FROM activity GROUP BY 1")
+def upload_summary(spark, sf_dir):
+    return reports.usage(_activity(spark, sf_dir), "user_id")
+
+
+@query("SELECT source AS name, count(*) AS count FROM documents WHERE n_chars > 0 GROUP BY 1")
+def category_facet(spark, sf_dir):
+    return reports.facet(_read(spark, sf_dir, "documents").where("n_chars > 0"), "source")
+
+
+_PLAN = "CASE c_mktsegment WHEN 'BUILDING' THEN 'free' WHEN 'MACHINERY' THEN 'advanced' ELSE 'other' END"
+
+
+def _users(spark, sf_dir) -> DataFrame:
+    plan = F.when(F.col("c_mktsegment") == "BUILDING", "free").when(F.col("c_mktsegment") == "MACHINERY", "advanced").otherwise("other")
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), plan.alias("plan_code"))
+
+
+@query(f"WITH u AS (SELECT {_PLAN} AS code FROM customer) SELECT p.code, count(u.code) AS count FROM (VALUES ('free'), ('pro'), ('advanced')) p(code) LEFT JOIN u USING (code) GROUP BY 1")
+def plan_distribution(spark, sf_dir):
+    return reports.plan_distribution(spark, _users(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM documents WHERE (lower(source) LIKE '%rc1%' OR lower(lang) LIKE '%rc1%') AND n_chars > 0")
+def file_list_filter(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", "source", F.col("source").alias("name"), F.col("lang").alias("original_name"), F.col("n_chars").alias("identified_issues"), F.lit(None).cast("timestamp").alias("created_at"))
+    return d.where(reports.file_filters(" RC1 ", has_issues=True)).select("doc_id", "source")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE lower(source) = 'src3' AND (lower(lang) LIKE '%e%')")
+def article_filter(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("source").alias("category"), F.col("lang").alias("title"), F.lit("").alias("excerpt"), F.array("lang").alias("keywords"))
+    return d.where(reports.article_filters(search="E", category="SRC3")).select("doc_id", "source", "lang")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 50")
+def offset_page(spark, sf_dir):
+    return reports.page(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 50, 25)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' OR (o_orderdate = TIMESTAMP '1996-01-01' AND o_orderkey < 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 9")
+def keyset_page(spark, sf_dir):
+    return reports.keyset_page(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 8, ("1996-01-01 00:00:00", 5000))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def topk_recent(spark, sf_dir):
+    return reports.latest(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
+
+
+@query(f"SELECT s_suppkey AS company_id, s_name FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer WHERE {_PLAN} = 'advanced')")
+def semi_join_active(spark, sf_dir):
+    companies = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_suppkey").alias("owner_id"), "s_name")
+    return reports.active_companies(companies, _users(spark, sf_dir)).select("company_id", "s_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join_quarantine(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select("c_custkey")
+    return c.join(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query(f"SELECT c_custkey AS user_id, CASE WHEN {_PLAN} = 'advanced' AND s_suppkey IS NOT NULL THEN s_suppkey END AS company_id FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def attributed_company(spark, sf_dir):
+    companies = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_suppkey").alias("owner_id"))
+    members = spark.createDataFrame([], "user_id long, company_id long")
+    return reports.attributed_company(_users(spark, sf_dir), companies, members)
+
+
+# ---- scalar functions -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, '+98' || CAST(9000000000 + c_custkey AS VARCHAR) AS phone FROM customer")
+def phone_normalize(spark, sf_dir):
+    digits = F.translate((9000000000 + F.col("c_custkey")).cast("string"), t.ASCII_DIGITS, t.PERSIAN_DIGITS)
+    raw = F.concat(F.lit("+98 ("), F.substring(digits, 1, 3), F.lit(") "), F.substring(digits, 4, 3), F.lit("-"), F.substring(digits, 7, 4))
+    return _read(spark, sf_dir, "customer").select("c_custkey", t.normalize_phone(raw).alias("phone"))
+
+
+@query("SELECT DISTINCT lower(trim(p_name)) AS keyword FROM part")
+def keyword_normalize(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select(t.normalize_keyword(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" "))).alias("keyword")).distinct()
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def slugify(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", t.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
+
+
+@query("SELECT c_custkey, sha256(c_name) AS digest FROM customer")
+def sha256_token(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select("c_custkey", t.token_digest(F.col("c_name")).alias("digest"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS published_at FROM orders")
+def cursor_roundtrip(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").withColumn("c", t.parse_cursor(t.cursor(F.col("o_orderkey").cast("string"), F.col("o_orderdate"))))
+    return o.select("o_orderkey", F.col("c.id").alias("id"), F.col("c.publishedAt").alias("published_at"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+# ---- event log --------------------------------------------------------------------------------------------------------
+
+
+@query("WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS c FROM events) SELECT user_id, event_id, CAST(seq AS INTEGER) AS seq FROM n WHERE c - seq < 20")
+def event_log_last(spark, sf_dir):
+    return ev.last_events(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 20).select("user_id", "event_id", "seq")
+
+
+@query("WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) SELECT user_id, event_id, CAST(seq AS INTEGER) AS seq FROM n WHERE seq > 5 + user_id % 3")
+def event_replay_after(spark, sf_dir):
+    log = ev.numbered(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    return ev.replay(log, 5 + F.col("user_id") % 3).select("user_id", "event_id", "seq")
+
+
+def _job_events(spark, sf_dir) -> DataFrame:
+    """Jobs of ten events each; the kinds of event cycle with the event's number."""
+    kinds = ["queued", "processing", "progress", "failed", "progress", "queued", "reset", "completed", "cancelled"]
+    e = _read(spark, sf_dir, "events")
+    return e.select(F.floor(F.col("event_id") / 10).alias("job"), "event_id", "ts", F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") * 7 % 9 + 1).cast("int")).alias("event"), "value")
+
+
+@query()
+def status_fold(spark, sf_dir):
+    return ev.folded(_job_events(spark, sf_dir), "job", "ts", "event_id", "event", "value")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def rate_windows(spark, sf_dir):
+    return ev.windowed_counts(_read(spark, sf_dir, "events"), "ts", "event_type", "1 hour").select("event_type", F.col("window.start").alias("start"), "n")
+

@@ -6,6 +6,8 @@ The lattice of ``lattice.py`` stands for a parcel dataset, ``events`` for upload
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -17,10 +19,12 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import pair_checks, polygon_checks
 from ..operators.components import components as connected
+from ..sources import readers, writers
 from ..streaming import events as ev
-from ..tables import written
+from ..tables import shared_dir, written
 from . import lattice, reports
-from .dry_run import dry_run, issue_groups, summary
+from .dry_run import compact, dry_run, issue_groups, summary
+from .heal import heal, heal_features
 from .lattice import PARCELS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,6 +328,91 @@ def issue_groups_by_code(spark, sf_dir):
     return i.groupBy("code").agg(F.count("*").alias("issue_count"), F.countDistinct("feature_index").alias("affected_feature_count"))
 
 
+@query()
+def compact_report(spark, sf_dir):
+    return compact(dry_run(lattice.features_json(spark, sf_dir), Options()).issues).select("issue_index", "check", "code", "feature_index", "related_feature_index", "disposition", "details")
+
+
+@query()
+def issue_details_page(spark, sf_dir):
+    issues = dry_run(lattice.features_json(spark, sf_dir), Options()).issues
+    return reports.issue_page(issues, "SLIVER_POLYGON", 5, 10).select("issue_index", "code", "feature_index", "details")
+
+
+# ---- repair, files ---------------------------------------------------------------------------------------------------
+
+
+@query()
+def heal_pipeline(spark, sf_dir):
+    return heal(lattice.features_json(spark, sf_dir), Options()).features
+
+
+@query()
+def heal_counters(spark, sf_dir):
+    return heal(lattice.features_json(spark, sf_dir), Options(), withhold_reviewed=False).counts
+
+
+def _planted(spark, sf_dir, geometry: Callable[[float, float], dict]) -> DataFrame:
+    """A feature for each part with a geometry about its lattice corner."""
+    make = F.udf(lambda x, y: json.dumps({"type": "Feature", "properties": {}, "geometry": geometry(x / 1e6, y / 1e6)}), "string")
+    return lattice.parcels(spark, sf_dir).select(F.col("parcel_id").alias("feature_index"), make("x0", "y0").alias("feature"))
+
+
+def _healed_counts(spark, sf_dir, geometry: Callable[[float, float], dict]) -> DataFrame:
+    return heal_features(_planted(spark, sf_dir, geometry), Options()).select("feature_index", "quarantined", F.explode("counts").alias("counter", "n")).where("n > 0")
+
+
+@query(_P + " SELECT parcel_id AS feature_index, false AS quarantined, counter, CAST(1 AS BIGINT) AS n FROM parcels, (VALUES ('selfIntersectionsRepaired')) v(counter)")
+def unkink(spark, sf_dir):
+    """A bow tie in each place."""
+    return _healed_counts(spark, sf_dir, lambda x, y: {"type": "Polygon", "coordinates": [[[x, y], [x + 0.0005, y + 0.0004], [x + 0.0005, y], [x, y + 0.0006], [x, y]]]})
+
+
+@query(_P + " SELECT parcel_id AS feature_index, false AS quarantined, counter, CAST(n AS BIGINT) AS n FROM parcels, (VALUES ('holesRemoved', 2)) v(counter, n)")
+def hole_repair(spark, sf_dir):
+    """A square with a sound hole, one outside, and a tiny one."""
+
+    def box(x: float, y: float, w: float) -> list:
+        return [[x, y], [x, y + w], [x + w, y + w], [x + w, y], [x, y]]
+
+    return _healed_counts(spark, sf_dir, lambda x, y: {"type": "Polygon", "coordinates": [box(x, y, 0.0008)[::-1], box(x + 0.0001, y + 0.0001, 0.0001), box(x + 0.001, y, 0.0001), box(x + 0.0004, y + 0.0004, 1e-7)]})
+
+
+@query(_P + " SELECT parcel_id AS feature_index, false AS quarantined, 'spikesRemoved' AS counter, CAST(1 AS BIGINT) AS n FROM parcels")
+def spike_repair(spark, sf_dir):
+    """A square with a needle on its north side."""
+
+    def ring(x: float, y: float) -> list:
+        return [[x, y], [x + 0.0005, y], [x + 0.0005, y + 0.0005], [x + 0.00025, y + 0.0005], [x + 0.0002499, y + 0.0009], [x + 0.0002498, y + 0.0005], [x, y + 0.0005], [x, y]]
+
+    return _healed_counts(spark, sf_dir, lambda x, y: {"type": "Polygon", "coordinates": [ring(x, y)]})
+
+
+@query(_P + " SELECT parcel_id AS feature_index, round(x0 / 1e6, 6) AS minx, round(y1 / 1e6, 6) AS maxy FROM parcels")
+def geojson_roundtrip(spark, sf_dir):
+    """Written as newline-delimited GeoJSON, read again."""
+    out = f"{shared_dir(spark)}/parcelyze/geojson-{uuid.uuid4().hex}"
+    lattice.features_json(spark, sf_dir).select(F.col("feature").alias("value")).write.text(out)
+    f = readers.read_geojson_lines(spark, out).select(F.from_json("feature", "id long, geometry struct<coordinates: array<array<array<double>>>>").alias("f"))
+    box = g.bounds(F.get("f.geometry.coordinates", F.lit(0)))
+    return f.select(F.col("f.id").alias("feature_index"), F.round(box["minx"], 6).alias("minx"), F.round(box["maxy"], 6).alias("maxy"))
+
+
+@query(_P + " SELECT parcel_id AS feature_index, 'MultiLineString' AS geometry_type, CAST(1 AS INTEGER) AS lines FROM parcels")
+def linework(spark, sf_dir):
+    lines = F.udf(lambda f: json.dumps(writers.linework(json.loads(f)["geometry"])), "string")
+    f = lattice.features_json(spark, sf_dir).select("feature_index", F.from_json(lines("feature"), "type string, coordinates array<array<array<double>>>").alias("l"))
+    return f.select("feature_index", F.col("l.type").alias("geometry_type"), F.size("l.coordinates").alias("lines"))
+
+
+@query()
+def crs_roundtrip(spark, sf_dir):
+    """The lattice's corners to UTM zone 39 north."""
+    to_utm = F.udf(lambda x, y: readers.crs.transform([x, y], "EPSG:4326", "EPSG:32639"), "array<double>")
+    c = lattice.features(spark, sf_dir).select("feature_index", to_utm("minx", "miny").alias("p"))
+    return c.select("feature_index", F.round(F.get("p", F.lit(0)), 3).alias("east_m"), F.round(F.get("p", F.lit(1)), 3).alias("north_m"))
+
+
 # ---- reports --------------------------------------------------------------------------------------------------------
 
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'processing' WHEN 'signup' THEN 'queued' ELSE 'dry-run-complete' END"

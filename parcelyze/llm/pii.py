@@ -173,10 +173,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select("row", "doc_id", F.array_sort(base).alias("base")).join(added, "row", "left").select("doc_id", "base", F.coalesce("added", empty).alias("added"))
 
 
+def _is(kind: int):
+    return lambda x: F.when(x == kind, x)
+
+
 def pii_digest(found: DataFrame) -> DataFrame:
     """The thin query's columns. Counts are of base spans; ``spans`` names all."""
     names = F.array(*map(F.lit, KINDS))
     said = lambda spans: F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.element_at(names, c["kind"] + 1), c["start"].cast("string"), c["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{x}") for k, x in enumerate(KINDS)]
+    kinds = F.transform("base", lambda c: c["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, _is(k)))).cast("long").alias(f"n_{x}") for k, x in enumerate(KINDS)]
     both = F.array_sort(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"), said(both).alias("spans"), F.size("added").cast("long").alias("n_added"))

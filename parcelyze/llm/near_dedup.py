@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .shared import Words, binary_array, chained, drop_written, joined_ranges, mix, row_of, slices, small_batches, written
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)

@@ -1,19 +1,16 @@
-"""What the operators of this folder share: written intermediate tables, text slices, word hashes.
-
-Intermediate tables go, as Parquet, to a fresh folder below ``spark.checkpoint.dir`` (all executors see it);
-only if a session has no such setting (tests) does a local folder stand in. A written table cuts the lineage:
-a lost executor costs the tasks that it ran, never a whole job, and a later scan prunes columns.
-"""
+"""What the operators of this folder share: text slices and word hashes (and, from the library, written tables)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..tables import drop_written, shared_dir, written
+
+__all__ = ["Words", "binary_array", "chained", "drop_written", "joined_ranges", "mix", "row_of", "shared_dir", "slices", "small_batches", "text_bytes", "word_hashes", "written"]
 
 #: Text bytes that one numpy step takes at most, unless a single text is longer.
 SLICE_BYTES = 2 << 20
@@ -21,32 +18,6 @@ SLICE_BYTES = 2 << 20
 BATCH_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="parcelyze-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below the shared folder and read back with the same schema."""
-    path = f"{shared_dir(df.sparkSession)}/parcelyze/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a bounded row count for the Python stages (a session setting)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != BATCH_ROWS:

@@ -94,25 +94,31 @@ def folded(events: DataFrame, job: str, at: str, identity: str, event: str, valu
     return out.select(job, F.col("_x.s").alias("status"), F.col("_x.p").alias("progress"), "events")
 
 
-def status_stream(events: DataFrame, job: str, at: str, identity: str, event: str, value: str, ttl: str = "24 hours") -> DataFrame:
-    """(job, status, progress, events) after each micro-batch; a job's state goes after ``ttl`` without events."""
+def status_stream(events: DataFrame, job: str, at: str, identity: str, event: str, value: str, ttl: str = "24 hours", late: str = "10 minutes") -> DataFrame:
+    """(job, status, progress, events) after each micro-batch.
+
+    A job's state goes once the watermark is ``ttl`` past its last event; ``late`` is the watermark's delay.
+    """
     kind = dict(events.dtypes)[job]
+    keep = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         status, progress, n = state.get if state.exists else ("dry-run-complete", 0.0, 0)
-        for row in pd.concat(list(batches)).sort_values([at, identity]).itertuples():
+        rows = pd.concat(list(batches)).sort_values([at, identity])
+        for row in rows.itertuples():
             e, v = getattr(row, event), getattr(row, value)
             progress = next_progress(progress, status, e, None if v is None else float(v))
             status = next_status(status, e)
             n += 1
         state.update((status, progress, n))
-        state.setTimeoutDuration(int(pd.Timedelta(ttl).total_seconds() * 1000))
+        last = int(pd.Timestamp(rows[at].iloc[-1]).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + keep, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({job: [key[0]], "status": [status], "progress": [progress], "events": [n]})
 
-    return events.groupBy(job).applyInPandasWithState(fold, f"{job} {kind}, status string, progress double, events long", "status string, progress double, events long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, late).groupBy(job).applyInPandasWithState(fold, f"{job} {kind}, status string, progress double, events long", "status string, progress double, events long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, at: str, key: str, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:

@@ -242,7 +242,7 @@ def exact_duplicates(spark, sf_dir):
     return polygon_checks.exact_duplicates(f.unionByName(copies))
 
 
-@query()
+@query(_P + " SELECT parcel_id AS feature_index, parcel_id + 1000000 AS related_feature_index, CASE WHEN parcel_id % 2 = 0 THEN 'Topological' ELSE 'Exact' END AS kind FROM parcels WHERE parcel_id % 19 = 0 AND y1 > y0")
 def duplicate_polygons(spark, sf_dir):
     c = _components(spark, sf_dir)
     ring = F.get("rings", F.lit(0))
@@ -251,7 +251,12 @@ def duplicate_polygons(spark, sf_dir):
     return pair_checks.duplicate_polygons(c.unionByName(copies)).select("feature_index", F.col("r_feature_index").alias("related_feature_index"), "kind")
 
 
-@query()
+@query(
+    _P
+    + f""", m AS (SELECT p.parcel_id AS component, q.parcel_id AS target, {_PERIMETER.replace("x0", "p.x0").replace("x1", "p.x1").replace("y0", "p.y0").replace("y1", "p.y1")} AS around,
+  {_R} * radians((p.y1 - p.y0) / 1e6) AS shared FROM parcels p JOIN parcels q ON q.parcel_id = p.parcel_id - 1 AND q.r = p.r AND {_BOTH} AND q.x1 = p.x0 WHERE p.parcel_id % 13 = 0)
+SELECT component, target, round(shared, 3) AS shared_m, round(shared / around, 6) AS shared_ratio, true AS absorb FROM m"""
+)
 def sliver_adjacency(spark, sf_dir):
     c = _components(spark, sf_dir)
     s = polygon_checks.slivers(lattice.features(spark, sf_dir), Options()).select(F.col("feature_index").alias("component"), "feature_index", "area_m2", "perimeter_m")
@@ -279,7 +284,13 @@ def overshoots(spark, sf_dir):
     return over.select("part", "endpoint", F.round("distance_m", 4).alias("overrun_m"))
 
 
-@query()
+@query(
+    _P
+    + _LINES
+    + f""", under AS (SELECT k.part, min(b.x) AS x FROM k JOIN b ON b.r = k.r AND b.x >= k.e AND {_hav("b.x / 1e6", "y / 1e6", "e / 1e6", "y / 1e6")} <= greatest(0.025, least(100, 0.25 * {_hav("a / 1e6", "y / 1e6", "e / 1e6", "y / 1e6")}))
+  WHERE k.part NOT IN (SELECT part FROM over) GROUP BY k.part)
+SELECT part, 'end' AS endpoint, round({_hav("x / 1e6", "y / 1e6", "e / 1e6", "y / 1e6")}, 4) AS distance_m, 'DirectionalBoundaryPattern' AS mode, true AS repairable FROM under JOIN k USING (part) WHERE x > e"""
+)
 def undershoots(spark, sf_dir):
     _, under = pair_checks.line_ends(_lines(spark, sf_dir), _components(spark, sf_dir), Options())
     return under.select("part", "endpoint", F.round("distance_m", 4).alias("distance_m"), "mode", "repairable")

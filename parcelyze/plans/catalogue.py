@@ -601,7 +601,26 @@ def _job_events(spark, sf_dir) -> DataFrame:
     return e.select(F.floor(F.col("event_id") / 10).alias("job"), "event_id", "ts", F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") * 7 % 9 + 1).cast("int")).alias("event"), "value")
 
 
-@query()
+_FOLD = """WITH RECURSIVE e AS (
+  SELECT CAST(floor(event_id / 10.0) AS BIGINT) AS job, value, ['queued', 'processing', 'progress', 'failed', 'progress', 'queued', 'reset', 'completed', 'cancelled'][event_id * 7 % 9 + 1] AS event,
+    row_number() OVER (PARTITION BY CAST(floor(event_id / 10.0) AS BIGINT) ORDER BY ts, event_id) AS seq FROM events),
+f AS (
+  SELECT DISTINCT job, CAST(0 AS BIGINT) AS seq, 'dry-run-complete' AS s, CAST(0 AS DOUBLE) AS p FROM e
+  UNION ALL
+  SELECT e.job, e.seq,
+    CASE event WHEN 'queued' THEN CASE WHEN s = 'dry-run-complete' THEN 'queued' ELSE s END
+      WHEN 'progress' THEN CASE WHEN s IN ('completed', 'cancelled', 'failed') THEN s ELSE 'processing' END
+      WHEN 'completed' THEN CASE WHEN s = 'cancelled' THEN s ELSE event END WHEN 'cancelled' THEN CASE WHEN s = 'completed' THEN s ELSE event END
+      WHEN 'reset' THEN CASE WHEN s IN ('queued', 'failed', 'cancelled') THEN 'dry-run-complete' ELSE s END
+      ELSE CASE WHEN s IN ('completed', 'cancelled') THEN s ELSE event END END,
+    CASE WHEN event = 'reset' AND s IN ('queued', 'failed', 'cancelled') THEN 0 WHEN event = 'completed' AND s <> 'cancelled' THEN 100
+      WHEN event = 'processing' AND s NOT IN ('completed', 'cancelled') THEN greatest(p, 1)
+      WHEN event = 'progress' AND s NOT IN ('completed', 'cancelled', 'failed') THEN greatest(p, least(100, greatest(0, value))) ELSE p END
+  FROM f JOIN e ON e.job = f.job AND e.seq = f.seq + 1)
+SELECT f.job, s AS status, p AS progress, n AS events FROM f JOIN (SELECT job, count(*) AS n FROM e GROUP BY job) c ON c.job = f.job AND c.n = f.seq"""
+
+
+@query(_FOLD)
 def status_fold(spark, sf_dir):
     return ev.folded(_job_events(spark, sf_dir), "job", "ts", "event_id", "event", "value")
 

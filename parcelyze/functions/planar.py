@@ -384,9 +384,19 @@ def area_of(polygons) -> float:
     return sum(map(polygon_area, polygons))
 
 
+def shared_area(first, second) -> float:
+    """Square metres that two lists of polygons share; boxes without a common inside share none."""
+    if not first or not second:
+        return 0.0
+    (a, b), (c, d) = ((np.min(q, axis=0), np.max(q, axis=0)) for q in (np.array([v[:2] for p in ps for r in p for v in r], float) for ps in (first, second)))
+    if (np.minimum(b, d) <= np.maximum(a, c)).any():
+        return 0.0
+    return area_of(overlay(first, second, "intersection"))
+
+
 def intersection_area(first, second) -> float:
     """Square metres that two polygons share."""
-    return area_of(overlay([first], [second], "intersection"))
+    return shared_area([first], [second])
 
 
 def polygons_meet(first, second) -> bool:

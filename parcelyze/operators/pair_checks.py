@@ -59,6 +59,11 @@ def _map(df: DataFrame, fn: Callable[[pd.DataFrame], dict], extra: str) -> DataF
     return df.mapInPandas(run, _schema(df, extra))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals the few rows that need exact geometry over all tasks: their cost is CPU, not bytes."""
+    return df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _point(pdf: pd.DataFrame, x: str, y: str) -> np.ndarray:
     return pdf[[x, y]].to_numpy(float)
 
@@ -74,6 +79,9 @@ def overlaps(components: DataFrame) -> DataFrame:
     """(feature_index, r_feature_index, ..., overlap_m2, ratio, repairable): components of different features that share an area."""
     one = components.select("feature_index", "feature_id", "layer", "component", "geometry_type", "gc_path", "polygon_path", "rings", *BOX)
     pairs = box_pairs(one, _right(one), cell_size(one), ["layer"]).where("component < r_component and feature_index <> r_feature_index")
+    # Boxes that only touch hold no common area.
+    wide = F.least("maxx", "r_maxx") > F.greatest("minx", "r_minx")
+    pairs = _spread(pairs.where(wide & (F.least("maxy", "r_maxy") > F.greatest("miny", "r_miny"))), "component", "r_component")
 
     def measure(pdf: pd.DataFrame) -> list:
         out = [[], [], []]
@@ -152,7 +160,7 @@ def gaps(components: DataFrame, options: Options) -> DataFrame:
     other = shape.select(*[F.col(c).alias(f"r_{c}") for c in shape.columns])
     best = best.join(shape, "component").join(other, "r_component")
     meet = lambda pdf: [[planar.polygons_meet(_lists(a), _lists(b)) for a, b in zip(pdf["rings"], pdf["r_rings"])]]
-    best = _map(best, meet, "meets boolean").where("not meets").drop("rings", "r_rings", "meets")
+    best = _map(_spread(best, "component", "r_component"), meet, "meets boolean").where("not meets").drop("rings", "r_rings", "meets")
     full = (F.col("ring") == 0) & (F.col("r_ring") == 0) & F.coalesce(F.col("shared_ratio") >= k.GAP_FULL_EDGE_RATIO, F.lit(False))
     close = (F.col("distance_m") <= options.gap_m) & (F.col("ends_m") <= options.gap_m)
     inferred = F.col("evidence") & (F.col("ends_m") <= k.GAP_MAX_WIDTH_M) & (F.col("ends_m") / F.col("shared_m") <= k.GAP_MAX_WIDTH_RATIO)
@@ -206,11 +214,11 @@ def sliver_neighbours(slivers: DataFrame, components: DataFrame, min_shared: flo
         out = [[], []]
         for a, t in zip(pdf["rings"], pdf["target_rings"]):
             a, t = _lists(a), [_lists(p) for p in t]
-            out[0].append(any(planar.polygons_meet(a, p) for p in t) and planar.area_of(planar.overlay([a], t, "intersection")) <= k.OVERLAP_M2)
+            out[0].append(any(planar.polygons_meet(a, p) for p in t) and planar.shared_area([a], t) <= k.OVERLAP_M2)
             out[1].append(planar.area_of(t))
         return out
 
-    near = _map(near, contact, "edge_only boolean, target_m2 double").where("edge_only").drop("rings", "target_rings")
+    near = _map(_spread(near, "component", "target"), contact, "edge_only boolean, target_m2 double").where("edge_only").drop("rings", "target_rings")
     order = Window.partitionBy("component").orderBy(F.col("shared_m").desc(), "target")
     ranked = near.withColumn("place", F.row_number().over(order)).withColumn("second_m", F.lead("shared_m").over(order)).where("place = 1")
     thin = slivers.select(F.col("feature_index").alias("target"), F.lit(True).alias("target_thin")).distinct()
@@ -288,7 +296,7 @@ def _grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], list[d
         if held is not None and (out := fn(held)):
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return _spread(df, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 _END = "part long, endpoint string, code string, target_part long, r_segment int, source_segment int, tx double, ty double, fraction double, distance_m double, mode string, sure boolean"
@@ -439,5 +447,5 @@ def duplicate_polygons(components: DataFrame, max_offset_m: float = 0.01, min_io
             offsets.append(off if kind == "Near" else None)
         return [kinds, offsets]
 
-    return _map(pairs, compare, "kind string, offset_m double").where("kind is not null").select("feature_index", "r_feature_index", "kind", "offset_m")
+    return _map(_spread(pairs, "feature_index", "r_feature_index"), compare, "kind string, offset_m double").where("kind is not null").select("feature_index", "r_feature_index", "kind", "offset_m")
 

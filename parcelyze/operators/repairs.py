@@ -165,7 +165,7 @@ def _rings_of(geometry: Any) -> list[list]:
 
 
 def shared_area(a: Any, b: Any) -> float:
-    return planar.area_of(planar.overlay(_rings_of(a), _rings_of(b), "intersection"))
+    return planar.shared_area(_rings_of(a), _rings_of(b))
 
 
 def _as_geometry(polygons: list, like: Geometry) -> Geometry | None:

@@ -23,7 +23,9 @@ parcels AS (
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(parcel_id, c, r, layer, x0, y0, x1, y1, winding), coordinates in micro-degrees."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("parcel_id"))
+    # One small file, but each row stands for a geometry: spread it.
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("parcel_id")).repartition(tasks, "parcel_id")
     p = p.withColumn("c", F.col("parcel_id") % 50).withColumn("r", F.floor(F.col("parcel_id") / 50.0))
     width = F.when(F.col("parcel_id") % 13 == 0, 2).when(F.col("parcel_id") % 7 == 0, 1003).when(F.col("parcel_id") % 11 == 0, 998).otherwise(1000)
     p = p.withColumn("layer", F.when(F.col("r") % 2 == 0, "A")).withColumn("x0", 51000000 + F.col("c") * 1000).withColumn("y0", 35000000 + F.col("r") * 1000)

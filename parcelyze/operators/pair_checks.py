@@ -21,6 +21,10 @@ from ..functions.geometry import expand, haversine, line_length
 from ..functions.geometry import segments as ring_segments
 from .spatial_join import BOX, box_pairs
 
+#: Boundaries are numbered by component and ring: up to so many rings a polygon.
+RINGS = 1 << 14
+
+
 def cell_size(boxes: DataFrame) -> float:
     """About the 95th percentile of the boxes' extents: most boxes touch one to four cells."""
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
@@ -382,7 +386,7 @@ def line_ends(lines: DataFrame, components: DataFrame, options: Options) -> tupl
     line_seg = lines.select("feature_index", "layer", F.col("part").alias("target_part"), F.lit(True).alias("is_line"), F.inline(ring_segments(F.col("line"))))
     # Boundaries come after all lines, in order of component and ring.
     last = F.lit(1 << 62)
-    poly = segment_table(components).select("feature_index", "layer", (last + F.col("component") * 1024 + F.least(F.col("ring"), F.lit(1023))).alias("target_part"), F.lit(False).alias("is_line"), "segment", "sx", "sy", "ex", "ey")
+    poly = segment_table(components).select("feature_index", "layer", (last + F.col("component") * RINGS + F.col("ring")).alias("target_part"), F.lit(False).alias("is_line"), "segment", "sx", "sy", "ex", "ey")
     targets = line_seg.unionByName(poly)
     targets = _with_box(targets, [F.least("sx", "ex"), F.least("sy", "ey"), F.greatest("sx", "ex"), F.greatest("sy", "ey")])
     keep = {"target_part", "is_line"}

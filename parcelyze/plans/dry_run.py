@@ -68,7 +68,7 @@ def line_findings(lines: DataFrame, components: DataFrame, options: Options) ->
     other = lines.select(F.col("part").alias("target_part"), F.col("feature_index").alias("ri"), F.col("feature_id").alias("rid"), F.col("gc_path").alias("rgc"), F.col("root_path").alias("rpath"), F.lit("Line").alias("rkind"))
     ring = components.select("*", F.posexplode("rings").alias("ring", "_r"))
     last = F.lit(1 << 62)
-    other = other.union(ring.select(last + F.col("component") * 1024 + F.col("ring"), "feature_index", "feature_id", "gc_path", F.concat("polygon_path", F.array("ring")), F.lit("PolygonBoundary")))
+    other = other.union(ring.select(last + F.col("component") * pair_checks.RINGS + F.col("ring"), "feature_index", "feature_id", "gc_path", F.concat("polygon_path", F.array("ring")), F.lit("PolygonBoundary")))
     out = None
     for check, found in (("undershoots", under), ("overshoots", over)):
         f = found.join(own, "part").join(other, "target_part")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .decontaminate import contamination, contamination_digest
 from .language import identify_languages
+from .line_dedup import dedup_lines
 from .lm_scoring import score_texts
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -34,6 +35,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_read(spark, sf_dir, "documents"), folds=5, held_out=0, most_rows=4000)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages of whole lines, over 50 words, that stand before in the table."""
+    return dedup_lines(_read(spark, sf_dir, "documents"), least_words=50)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of each document under a word-pair model of nine tenths of them."""
     return score_texts(_read(spark, sf_dir, "documents"), folds=10, held_out=0)
@@ -73,6 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,

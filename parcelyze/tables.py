@@ -20,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table below the shared folder, with the same schema."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table below the shared folder, with the same schema; codec: the session's, or another."""
     path = f"{shared_dir(df.sparkSession)}/parcelyze/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -7,15 +7,16 @@
 5. token ids: what is left is written as range-coded ids, read back, and indexed.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. ``run`` writes every stage's
-result to the shared folder and reads it for the next stage. Defined results: documents without an id pass stages 1 to 3
-on their own merits, are linked with none, and are passed once by stage 4 (they count in their source's size); of several
-rows with one id, stage 2 keeps the one with the least hash of all its columns. Empty tables pass through.
+result to the shared folder and reads it for the next stage. Defined results: every row is judged by its own text, and
+what is found takes effect on that row only, also where an id is null or repeats. A null id comes after all ids: in
+stage 2 such a row goes if it is a near copy of any other that stays, and stage 4 gives it copies like all others. Rows
+with one id and different texts are different documents. Rows without words are no near copies. Empty tables pass through.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelyze.llm.decontaminate import contamination, contamination_digest
@@ -24,38 +25,43 @@ from parcelyze.llm.near_dedup import near_duplicates
 from parcelyze.llm.shared import written
 from parcelyze.llm.token_files import tokens_of
 from parcelyze.llm.toxicity import score_toxicity
+from parcelyze.tables import numbered
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose id is not in ``rejected`` (doc_id); rows without an id stay."""
-    return docs.join(rejected.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``_pipeline_row``: 0, 1, 2, ... in order of id (null ids last) and a hash of all columns, written once."""
+    return written(numbered(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)], "_pipeline_row"), "rows", "zstd")
+
+
+def _without(rows: DataFrame, rejected: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose number is not in ``rejected`` (doc_id: numbers)."""
+    return rows.join(rejected.select(F.col("doc_id").alias("_pipeline_row")), "_pipeline_row", "left_anti").select(columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, score_toxicity(docs, labels, folds=4, held_out=2, threshold=0.3).where("predicted = 1"))
+    return score_toxicity(docs, labels, folds=4, held_out=2, threshold=0.3, carry=True).where("predicted <> 1").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group."""
-    left = _without(docs, near_duplicates(docs, words=5, num=80, den=100).where("not kept"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    repeated = left.where("doc_id is not null").withColumn("_pipeline_place", F.row_number().over(first)).where("_pipeline_place = 1").select(docs.columns)
-    return repeated.union(left.where("doc_id is null"))
+    rows = _numbered(docs)
+    return _without(rows, near_duplicates(rows, id_col="_pipeline_row", words=5, num=80, den=100).where("not kept"), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contamination_digest(contamination(docs, benchmark, window=13)).where("contaminated"))
+    rows = written(docs.withColumn("_pipeline_row", F.monotonically_increasing_id()), "rows", "zstd")
+    return _without(rows, contamination_digest(contamination(rows, benchmark, id_col="_pipeline_row", window=13)).where("contaminated"), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents by the mix of sources."""
-    copies = mix_sources(docs, weights=(5, 2, 1), share=1.5, ceiling=2.0).where("doc_id is not null and copies > 0").select("doc_id", F.col("copies").alias("_pipeline_copies"))
-    mixed = docs.join(copies, "doc_id").select(*(F.col(c) for c in docs.columns), F.explode(F.expr("sequence(1, _pipeline_copies)")).alias("_pipeline_copy")).select(docs.columns)
-    return mixed.union(docs.where("doc_id is null"))
+    rows = _numbered(docs)
+    copies = mix_sources(rows, id_col="_pipeline_row", weights=(5, 2, 1), share=1.5, ceiling=2.0).where("copies > 0").select(F.col("doc_id").alias("_pipeline_row"), F.col("copies").alias("_pipeline_copies"))
+    return rows.join(copies, "_pipeline_row").select(*(F.col(c) for c in docs.columns), F.explode(F.expr("sequence(1, _pipeline_copies)")).alias("_pipeline_copy")).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,24 +291,30 @@ def learn(docs: DataFrame, labelled: DataFrame, *, most_rows: int = 4000, most_f
     return Grammar(grammar.stems, grammar.words, tuple(map(float, fit)))
 
 
-def _scores(held):
+def _scores(held, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = held.value
         for batch in batches:
             s = [grammar.score(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), *batch.columns[3:]], ["doc_id", "held_out", "score", *(["row"] if carry else [])])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, folds: int = 4, held_out: int = 2, threshold: float = 0.3, most_rows: int = 4000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; learns from labels outside the held-out fold only."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, folds: int = 4, held_out: int = 2, threshold: float = 0.3, most_rows: int = 4000, carry: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row; learns from labels outside the held-out fold only.
+
+    carry: also gives ``row``, a struct of all columns of the row that the score is of.
+    """
     small_batches(docs.sparkSession)
     fold = remainder(F.col("doc_id"), folds)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = [F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
     known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(fold != held_out)
     known = known.where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    grammar = learn(rows, known, most_rows=most_rows)
+    grammar = learn(rows.select("doc_id", "text"), known, most_rows=most_rows)
     held = docs.sparkSession.sparkContext.broadcast(grammar)
-    out = rows.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(_scores(held), "doc_id long, held_out boolean, score double")
+    out = rows.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text", *rows.columns[2:])
+    schema = "doc_id long, held_out boolean, score double" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    out = out.mapInArrow(_scores(held, carry), schema)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

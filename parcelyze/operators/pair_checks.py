@@ -19,6 +19,7 @@ from ..config import Options
 from ..functions import planar
 from ..functions.geometry import expand, haversine, line_length
 from ..functions.geometry import segments as ring_segments
+from ..tables import written
 from .spatial_join import BOX, box_pairs
 
 #: Boundaries are numbered by component and ring: up to so many rings a polygon.
@@ -419,9 +420,14 @@ def line_ends(lines: DataFrame, components: DataFrame, options: Options) -> tupl
 def duplicate_polygons(components: DataFrame, max_offset_m: float = 0.01, min_iou: float = 0.9, margin: float = 2.0) -> DataFrame:
     """(feature_index, r_feature_index, kind, offset_m): equal, rearranged or nearly equal polygons of one layer.
 
-    Single-component features are compared. Exact: the same positions in the same order within 1e-9 degrees.
+    Features are compared with all their components; a collection only if it has just one. Exact: the same positions in
+    the same order within 1e-9 degrees.
     """
-    one = components.withColumn("of", F.count("*").over(Window.partitionBy("feature_index"))).where("of = 1").select("feature_index", "layer", "rings", *BOX)
+    one = components.groupBy("feature_index").agg(
+        F.first("layer").alias("layer"), F.array_sort(F.collect_list(F.struct("component", "rings"))).alias("parts"), F.max(F.size("gc_path")).alias("gc"),
+        *(f(b).alias(b) for f, b in zip((F.min, F.min, F.max, F.max), BOX)),
+    ).where("size(parts) = 1 or gc <= 0").select("feature_index", "layer", F.col("parts.rings").alias("polygons"), *BOX)
+    one = written(one, "polygons")
     grow = max_offset_m / k.METRES_PER_DEGREE_LON * margin
     left = _with_box(one, [F.col(b) + (grow if i > 1 else -grow) for i, b in enumerate(BOX)])
     pairs = box_pairs(left, _right(one), cell_size(one), ["layer"]).where("feature_index < r_feature_index")
@@ -430,9 +436,10 @@ def duplicate_polygons(components: DataFrame, max_offset_m: float = 0.01, min_io
 
     def compare(pdf: pd.DataFrame) -> list:
         kinds, offsets = [], []
-        for a, b in zip(pdf["rings"], pdf["r_rings"]):
-            a, b = _lists(a), _lists(b)
-            one, two = planar.polygon_area(a), planar.polygon_area(b)
+        for first, second in zip(pdf["polygons"], pdf["r_polygons"]):
+            first, second = [_lists(x) for x in first], [_lists(x) for x in second]
+            one, two = sum(map(planar.polygon_area, first)), sum(map(planar.polygon_area, second))
+            a, b = [r for x in first for r in x], [r for x in second for r in x]
             kind, off = None, None
             if one > 0 and two > 0:
                 same = len(a) == len(b) and abs(one - two) / max(one, two) <= 1e-9
@@ -441,7 +448,7 @@ def duplicate_polygons(components: DataFrame, max_offset_m: float = 0.01, min_io
                 elif same and all(planar.signature(r, 9) == planar.signature(s, 9) for r, s in zip(a, b)):
                     kind = "Topological"
                 else:
-                    common = planar.intersection_area(a, b)
+                    common = planar.shared_area(first, second)
                     every = one + two - common
                     around = (planar.perimeter(a) + planar.perimeter(b)) / 2
                     off = (every - common) / around if around else 0.0

@@ -3,6 +3,9 @@
 Every step is an aggregate and an equi-join; edges never leave the executors. Each round is a written table, so
 the lineage stays short. Rounds grow with the logarithm of the longest path; the loop ends when a round changes
 nothing.
+
+A hub (a node with more than one in ``HUBS`` of all edge ends) does not bring its edges to one task: there are fewer than
+``HUBS`` hubs, so their leasts are broadcast and their edges stay where they are.
 """
 
 from __future__ import annotations
@@ -12,11 +15,22 @@ from pyspark.sql import functions as F
 
 from ..tables import drop_written, written
 
+#: A node with more than this share of all edge ends is a hub, so there are fewer hubs than that.
+HUBS = 400
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """``edges`` (u, v) with the column m of ``least`` (u, m, n: how many edge ends u has) for its u."""
+    most = max(200, ends // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))  # fewer than HUBS rows
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return others.select("u", "v", "m").unionByName(edges.join(hubs, "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v long): root is the least node that it reaches.
 
@@ -25,11 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(now)
     while before[0]:
+        ends = 2 * before[0]
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.where("v > u"), least, ends).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pairs = _with_least(large, low, ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(pairs.union(low.select("u", "m")).toDF("u", "v").where("u <> v").distinct(), "edges")
         after = _state(new)
         drop_written(now)

@@ -1,28 +1,57 @@
 """Intermediate tables: written once below the folder that driver and executors share, and read back.
 
 A written table cuts the lineage. A lost executor then costs the tasks that it ran, never what stands before the table.
+A session's tables lie below ``parcelyze/<application id>`` there. They go when the driver's Python process ends, as
+DataFrames that a query has returned may still read them.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_cleaned: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where the session names none (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where the session names none: a local folder if all runs in one
+    process, an error on a cluster, whose executors would not see each other's files."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="parcelyze-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
 
 
+def _delete(jvm, hadoop, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(hadoop).delete(p, True)
+
+
+def _delete_quietly(jvm, hadoop, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone before the process ends
+        _delete(jvm, hadoop, path)
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this session's tables."""
+    path = f"{shared_dir(spark)}/parcelyze/{spark.sparkContext.applicationId}"
+    if path not in _cleaned:
+        _cleaned.add(path)
+        atexit.register(_delete_quietly, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
 def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table below the shared folder, with the same schema; codec: the session's, or another."""
-    path = f"{shared_dir(df.sparkSession)}/parcelyze/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
@@ -32,9 +61,7 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration(), t.written_path)
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -1,122 +1,211 @@
-"""Line dedup: repeated passages of whole lines are removed, found as content-defined chunks of lines.
-
-1. A text's lines (split at line feeds) are hashed. A hash that rolls over the last two lines decides whether a chunk ends
-   after a line, so that a passage is cut alike wherever it stands, from its first own boundary on.
-2. Chunks are counted over the whole table by hash. The hashes that occur more than once set bits of a map of fixed size;
-   only chunks whose bit is set go on with their bytes (a bit set by another hash costs a row, never a result).
-3. Those are grouped by hash and bytes, so equal hashes of different bytes are different chunks. The first
-   occurrence of a chunk (in order of id, text hash, place) always stays; all others are repeats.
-4. In each text a run of adjacent repeats with more than ``least_words`` words is removed. Nothing is removed of which no
-   copy stays.
-
-A passage's lines before its first and after its last boundary share a chunk with what surrounds it and stay; a passage
-without two boundaries is not found, unless it begins or ends with its text.
-
-Defined results. A null text has no lines and stays null; an empty one is one empty line. A chunk without words is no
-repeat of its own: it goes with the chunk before it. Null ids come last in the order; each row counts, also rows
-that repeat an id. Of rows that are equal in id and text one stays. An empty table gives an empty result. Other columns are
-ignored.
+"""Line dedup: repeated passages are removed, found as content-defined chunks of lines.
+
+1. Lines: a text is split at line feeds, and a line is split further after each word at which a hash that rolls over two
+   words has a local minimum, as prose often has a whole paragraph in one line. A hash that rolls over two of these
+   lines' hashes ends a chunk where it has a local minimum. What is cut depends on a few words about it only, so a
+   passage falls to the same chunks wherever it stands, whether or not it begins with a line of its own.
+2. Chunks are counted over the whole table by hash. The repeated hashes set bits of a map, which is broadcast if they are at
+   most ``most_mapped``; beyond, chunks are joined to them. Only chunks that may repeat go on with their bytes.
+3. Those are grouped by hash and bytes, so equal hashes of different bytes are different chunks. A chunk's first
+   occurrence (in order of id, text, place) stays; the others are repeats of it.
+4. A run of adjacent repeats grows at both ends by the words (``REACH`` at most) that it has in common there with the first
+   occurrence, whose text is asked for them: boundaries differ only close to a passage's ends. A run of more than
+   ``least_words`` words is removed, with the white space after it, or that before it if only the space after has a line
+   feed or nothing follows. Of each removed word a copy stays that stands earlier, with the same neighbours.
+
+A passage is not found if no chunk lies within it whole; chunks have about nine words, and at least four unless lines are
+shorter.
+
+Defined results. A null text has no lines and stays null; an empty one is one empty line. Rows that repeat an id
+and a text are one document: they give equal rows and do not count as copies of each other. Null ids come last in the
+order, and are told apart by their texts. Ties in the order do not arise otherwise. Very long texts are cut like all others;
+a text of one repeated word, or without spaces, is one chunk. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import _SPACE, binary_array, drop_written, mix, slices, small_batches, word_hashes, written
+from .shared import Words, byte_spans, drop_written, mix, slices, small_batches, written
 
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
-#: A chunk ends after one line in so many.
-EVERY = 2
+#: Repeated hashes that a map of bits is made of at most, and run ends that are broadcast at most.
+MOST_MAPPED, MOST_ENDS = 1 << 24, 1 << 20
+#: Words by which a run grows at most at either end.
+REACH = 64
+
+SCHEMA = "doc_id long, n_lines long, lines_removed long, n_words long, words_removed long, text string"
+_FOUND = ["doc_id", "text_key", "text_mark", "place", "hash", "bytes"]
+_KEYS = ["text_key", "text_mark"]
+_BEFORE, _AFTER = 0, 1
 
-#: log2 of the bits in the map of repeated hashes.
-MAP_BITS = 25
 
-SCHEMA = "doc_id long, n_lines long, lines_removed long, words_removed long, text string"
+def rolled(hashes: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """A hash of each entry and the one before it; ``fresh`` entries have none before."""
+    before = np.zeros_like(hashes)
+    before[1:] = hashes[:-1]
+    before[fresh] = 0
+    with np.errstate(over="ignore"):
+        return mix(before * _ROLL + hashes)
+
+
+def minima(keys: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Whether each key is below both of its neighbours; ``fresh`` ones begin a sequence, and outside it nothing is lower."""
+    out = np.ones(len(keys), bool)
+    out[1:] &= fresh[1:] | (keys[1:] < keys[:-1])
+    out[:-1] &= fresh[1:] | (keys[:-1] < keys[1:])
+    return out
 
 
 class Chunks:
     """The chunks of a slice of texts.
 
-    starts, ends: byte positions; words, lines: how many each has; first: index of each row's first chunk (rows + 1 entries).
+    words: its words; lines: how many line feeds stand before each word; head, tail: each chunk's first word and that
+    after its last; hashes: of its bytes, from the first word's first to the last word's last; first: each row's first chunk.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, every: int = EVERY):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        w = self.words = Words(raw, offsets, fold=False)
+        n = len(w.starts)
         feeds = np.flatnonzero(raw == 10)
-        bounds = np.concatenate([[0], np.cumsum(np.diff(np.searchsorted(feeds, offsets)) + 1)])
-        opens, closes = np.zeros(bounds[-1], bool), np.zeros(bounds[-1], bool)
-        opens[bounds[:-1]] = True
-        closes[bounds[1:] - 1] = True
-        starts, ends = np.empty(len(opens), np.int64), np.empty(len(opens), np.int64)
-        starts[opens], starts[~opens] = offsets[:-1], feeds + 1
-        ends[closes], ends[~closes] = offsets[1:], feeds
-        own = word_hashes(raw, starts, ends)
-        before = np.zeros(len(own), np.uint64)
-        before[1:] = own[:-1]
-        before[opens] = 0
-        with np.errstate(over="ignore"):
-            closes |= mix(before * _ROLL + own) % np.uint64(every) == 0
-        last = np.flatnonzero(closes)
-        head = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
-        self.starts, self.ends, self.lines = starts[head], ends[last], last + 1 - head
-        self.first = np.searchsorted(head, bounds)
-        inside = ~_SPACE[raw]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        edges = offsets[1:-1]
-        edges = edges[edges < len(raw)]
-        begins[edges] = inside[edges]
-        count = np.concatenate([[0], np.cumsum(begins)])
-        self.words = count[self.ends] - count[self.starts]
+        self.feeds = np.diff(np.searchsorted(feeds, offsets))
+        self.lines = np.searchsorted(feeds, w.starts)
+        begins = np.zeros(n, bool)  # a row's first word
+        begins[w.first[:-1][np.diff(w.first) > 0]] = True
+        fresh = begins.copy()  # a line's first word
+        fresh[1:] |= self.lines[1:] != self.lines[:-1]
+        ends = minima(rolled(w.hashes, fresh), fresh)
+        ends[:-1] |= fresh[1:]
+        ends[-1:] = True
+        last = np.flatnonzero(ends)
+        line_head = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if n else last
+        opens = begins[line_head]
+        chunk_ends = minima(rolled(w.spans.hashes(w.starts[line_head], w.ends[last]), opens), opens)
+        chunk_ends[:-1] |= opens[1:]
+        chunk_ends[-1:] = True
+        stop = np.flatnonzero(chunk_ends)
+        start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64) if n else stop
+        self.head, self.tail = line_head[start], last[stop] + 1
+        self.starts, self.ends = w.starts[self.head], w.ends[self.tail - 1]
+        self.hashes = w.spans.hashes(self.starts, self.ends)
+        self.first = np.searchsorted(self.head, w.first)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> the hash of each chunk with words."""
+    """(text) -> how often each chunk's hash occurs in a slice."""
     for batch in batches:
         for _, _, raw, at in slices(batch.column(0)):
-            c = Chunks(raw, at)
-            some = c.words > 0
-            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(raw, c.starts[some], c.ends[some]).view(np.int64))], ["hash"])
+            found, n = np.unique(Chunks(raw, at).hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+
+def _mapped(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - (len(bits).bit_length() + 5))
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _chunks(held):
-    """(row, doc_id, mark, text) -> a row for each chunk with words whose hash is in the map."""
+    """(doc_id, text_key, text_mark, text) -> a row for each chunk, of those in the map if there is one (``_FOUND``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
         for batch in batches:
             for i, j, raw, at in slices(batch.column(3)):
                 c = Chunks(raw, at)
-                some = np.flatnonzero(c.words > 0)
-                hashes = word_hashes(raw, c.starts[some], c.ends[some])
-                bit = hashes >> np.uint64(64 - MAP_BITS)
-                hit = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                some, hashes = some[hit], hashes[hit]
+                some = np.arange(len(c.hashes)) if held is None else np.flatnonzero(_mapped(c.hashes, held.value))
                 rows = np.repeat(np.arange(j - i), np.diff(c.first))[some]
-                place = some - c.first[rows]
-                parts = [raw[a:b].tobytes() for a, b in zip(c.starts[some].tolist(), c.ends[some].tolist())]
                 own = [batch.column(k).slice(i, j - i).take(pa.array(rows)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(place.astype(np.int64)), pa.array(hashes.view(np.int64)), binary_array(parts)], ["row", "doc_id", "mark", "place", "hash", "bytes"])
+                place = pa.array(some - c.first[rows])
+                yield pa.RecordBatch.from_arrays([*own, place, pa.array(c.hashes[some].view(np.int64)), byte_spans(raw, c.starts[some], c.ends[some])], _FOUND)
 
     return run
 
 
-def _repeated_map(hashes: DataFrame) -> np.ndarray:
-    """The bits of all hashes that occur more than once, in 64-bit words."""
-    bit = F.shiftrightunsigned("hash", 64 - MAP_BITS)
-    twice = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(bit.alias("bit"))
-    words = twice.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+def _bits(twice: DataFrame, n: int) -> np.ndarray:
+    """A map with a bit set for the top bits of each hash: 32 bits a hash, or as many as there may be."""
+    size = min(27, max(20, math.ceil(math.log2(32 * n + 1))))
+    at = F.shiftrightunsigned("hash", 64 - size)
+    words = twice.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, text_mark, text, asked: places and sides) -> the words beside each place asked for."""
+    for batch in batches:
+        asked = batch.column(3).to_pylist()
+        for i, j, raw, at in slices(batch.column(2)):
+            c = Chunks(raw, at)
+            w, out = c.words, []
+            for r in range(j - i):
+                a, b = int(w.first[r]), int(w.first[r + 1])
+                for x in asked[i + r]:
+                    k = int(c.first[r]) + x["place"]
+                    p, q = (max(a, int(c.head[k]) - REACH), int(c.head[k])) if x["side"] == _BEFORE else (int(c.tail[k]), min(b, int(c.tail[k]) + REACH))
+                    out.append((r, x["place"], x["side"], raw[w.starts[p] : w.ends[q - 1]].tobytes() if q > p else b""))
+            own = [batch.column(k).slice(i, j - i).take(pa.array([o[0] for o in out], pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())], ["kept_key", "kept_mark", "kept_place", "side", "beside"])
+
+
+def common_head(a: list[bytes], b: list[bytes]) -> int:
+    """How many words at the beginning of both are equal."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _gone(c: Chunks, raw: np.ndarray, row: int, repeats: list[dict], least_words: int) -> np.ndarray:
+    """Which words of a row go. repeats: places of repeats (side null), and what stands beside the first occurrences of runs' ends."""
+    w = c.words
+    a, b, base = int(w.first[row]), int(w.first[row + 1]), int(c.first[row])
+    said = lambda p, q: [raw[w.starts[k] : w.ends[k]].tobytes() for k in range(p, q)]
+    out = np.zeros(b - a, bool)
+    places = sorted({r["place"] for r in repeats if r["side"] is None})
+    beside = {(r["place"], r["side"]): r["beside"].split() for r in repeats if r["side"] is not None}
+    i = 0
+    while i < len(places):
+        j = i
+        while j + 1 < len(places) and places[j + 1] == places[j] + 1:
+            j += 1
+        begin, end = int(c.head[base + places[i]]), int(c.tail[base + places[j]])
+        left, right = beside.get((places[i], _BEFORE), []), beside.get((places[j], _AFTER), [])
+        begin -= common_head(said(max(a, begin - REACH), begin)[::-1], left[::-1])
+        end += common_head(said(end, min(b, end + REACH)), right)
+        if end - begin > least_words:
+            out[begin - a : end - a] = True
+        i = j + 1
+    return out
+
+
+def _kept(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int, stop: int, gone: np.ndarray) -> bytes:
+    """A text without some of its words; starts, ends: byte positions of its words, begin, stop: its own."""
+    edges = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    parts, at = [], begin
+    for p, q in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
+        lead = raw[ends[p - 1] if p else begin : starts[p]]
+        trail = raw[ends[q - 1] : starts[q] if q < len(starts) else stop]
+        # One of the two spaces stays: that with a line feed, if only one has.
+        if q == len(starts) or (trail == 10).any() and not (lead == 10).any():
+            cut, on = (ends[p - 1] if p else begin), ends[q - 1]
+        else:
+            cut, on = starts[p], starts[q]
+        parts.append(raw[at:cut].tobytes())
+        at = on
+    parts.append(raw[at:stop].tobytes())
+    return b"".join(parts)
+
+
 def _cut(least_words: int):
-    """(doc_id, text, places of repeats) -> the result's rows."""
+    """(doc_id, text, repeats) -> the result's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,51 +213,68 @@ def _cut(least_words: int):
             repeats = batch.column(2).to_pylist()
             for i, j, raw, at in slices(batch.column(1)):
                 c = Chunks(raw, at)
-                out = []
+                w = c.words
+                lines, words = np.where(null[i:j], 0, c.feeds + 1), np.diff(w.first)
+                lines_gone, words_gone = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
+                texts = batch.column(1).slice(i, j - i)
+                new: dict[int, str] = {}
                 for r in range(j - i):
-                    a, b = int(c.first[r]), int(c.first[r + 1])
-                    n = int(c.lines[a:b].sum())
-                    if null[i + r]:
-                        out.append((0, 0, 0, None))
+                    if repeats[i + r] is None:
                         continue
-                    again = set(repeats[i + r] or ())
-                    gone, run_words = np.zeros(b - a, bool), 0
-                    begin = None
-                    for p in range(b - a + 1 if again else 0):
-                        repeat = p < b - a and (p in again if c.words[a + p] else begin is not None)
-                        if repeat:
-                            begin = p if begin is None else begin
-                            run_words += int(c.words[a + p])
-                        elif begin is not None:
-                            gone[begin:p] = run_words > least_words
-                            begin, run_words = None, 0
-                    stay = np.flatnonzero(~gone) + a
+                    gone = _gone(c, raw, r, repeats[i + r], least_words)
                     if gone.any():
-                        text = b"\n".join(raw[s:e].tobytes() for s, e in zip(c.starts[stay], c.ends[stay]))
-                    else:
-                        text = raw[at[r] : at[r + 1]].tobytes()
-                    out.append((n, int(c.lines[a:b][gone].sum()), int(c.words[a:b][gone].sum()), text))
-                kinds = [pa.int64(), pa.int64(), pa.int64()]
-                cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
-                texts = pa.array([x[3] for x in out], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols, texts], ["doc_id", "n_lines", "lines_removed", "words_removed", "text"])
+                        a, b = int(w.first[r]), int(w.first[r + 1])
+                        words_gone[r] = gone.sum()
+                        own = c.lines[a:b]
+                        lines_gone[r] = len(np.unique(own)) - len(np.unique(own[~gone]))
+                        new[r] = _kept(raw, w.starts[a:b], w.ends[a:b], int(at[r]), int(at[r + 1]), gone).decode("utf-8", "replace")
+                if new:
+                    texts = pa.array([new.get(r, t) for r, t in enumerate(texts.to_pylist())], pa.string())
+                cols = [pa.array(x.astype(np.int64)) for x in (lines, lines_gone, words, words_gone)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols, texts], [f.split(" ")[0] for f in SCHEMA.split(", ")])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50) -> DataFrame:
-    """(doc_id, n_lines, lines_removed, words_removed, text) for each row; see the module's text."""
-    small_batches(docs.sparkSession)
+def _identity(text: Column, doc_id: Column) -> list[Column]:
+    """128 bits that tell documents apart: of the id and the text's length, and of the text. Null texts match nothing."""
+    return [F.when(text.isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("none")), F.length(text))).alias("text_key"), F.xxhash64(text).alias("text_mark")]
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50, most_mapped: int = MOST_MAPPED, most_ends: int = MOST_ENDS) -> DataFrame:
+    """(doc_id, n_lines, lines_removed, n_words, words_removed, text) for each row; see the module's text.
+
+    lines_removed: lines that had words and have none left.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows", "zstd")
+    rows = rows.select("doc_id", *_identity(F.col("text"), F.col("doc_id")), "text")
     some = rows.where("text is not null")
-    held = docs.sparkSession.sparkContext.broadcast(_repeated_map(some.select("text").mapInArrow(_hashes, "hash long")))
-    found = some.select("row", "doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_chunks(held), "row long, doc_id long, mark long, place long, hash long, bytes binary")
-    found = written(found, "repeated", "zstd")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "row", "place")
-    first = found.groupBy("hash", "bytes").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("hash", "bytes", F.col("first.row").alias("kept_row"), F.col("first.place").alias("kept_place")), "kept", "zstd")
-    repeats = found.join(first.hint("merge"), ["hash", "bytes"]).where("row <> kept_row or place <> kept_place").select("row", "place")
-    repeats = written(repeats.groupBy("row").agg(F.collect_list("place").alias("places")), "repeats")
-    drop_written(found, first)
-    return rows.join(repeats.hint("merge"), "row", "left").select("doc_id", "text", "places").mapInArrow(_cut(least_words), SCHEMA)
+    counts = some.select("text").mapInArrow(_hashes, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    twice = written(counts.where("n > 1").select("hash"), "twice")
+    n = twice.count()
+    held = spark.sparkContext.broadcast(_bits(twice, n)) if n <= most_mapped else None
+    found = some.mapInArrow(_chunks(held), "doc_id long, text_key long, text_mark long, place long, hash long, bytes binary")
+    if held is None:
+        found = found.join(twice.hint("merge"), "hash", "left_semi").select(_FOUND)
+    found = written(found, "found", "zstd")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_mark", "text_key", "place")
+    first = found.groupBy("hash", "bytes").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    first = written(first.select("hash", "bytes", F.col("kept.text_key").alias("kept_key"), F.col("kept.text_mark").alias("kept_mark"), F.col("kept.place").alias("kept_place")), "first", "zstd")
+    again = found.join(first.hint("merge"), ["hash", "bytes"]).where("text_key <> kept_key or text_mark <> kept_mark or place <> kept_place")
+    run = Window.partitionBy(*_KEYS).orderBy("place")
+    again = again.select(*_KEYS, "place", "kept_key", "kept_mark", "kept_place").distinct()
+    again = again.withColumn("begins", F.coalesce(F.lag("place").over(run) < F.col("place") - 1, F.lit(True))).withColumn("ends", F.coalesce(F.lead("place").over(run) > F.col("place") + 1, F.lit(True)))
+    again = written(again, "again")
+    kept = ["kept_key", "kept_mark", "kept_place"]
+    ends = again.select(*_KEYS, "place", *kept, F.explode(F.array_compact(F.array(F.when(F.col("begins"), F.lit(_BEFORE)), F.when(F.col("ends"), F.lit(_AFTER))))).alias("side"))
+    asked = written(ends.select(*kept, "side").distinct().groupBy("kept_key", "kept_mark").agg(F.collect_list(F.struct(F.col("kept_place").alias("place"), "side")).alias("asked")).toDF(*_KEYS, "asked"), "asked")
+    few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= most_ends
+    told = some.join(F.broadcast(asked) if few else asked.hint("merge"), _KEYS).select(*_KEYS, "text", "asked")
+    told = written(told.mapInArrow(_surroundings, "kept_key long, kept_mark long, kept_place long, side int, beside binary").dropDuplicates([*kept, "side"]), "told")
+    ends = ends.join(told.hint("merge"), [*kept, "side"]).select(*_KEYS, "place", "side", "beside")
+    every = again.select(*_KEYS, "place", F.lit(None).cast("int").alias("side"), F.lit(None).cast("binary").alias("beside")).unionByName(ends)
+    repeats = written(every.groupBy(*_KEYS).agg(F.collect_list(F.struct("place", "side", "beside")).alias("repeats")), "repeats", "zstd")
+    drop_written(twice, found, first, again, asked, told)
+    return rows.join(repeats.hint("merge"), _KEYS, "left").select("doc_id", "text", "repeats").mapInArrow(_cut(least_words), SCHEMA)

@@ -8,26 +8,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from ..tables import drop_written, shared_dir, written
+from ..tables import drop_written, session_dir, written
 
-__all__ = ["Words", "binary_array", "chained", "drop_written", "joined_ranges", "mix", "row_of", "shared_dir", "slices", "small_batches", "text_bytes", "word_hashes", "written"]
+__all__ = ["SPACE", "Spans", "Words", "binary_array", "byte_spans", "chained", "drop_written", "joined_ranges", "mix", "row_of", "session_dir", "slices", "small_batches", "text_bytes", "word_hashes", "written"]
 
 #: Text bytes that one numpy step takes at most, unless a single text is longer.
-SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch: bounds what one Python worker holds at once.
-BATCH_ROWS = 2000
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch: bound what one Python worker holds at once, unless a single row is larger.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a bounded row count for the Python stages (a session setting)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lowers the session's Arrow batch limits to ``BATCH_ROWS`` and ``BATCH_BYTES``, where they are higher.
+
+    They stay lowered: what an operator returns is planned after it has returned. Limits change no result.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        have = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < have <= most:
+            spark.conf.set(key, str(most))
 
 
 # ---- texts as bytes -------------------------------------------------------------------------------------------
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -90,13 +96,13 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, A-Z lower-cased, as 64-bit hashes.
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, as 64-bit hashes.
 
     hashes: one for each word, in order; first: index of each row's first word (rows + 1 entries);
-    starts, ends: byte positions in the slice.
+    starts, ends: byte positions in the slice; spans: hashes of other byte spans. fold: A-Z count as a-z.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, fold: bool = True):
         inside = ~apart[raw]
         n = len(raw)
         begins = inside.copy()
@@ -110,15 +116,27 @@ class Words:
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = word_hashes(_LOWER[raw], self.starts, self.ends)
+        self.spans = Spans(_LOWER[raw] if fold else raw)
+        self.hashes = self.spans.hashes(self.starts, self.ends)
+
+
+class Spans:
+    """64-bit hashes of byte spans of some bytes, by one running polynomial sum over them."""
+
+    def __init__(self, raw: np.ndarray):
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            values = _BYTE[raw]
+            values *= _power(_BASE, len(raw))
+            np.cumsum(values, out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[ends] - self.total[starts]) * _power(_BASE_INVERSE, len(self.total))[starts] + (ends - starts).astype(np.uint64) * _GAMMA)
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by one running polynomial sum over the bytes."""
-    total = np.zeros(len(raw) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=total[1:])
-        return mix((total[ends] - total[starts]) * _power(_BASE_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * _GAMMA)
+    return Spans(raw).hashes(starts, ends)
 
 
 def chained(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -147,3 +165,13 @@ def joined_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def byte_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte spans as a binary column."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    data = raw[joined_ranges(starts, lengths)] if len(starts) else np.zeros(0, np.uint8)
+    if offsets[-1] > np.iinfo(np.int32).max:
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])

@@ -7,8 +7,10 @@ labelled documents, the same number of each language. A fifth of the sample is h
 scores probabilities, and the least score at which accepted predictions reach ``precision``.
 
 Defined results. Null text, or text without letters: ``und``, score 0, not accepted. Ties go to the first
-language in order. Without any labelled rows all is ``und``. A null id is predicted but never learned from, and counts as
-not held out. Rows that repeat give equal rows; other columns are ignored.
+language in order. Without any labelled rows all is ``und``. Of more than ``most_languages`` labels the most frequent are learned. A null
+id is predicted but never learned from, and counts as not held out; of an id's several texts with one label one is learned from.
+Very long texts are read whole. Rows that repeat give equal rows; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -151,14 +153,15 @@ def _predict(held):
     return run
 
 
-def train_languages(docs: DataFrame, labelled: DataFrame, *, most_rows: int = 4000, most_languages: int = 200) -> Model | None:
-    """A model from at most ``most_rows`` of the rows of ``labelled`` (doc_id, label); docs: (doc_id, text)."""
-    names = [r[0] for r in labelled.where("label is not null").groupBy("label").agg(F.count("*")).limit(most_languages + 1).collect()]
-    if len(names) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+def train_languages(docs: DataFrame, *, most_rows: int = 4000, most_languages: int = 200) -> Model | None:
+    """A model from at most ``most_rows`` of the rows of ``docs`` (doc_id, label, text)."""
+    # Of very many labels the most frequent are learned: the sample and the model stay bounded.
+    counts = docs.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label")
+    names = [r[0] for r in counts.limit(most_languages).collect()]
     if not names:
         return None
-    sample = labelled_sample(docs, labelled, max(1, most_rows // len(names)), "languages")
+    docs = docs.where(F.col("label").isin(names))
+    sample = labelled_sample(docs, docs.select("doc_id", "label"), max(1, most_rows // len(names)), "languages")
     rows = sample.select("label", "text").mapInArrow(_count_rows, "label string, counts binary").collect()
     if not rows:
         return None
@@ -173,6 +176,6 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fold = remainder(F.col("doc_id"), folds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     labelled = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull() & (fold != held_out))
-    model = train_languages(rows.select("doc_id", "text"), labelled.select("doc_id", "label"), most_rows=most_rows)
+    model = train_languages(labelled, most_rows=most_rows)
     held = docs.sparkSession.sparkContext.broadcast(model)
     return rows.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text").mapInArrow(_predict(held), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

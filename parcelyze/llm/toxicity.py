@@ -1,18 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon turns words into classes: insults and threats carry weights, targets, negations, reporting verbs and quotes
-carry none. Three small transducers read the classes of a clause: negation scales down what stands in its reach,
-reported speech scales down what is quoted, and target raises an insult or threat next to a person. Their composition, made
-once as a table, scores a matched clause in one left-to-right run; words alone score nothing. A document's clause
+A lexicon turns words into classes: insults and threats carry weights; persons, articles, modals, negations, reporting verbs
+and quotes carry none. Five small transducers read the classes of a clause: an insult counts more after another one; a
+threat counts only before a person, and more after a modal; a target gives an insult its weight, a person more than an article, an
+article more than another insult, a near person more than a far one, and none of these in the clause none at all; negation scales down what stands in its reach; reported
+speech what is quoted. The target may stand on either side: what follows is known from a run from right to left, so the
+composition, made once as a table, is a bimachine: two runs score a clause. Words alone score nothing. A document's clause
 scores (sum, peak, sum for each fifty words) give its score by logistic regression.
 
-Learned from labelled rows, of which at most ``most_rows`` are sampled: the insult weights of words and word stems
+Learned from labelled rows, of which at most ``most_rows`` are sampled: the weights of words and word stems
 (non-negative, sparse logistic regression; stems find inflected forms that no labelled row holds), and the last regression,
-shifted to the labels' share of positives. A few seed words keep a default weight where the sample does not hold them.
+shifted to the labels' share of positives. Seed insults and threats keep a default weight where the sample does not hold them.
 
-Defined results. Null or empty text, or text without a matched clause: the least score that the model gives (not 0).
-Without labels of both kinds only the seeds score. A null id is scored, never learned from, and not held out.
-Of several labels for one id the largest counts. Rows that repeat give equal rows; other columns are ignored.
+Defined results. Null or empty text, a text of one word, or text without a matched clause: the least score that the model gives (not
+0). With fewer than ``LEAST_ROWS`` sampled rows of either label only the seeds score, by fixed weights. A null id is scored, never learned from,
+and not held out. Of several labels for one id the largest counts, of several texts of an id one is learned from. Very
+long texts are scored whole. Ties in weight keep all words. Rows that repeat give equal rows; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,57 +36,119 @@ from pyspark.sql import functions as F
 from .sample import labelled_sample, remainder
 from .shared import small_batches
 
-# Seed words of the classes.
+# Seed words of the classes, in English, German, French and Spanish.
 INSULTS = "idiot moron stupid scum trash loser pathetic worthless disgusting clown".split()
-THREATS = "kill hurt destroy beat shoot stab punish attack burn crush".split()
-TARGETS = "you your yours yourself u ur he him his she her they them their these those this that du dich dir ihr tu te toi vous tú usted".split()
+THREATS = (
+    "kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beating shoot shoots shooting stab stabs stabbing punish punishes attack attacks attacking burn burns burning crush crushes crushing "
+    "töte töten tötet schlage schlagen schlägt erschieße erschießen verletze verletzen vernichte vernichten "
+    "tuer tue tuerai frapper frappe blesser blesse détruire détruis "
+    "matar mato mataré golpear golpeo herir hiero destruir destruyo"
+).split()
+PERSONS = (
+    "you your yours yourself u ur he him his she her they them their these those we us our who "
+    "du dich dir ihr ihn ihm euch sie er wir uns wer "
+    "tu te toi vous il elle ils elles nous lui leur qui "
+    "tú usted ustedes él ella ellos ellas nosotros quien"
+).split()
+ARTICLES = "the a an this that such what der die das den dem des ein eine einen einer einem le la les un une ce cet cette que el los las una este esta ese esa lo".split()
+MODALS = "will shall would gonna going must should werde wirst wird werden soll sollte vais va vas vamos voy debe doit".split()
 NEGATIONS = "not no never without neither nor isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie ne pas jamais nunca".split()
 REPORTS = "said says say told tells wrote writes reported claimed alleged quoted called sagte dit dijo".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+OTHER, INSULT, THREAT, PERSON, ARTICLE, MODAL, NEGATION, REPORT, QUOTE = range(9)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_STOP = re.compile(r"[.!?;:\n]")
+#: A single stop or an empty line ends a clause; several stops in a row are emphasis, and a line break alone is none, as lines are wrapped.
+_STOP = re.compile(r"(?<![.!?])[.!?;:](?![.!?])|\n(?=[^\S\n]*\n)")
 STEMS = range(4, 9)
+#: Sampled rows of each label that it takes to learn.
+LEAST_ROWS = 5
+_SEED_WEIGHT = 0.5
 
 
-# ---- transducers: (state, class) -> (next state, factor of an insult's or threat's weight) ---------------------------
+# ---- transducers: a step (state, class) -> state, and a factor (state, class) of an insult's or threat's weight -----------
 
 
-def _negation(state: int, kind: int) -> tuple[int, float]:
+class Insults:
+    """0: no insult yet, 1: one out of reach, 2 to 4: one within three words, after which the next counts more."""
+
+    def step(self, state: int, kind: int) -> int:
+        return 4 if kind == INSULT else max(state - 1, 1) if state else 0
+
+    def factor(self, state: int, kind: int) -> float:
+        return 1.2 if state > 1 and kind == INSULT else 1.0
+
+
+class Threats:
+    """A threat within three words after a modal counts more."""
+
+    def step(self, state: int, kind: int) -> int:
+        return 3 if kind == MODAL else max(0, state - 1)
+
+    def factor(self, state: int, kind: int) -> float:
+        return 1.5 if state and kind == THREAT else 1.0
+
+
+class Negation:
     """Three words after a negation are in its reach."""
-    return (3 if kind == NEGATION else max(0, state - 1)), 0.3 if state else 1.0
 
+    def step(self, state: int, kind: int) -> int:
+        return 3 if kind == NEGATION else max(0, state - 1)
+
+    def factor(self, state: int, kind: int) -> float:
+        return 0.3 if state else 1.0
 
-def _reported(state: int, kind: int) -> tuple[int, float]:
+
+class Reported:
     """State 1 after a reporting verb, 2 between quotes; either lasts to the clause's end or the closing quote."""
-    if kind == QUOTE:
-        return (0 if state == 2 else 2), 1.0
-    return (1 if kind == REPORT and state == 0 else state), 0.5 if state else 1.0
 
+    def step(self, state: int, kind: int) -> int:
+        if kind == QUOTE:
+            return 0 if state == 2 else 2
+        return 1 if kind == REPORT and state == 0 else state
+
+    def factor(self, state: int, kind: int) -> float:
+        return 0.5 if state else 1.0
 
-def _targeted(state: int, kind: int) -> tuple[int, float]:
-    """Four words after a target an insult or threat counts more."""
-    return (4 if kind == TARGET else max(0, state - 1)), 1.5 if state else 1.0
 
+class Target:
+    """0: none yet, 1: another insult only (who calls names calls someone), 2: an article, 3: a person out of reach, 4 to 7: a
+    person within four words. Read in both directions."""
 
-def compose(*parts) -> tuple[np.ndarray, np.ndarray]:
-    """(next, factor) tables of the composition: states reachable from all zeros, by class."""
-    names: dict[tuple, int] = {(0,) * len(parts): 0}
-    order, step, factor = [*names], [], []
+    def step(self, state: int, kind: int) -> int:
+        if kind == PERSON:
+            return 7
+        return max(state - 1, 3) if state > 3 else max(state, {ARTICLE: 2, INSULT: 1}.get(kind, 0))
+
+    def aimed(self, before: int, after: int, kind: int) -> float:
+        if kind == THREAT:
+            return 1.0 if after > 3 else 0.0
+        return (0.0, 0.6, 0.8, 1.0, 1.5)[min(4, max(before, after))]
+
+
+_KINDS = 9
+
+
+def compose() -> tuple[list[list[int]], list[list[int]], list[list[tuple[float, float]]]]:
+    """(forward steps, backward steps, factors): the table of the composition.
+
+    Steps by state and class; factors by forward and backward state, for insults and threats.
+    """
+    parts, target = (Insults(), Threats(), Negation(), Reported()), Target()
+    names: dict[tuple, int] = {(0,) * (len(parts) + 1): 0}
+    order, forward = [*names], []
     for state in order:
-        row_step, row_factor = [], []
-        for kind in range(7):
-            moved = [part(s, kind) for part, s in zip(parts, state)]
-            to = tuple(m[0] for m in moved)
+        row = []
+        for kind in range(_KINDS):
+            to = tuple(p.step(s, kind) for p, s in zip((*parts, target), state))
             if to not in names:
                 names[to] = len(names)
                 order.append(to)
-            row_step.append(names[to])
-            row_factor.append(float(np.prod([m[1] for m in moved])))
-        step.append(row_step)
-        factor.append(row_factor)
-    return np.array(step), np.array(factor)
+            row.append(names[to])
+        forward.append(row)
+    backward = [[target.step(s, kind) for kind in range(_KINDS)] for s in range(8)]
+    factors = [[tuple(float(np.prod([p.factor(s, kind) for p, s in zip(parts, state)])) * target.aimed(state[-1], after, kind) for kind in (INSULT, THREAT)) for after in range(8)] for state in order]
+    return forward, backward, factors
 
 
 @dataclass
@@ -107,32 +173,47 @@ class Grammar:
             for s in itertools.chain(self.stems, self.words, THREATS):
                 machine.add_word(s, s)
             machine.make_automaton()
-            step, factor = compose(_negation, _reported, _targeted)
-            self._step, self._factor = step.tolist(), factor.tolist()
-            self._kind = {w: k for k, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
+            self._forward, self._backward, self._factors = compose()
+            classes = ((PERSON, PERSONS), (ARTICLE, ARTICLES), (MODAL, MODALS), (NEGATION, NEGATIONS), (REPORT, REPORTS))
+            self._kind = {w: k for k, ws in reversed(classes) for w in ws}
+            self._threats = frozenset(THREATS)
             self._machine = machine
         return self._machine
 
     def weight(self, word: str) -> float:
         return self.words.get(word, 0.0) + sum(self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n)
 
-    def clause(self, text: str) -> float:
-        """The score of one clause, lower-cased."""
+    def classes(self, text: str) -> tuple[list[int], list[float]]:
+        """The classes and weights of a lower-cased clause's words and quotes."""
         self._ready()
-        state, total, threat_at, place = 0, 0.0, -9, 0
-        for place, m in enumerate(_WORD.finditer(text)):
+        kinds, weights = [], []
+        for m in _WORD.finditer(text):
             word = m[0]
-            kind, w = self._kind.get(word, OTHER), 0.0
+            w = self.weight(word)
             if len(word) == 1 and not word.isalpha():
-                kind = QUOTE
-            elif (w := self.weight(word)) > 0:
+                kind, w = QUOTE, 0.0
+            elif word in self._threats:
+                kind, w = THREAT, w or _SEED_WEIGHT
+            elif w > 0:
                 kind = INSULT
-            elif kind == THREAT:
-                threat_at = place
-            elif kind == TARGET and 0 < place - threat_at <= 3:  # a threat needs its target after it
-                w = 0.5
-            total += w * self._factor[state][kind]
-            state = self._step[state][kind]
+            else:
+                kind = self._kind.get(word, OTHER)
+            kinds.append(kind)
+            weights.append(w)
+        return kinds, weights
+
+    def clause(self, text: str) -> float:
+        """The score of one clause, lower-cased: a run from the right, then one from the left that adds up weights."""
+        kinds, weights = self.classes(text)
+        after, now = [], 0
+        for kind in reversed(kinds):
+            after.append(now)
+            now = self._backward[now][kind]
+        total, state = 0.0, 0
+        for kind, w, ahead in zip(kinds, weights, reversed(after)):
+            if w:
+                total += w * self._factors[state][ahead][kind - INSULT]
+            state = self._forward[state][kind]
         return total
 
     def matched(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -251,7 +332,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 6
 def learn(docs: DataFrame, labelled: DataFrame, *, most_rows: int = 4000, most_features: int = 3000) -> Grammar:
     """A grammar from at most ``most_rows`` rows; docs: (doc_id, text); labelled: (doc_id, label 0 or 1)."""
     spark = docs.sparkSession
-    seeds = Grammar({}, dict.fromkeys(INSULTS, 1.0))
+    seeds = Grammar({}, dict.fromkeys(INSULTS, _SEED_WEIGHT))
     share = {r[0]: r[1] for r in labelled.groupBy("label").agg(F.count("*")).collect()}
     if not share.get(0) or not share.get(1):
         return seeds
@@ -259,7 +340,7 @@ def learn(docs: DataFrame, labelled: DataFrame, *, most_rows: int = 4000, most_f
     pairs = sample.select("label", "text")
     n = {r[0]: r[1] for r in sample.groupBy("label").agg(F.count("*")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
+    if min(pos, neg) < LEAST_ROWS:
         return seeds
     counts = pairs.mapInArrow(_presence, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     lift = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
@@ -282,11 +363,12 @@ def learn(docs: DataFrame, labelled: DataFrame, *, most_rows: int = 4000, most_f
         grammar = Grammar(stems, words)
         for s in INSULTS:  # a seed that the sample does not judge keeps a default weight
             if grammar.weight(s) == 0:
-                grammar.words[s] = 0.5
+                grammar.words[s] = _SEED_WEIGHT
     held = spark.sparkContext.broadcast(grammar)
     rows = pairs.mapInArrow(_clauses(held), "label int, a double, b double, c double").collect()
     y = np.array([r[0] for r in rows])
     fit = _logistic(np.array([r[1:] for r in rows], float), y)
+    fit[1:] = np.maximum(fit[1:], 0.0)  # a matched clause never lowers a score
     fit[0] += np.log(share[1] / share[0])
     return Grammar(grammar.stems, grammar.words, tuple(map(float, fit)))
 

@@ -43,8 +43,9 @@ t AS (
     ELSE max(CASE WHEN most <= level * weight THEN NULL ELSE level END) OVER () * weight END AS target FROM l),
 r AS (
   SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS n,
-    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each,
+    CAST(CAST('0x' || substr(md5('1:' || coalesce('=' || d.source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS drawn
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  CAST(least(floor(0.5 + each * n) - floor(0.5 + each * (n - 1)), ceil(each)) AS BIGINT) * size AS taken FROM r
+  CAST(least(floor(drawn + each * n) - floor(drawn + each * (n - 1)), ceil(each)) AS BIGINT) * size AS taken FROM r
 """

@@ -11,13 +11,13 @@
    ``chunk`` documents is dealt to chunks that also get the group's least document; what then lies outside the
    group's largest part is compared with all of the group, chunk against chunk. No pairs are enumerated as rows.
 
-A pair at similarity 0.8 shares no band of 6 out of 32 with probability 6e-5 (and then is linked only by way of
+A pair at similarity 0.8 shares no band of 5 out of 51 with probability 2e-9 (and then is linked only by way of
 others); every link that is reported is exact, up to 64-bit hashes of shingles.
 
 Defined results. Null text or text without words: empty set, n_shingles 0, a component of its own. A null id is
 linked with nothing: component_id null, kept true. Rows that repeat an id and text give equal rows; an id with
-several texts is one node with the links of all of them. Other columns are ignored, whatever their names. An empty
-table gives an empty result.
+several texts is one node with the links of all of them. Very long texts are whole sets like all others. Ties do not arise: a
+component's id is its least. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -249,7 +249,7 @@ def _linked(blocks: DataFrame, num: int, den: int, crossed: bool) -> DataFrame:
     return dealt.mapInArrow(_link(num, den, crossed), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows_a_band: int = 6, chunk: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, num: int = 80, den: int = 100, bands: int = 51, rows_a_band: int = 5, chunk: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; see the module's text.
 
     Two documents are linked if den * intersection >= num * union of their shingle sets.
@@ -260,8 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     reps = written(sig.where("n_shingles > 0 and doc_id is not null").groupBy("mark1", "mark2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
     posted = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = posted.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    coarse = components(posted.join(buckets.select("band", "least"), "band").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    # Written, so that both sides of the join come straight from an exchange and a hot bucket's rows can be split.
+    buckets = written(posted.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least"), "buckets")
+    coarse = components(posted.join(buckets, "band").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
     coarse = written(coarse.toDF("rep", "coarse"), "coarse")
     sizes = coarse.groupBy("coarse").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("parts"))
     wanted = coarse.join(sizes, "coarse").join(reps.select("rep", "mark1", "mark2"), "rep").select("rep", "coarse", "parts", "mark1", "mark2")
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = sig.where("n_shingles > 0").groupBy("doc_id").agg(F.min("mark1").alias("a"), F.max("mark1").alias("b")).where("a <> b").select("doc_id")
     edges = edges.union(sig.join(several, "doc_id").join(reps, ["mark1", "mark2", "n_shingles"]).select("doc_id", "rep"))
     final = written(components(edges).toDF("rep", "root"), "components")
-    drop_written(sets, coarse)
+    drop_written(sets, coarse, buckets)
     named = reps.join(final, "rep", "left").select("mark1", "mark2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     out = sig.select("doc_id", "n_shingles", "mark1", "mark2").join(named, ["mark1", "mark2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("root", "doc_id"))

@@ -25,42 +25,43 @@ from parcelyze.llm.near_dedup import near_duplicates
 from parcelyze.llm.shared import written
 from parcelyze.llm.token_files import tokens_of
 from parcelyze.llm.toxicity import score_toxicity
-from parcelyze.tables import numbered
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds ``_pipeline_row``: 0, 1, 2, ... in order of id (null ids last) and a hash of all columns, written once."""
-    return written(numbered(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)], "_pipeline_row"), "rows", "zstd")
-
-
-def _without(rows: DataFrame, rejected: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows whose number is not in ``rejected`` (doc_id: numbers)."""
-    return rows.join(rejected.select(F.col("doc_id").alias("_pipeline_row")), "_pipeline_row", "left_anti").select(columns)
+    """Adds ``_pipeline_row``, a number of its own for each row, written once so that it holds."""
+    return written(docs.withColumn("_pipeline_row", F.monotonically_increasing_id()), "rows", "zstd")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted toxic."""
+    """Drops documents predicted toxic, in the pass that scores them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs, labels, folds=4, held_out=2, threshold=0.3, carry=True).where("predicted <> 1").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
+    """Keeps one document of each near-duplicate group: that with the least id, of several the one with the least hash."""
     rows = _numbered(docs)
-    return _without(rows, near_duplicates(rows, id_col="_pipeline_row", words=5, num=80, den=100).where("not kept"), docs.columns)
+    group = near_duplicates(rows, id_col="_pipeline_row", words=5, num=80, den=100).select(F.col("doc_id").alias("_pipeline_row"), "component_id")
+    group = written(group, "groups")
+    # Only groups of several rows need a choice; the rows themselves are joined once, to those that go.
+    several = group.where("component_id <> _pipeline_row").select("component_id").distinct()
+    some = group.join(several, "component_id", "left_semi").join(rows.select("_pipeline_row", F.col("doc_id").alias("_pipeline_id"), F.xxhash64(*docs.columns).alias("_pipeline_hash")), "_pipeline_row")
+    order = F.struct(F.col("_pipeline_id").isNull().alias("last"), "_pipeline_id", "_pipeline_hash", "_pipeline_row")
+    first = some.groupBy("component_id").agg(F.min_by("_pipeline_row", order).alias("_pipeline_first"))
+    gone = some.select("_pipeline_row", "component_id").join(first, "component_id").where("_pipeline_row <> _pipeline_first").select("_pipeline_row")
+    return rows.join(gone, "_pipeline_row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark passages."""
+    """Drops documents that hold benchmark passages, in the pass that scans them."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = written(docs.withColumn("_pipeline_row", F.monotonically_increasing_id()), "rows", "zstd")
-    return _without(rows, contamination_digest(contamination(rows, benchmark, id_col="_pipeline_row", window=13)).where("contaminated"), docs.columns)
+    return contamination_digest(contamination(docs, benchmark, window=13, carry=True), "row").where("not contaminated").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents by the mix of sources."""
     rows = _numbered(docs)
-    copies = mix_sources(rows, id_col="_pipeline_row", weights=(5, 2, 1), share=1.5, ceiling=2.0).where("copies > 0").select(F.col("doc_id").alias("_pipeline_row"), F.col("copies").alias("_pipeline_copies"))
+    copies = mix_sources(rows, weights=(5, 2, 1), share=1.5, ceiling=2.0, row_col="_pipeline_row").where("copies > 0").select(F.col("row").alias("_pipeline_row"), F.col("copies").alias("_pipeline_copies"))
     return rows.join(copies, "_pipeline_row").select(*(F.col(c) for c in docs.columns), F.explode(F.expr("sequence(1, _pipeline_copies)")).alias("_pipeline_copy")).select(docs.columns)
 
 

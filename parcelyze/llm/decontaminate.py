@@ -6,16 +6,16 @@ words, so a state is a run of words, and a word that no item has leads back to t
 which are mapped to code points of the original text.
 
 The benchmark's windows are counted first. Up to ``most_windows`` of them are one automaton that is broadcast; beyond
-that, items are dealt by hash to several automata, each scans the texts once, and hits are united by document.
+that, items are dealt by hash to several automata, each scans the texts once, and hits are united by text.
 
 Defined results. Null or empty text has no words, no hits. Null items have no windows; items without an id stand as
-the empty string; rows that repeat an item's id are one item. Rows that repeat a document give equal rows. An empty
-benchmark hits nothing. Other columns are ignored.
+the empty string; rows that repeat an item's id are one item. Rows that repeat a document give equal rows. Very long texts are
+scanned whole. Windows that several items share count for each; ties do not arise. An empty benchmark hits nothing, an empty
+table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,8 +31,8 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 9
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # for lower-cased text: A-Z count as separators
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>"
-HIT_SCHEMA = "doc_id long, mark binary, words binary, items array<string>"
+SCHEMA = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>"
+HIT_SCHEMA = "key long, mark long, words binary, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,87 +84,99 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))]
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"])
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+_NAMES = ["n_words", "n_hit", "n_items", "items", "spans"]
 
 
-def _row(doc_id, text: str | None, n: int, hit: np.ndarray | None, items: list[str]) -> tuple:
-    return (doc_id, n, int(hit.sum()) if hit is not None else 0, len(items), items, _spans(text, hit) if hit is not None else [])
+def _batch(own: list[pa.Array], names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*own, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS))], [*names, *_NAMES])
 
 
-def _scan_once(held, window: int):
+def _row(text: str | None, n: int, hit: np.ndarray | None, items: list[str]) -> tuple:
+    return (n, int(hit.sum()) if hit is not None else 0, len(items), items, _spans(text, hit) if hit is not None else [])
+
+
+def _scan_once(held, window: int, carry: bool):
+    """(doc_id, text, and row if it is carried) -> the result's rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(held.value, window)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 got = machine.scan(words) if words else None
-                out.append(_row(doc_id, text, len(words), got and got[0], sorted(got[1]) if got else []))
-            yield _rows(out)
+                out.append(_row(text, len(words), got and got[0], sorted(got[1]) if got else []))
+            yield _batch([batch.column(0), *batch.columns[2:]], ["doc_id", *(["row"] if carry else [])], out)
 
     return run
 
 
-def _mark(text: str | None) -> bytes:
-    return hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
 def _scan_part(held, window: int):
-    """Only documents with hits, for one of several automata."""
+    """(key, mark, text) -> only documents with hits, for one of several automata."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(held.value, window)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, masks, items = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
                 if words and (got := machine.scan(words)):
-                    out.append((doc_id, _mark(text), np.packbits(got[0]).tobytes(), sorted(got[1])))
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "mark", "words", "items"])
+                    at.append(i)
+                    masks.append(np.packbits(got[0]).tobytes())
+                    items.append(sorted(got[1]))
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["key", "mark", "words", "items"])
 
     return run
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc_id, text, masks, items in zip(*(c.to_pylist() for c in batch.columns)):
-            n = len(words_of(text))
-            hit = np.zeros(n, bool) if masks else None
-            for m in masks or []:
-                hit |= np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool)
-            out.append(_row(doc_id, text, n, hit, sorted({x for xs in items or [] for x in xs})))
-        yield _rows(out)
+def _unite(carry: bool):
+    """(doc_id, text, masks, lists, and row if it is carried) -> the result's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, masks, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                n = len(words_of(text))
+                hit = np.zeros(n, bool) if masks else None
+                for m in masks or []:
+                    hit |= np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool)
+                out.append(_row(text, n, hit, sorted({x for xs in items or [] for x in xs})))
+            yield _batch([batch.column(0), *batch.columns[4:]], ["doc_id", *(["row"] if carry else [])], out)
+
+    return run
+
 
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 13, most_windows: int = 50_000, carry: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, spans) for each document; see the module's text.
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 13, most_windows: int = 50_000) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, spans) for each document; see the module's text."""
+    carry: also gives ``row``, a struct of all columns of the row.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = [F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if carry else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
+    schema = "doc_id long, " + (f"row {docs.schema['row'].dataType.simpleString()}, " if carry else "") + SCHEMA
     bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     # No item has more windows than one for each two characters.
     total = bench.agg(F.sum(F.ceil(F.length("text") / 2))).first()[0] or 0
     parts = max(1, -(-total // (most_windows * 3)))
     if parts == 1:
         held = spark.sparkContext.broadcast([tuple(r) for r in bench.collect()])
-        return docs.mapInArrow(_scan_once(held, window), SCHEMA)
-    found = None
+        return docs.mapInArrow(_scan_once(held, window, carry), schema)
+    # What is found in a text depends on the text: two hashes of it stand for it.
+    key, mark = F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), F.length("text"), F.col("text")).alias("mark")
+    texts, found = docs.where("text is not null").select(key, mark, "text"), None
     for k in range(parts):
         held = spark.sparkContext.broadcast([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()])
-        one = docs.mapInArrow(_scan_part(held, window), HIT_SCHEMA)
+        one = texts.mapInArrow(_scan_part(held, window), HIT_SCHEMA)
         found = one if found is None else found.union(one)
-    found = written(found.distinct(), "hits").groupBy("doc_id", "mark").agg(F.collect_list("words").alias("masks"), F.collect_list("items").alias("lists"))
-    mark = F.udf(_mark, "binary")
-    keyed = docs.withColumn("mark", mark("text")).alias("d")
-    found = found.alias("f")
-    met = keyed.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.mark") == F.col("f.mark")), "left").select("d.doc_id", "d.text", "masks", "lists")
-    return met.mapInArrow(_unite, SCHEMA)
+    found = written(found.distinct().groupBy("key", "mark").agg(F.collect_list("words").alias("masks"), F.collect_list("items").alias("lists")), "hits")
+    met = docs.select("*", key, mark).join(found, ["key", "mark"], "left").select("doc_id", "text", "masks", "lists", *(["row"] if carry else []))
+    return met.mapInArrow(_unite(carry), schema)
 
 
-def contamination_digest(found: DataFrame) -> DataFrame:
-    """The thin query's columns: contaminated if at least one word in twenty is hit."""
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+def contamination_digest(found: DataFrame, *more: str) -> DataFrame:
+    """The thin query's columns, and ``more`` of what was found: contaminated if at least one word in twenty is hit."""
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *more)

@@ -146,7 +146,8 @@ def _finish(enc_out: np.ndarray, size: np.ndarray, low: np.ndarray) -> list[byte
         enc_out[np.arange(len(size)), size] = ((low >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.uint32)
         size = size + 1
     carry = np.zeros(len(size), np.uint32)
-    for k in range(int(size.max()) - 1, -1, -1):
+    enc_out = enc_out[:, : int(size.max())]
+    for k in range(enc_out.shape[1] - 1, -1, -1):
         enc_out[:, k] += carry
         carry = enc_out[:, k] >> 16
         enc_out[:, k] &= 0xFFFF
@@ -162,7 +163,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     most = int(lengths[0])
-    ids = np.zeros((most, len(blocks)), np.int64)
+    ids = np.zeros((most, len(blocks)), np.uint16)
     for k, i in enumerate(order):
         ids[: lengths[k], k] = blocks[i]
     model = Model(len(blocks))
@@ -177,7 +178,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             model.keep(n)
             enc.low, enc.range = enc.low[:n], enc.range[:n]
             live = n
-        x = ids[t, :n]
+        x = ids[t, :n].astype(np.int64)
         model.predict()
         right2, right1 = model.two == x, model.one == x
         slot = model.slot(x)
@@ -209,10 +210,10 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 class _Decoder:
     def __init__(self, data: list[bytes]):
         size = [len(d) // 2 for d in data]
-        self.words = np.zeros((len(data), max(size, default=0) + 4), np.uint64)
+        self.words = np.zeros((len(data), max(size, default=0) + 4), np.uint16)
         for i, d in enumerate(data):
             self.words[i, : size[i]] = np.frombuffer(d, ">u2")
-        w = self.words
+        w = self.words[:, :3].astype(np.uint64)
         self.code = (w[:, 0] << np.uint64(32)) | (w[:, 1] << _W16) | w[:, 2]
         self.range = np.full(len(data), (1 << 48) - 1, np.uint64)
         self.at = np.full(len(data), 3)
@@ -230,7 +231,7 @@ class _Decoder:
         move = np.flatnonzero(rng < _TOP32)
         if len(move):
             at = move if rows is None else rows[move]
-            code[move] = (code[move] << _W16) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)]
+            code[move] = (code[move] << _W16) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)].astype(np.uint64)
             self.at[at] += 1
             rng[move] <<= _W16
         if rows is None:
@@ -247,7 +248,7 @@ def decode(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     order = np.argsort(-lens, kind="stable")
     lens = lens[order]
     most = int(lens[0])
-    ids = np.zeros((most, len(data)), np.int64)
+    ids = np.zeros((most, len(data)), np.uint16)
     dec = _Decoder([data[i] for i in order])
     model = Model(len(data))
     live = len(data)

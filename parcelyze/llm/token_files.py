@@ -16,12 +16,15 @@ Words repeat, so only pieces that a task has not met go through the tokenizer: t
 chunk whose characters are ASCII or Latin-1 letters is cut further where the tokenizer's own pattern would cut it.
 
 Defined results. Null or empty text: the end id alone. Null ids come first, are kept, and read back as null. Rows
-that repeat are written as often. An empty table gives no segments. A damaged block raises an error.
+that repeat are written as often. Rows of equal ids stand in order of a hash of their texts; equal texts are alike. Very long texts
+are tokenized whole; a document's ids all lie in one segment. An empty table gives no segments, and reads back as no rows. Other
+columns are ignored, whatever their names. A damaged block raises an error, and so does a vocabulary of more than 65,536 ids.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,13 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .id_coder import decode, encode
-from .shared import joined_ranges, shared_dir, slices, small_batches, word_hashes
+from .shared import joined_ranges, session_dir, slices, small_batches, word_hashes
 
 MAGIC = b"PTK1"
 BLOCK_IDS = 4096
-SEGMENT_IDS = 6 << 20
+SEGMENT_IDS = 3 << 20
 _CACHE_PIECES = 1 << 20
 _TOGETHER = 64
+#: Ids are kept and coded in 16 bits.
+_MOST_IDS = 1 << 16
 
 _CLASS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other ASCII, 4 beyond
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -65,7 +70,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edges = offsets[1:-1]
     fresh[edges[edges < n]] = True
     fresh &= ~space
-    chunk = np.cumsum(fresh)  # 1-based number of each byte's chunk
+    chunk = np.cumsum(fresh, dtype=np.int32)  # 1-based number of each byte's chunk
     odd = np.zeros(int(chunk[-1]) + 1, bool)
     odd[chunk[~space & ((kind == 4) | (raw == 0x27) | (raw == 0x7C))]] = True  # these stay whole
     cut = np.zeros(n, bool)
@@ -74,9 +79,8 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(begin)
     stop = np.append(starts[1:], n)
     # A piece ends where the next begins or at the space before that.
-    last_space = np.where(space, np.arange(n), n)
-    next_space = np.minimum.accumulate(last_space[::-1])[::-1]
-    return starts, np.minimum(stop, next_space[starts])
+    spaces = np.append(np.flatnonzero(space), n)
+    return starts, np.minimum(stop, spaces[np.searchsorted(spaces, starts)])
 
 
 class PieceTokenizer:
@@ -87,6 +91,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > _MOST_IDS:
+            raise ValueError(f"the vocabulary has more than {_MOST_IDS} ids")
         self._forget()
 
     def _forget(self) -> None:
@@ -157,12 +163,11 @@ def _tokenizer(path: str) -> PieceTokenizer:
 
 def pack_segment(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """The bytes of a segment."""
-    tokens = tokens.astype("<u4")
     blocks = [tokens[i : i + block_ids] for i in range(0, len(tokens), block_ids)]
     coded = encode(blocks)
     head = MAGIC + np.array([block_ids], "<u4").tobytes() + np.array([len(tokens)], "<u8").tobytes() + np.array([len(ids), len(blocks)], "<u4").tobytes()
     index = np.array([x is not None for x in ids], "u1").tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes() + lengths.astype("<u4").tobytes()
-    sizes = np.array([len(c) for c in coded], "<u4").tobytes() + np.array([zlib.crc32(b.tobytes()) for b in blocks], "<u4").tobytes()
+    sizes = np.array([len(c) for c in coded], "<u4").tobytes() + np.array([zlib.crc32(b.astype("<u4").tobytes()) for b in blocks], "<u4").tobytes()
     return b"".join([head, index, sizes, *coded])
 
 
@@ -251,9 +256,7 @@ def read_token_files(spark, path: str) -> DataFrame:
 
 
 def tokens_of(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Writes the token files below the shared folder and reads them back."""
-    import uuid
-
-    out = f"{shared_dir(docs.sparkSession)}/parcelyze/tokens-{uuid.uuid4().hex}"
+    """Writes the token files below the session's shared folder and reads them back."""
+    out = f"{session_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, out, tokenizer_path, **options)
     return read_token_files(docs.sparkSession, out)

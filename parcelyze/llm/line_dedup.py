@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, byte_spans, drop_written, mix, slices, small_batches, written
+from .shared import SPACE, Words, byte_spans, drop_written, mix, slices, small_batches, written
 
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 #: Repeated hashes that a map of bits is made of at most, and run ends that are broadcast at most.
@@ -105,6 +106,17 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
 
+def word_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words each text has."""
+    inside = ~SPACE[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[1:-1]
+    edges = edges[edges < len(raw)]
+    begins[edges] = inside[edges]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+
+
 def _mapped(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     at = hashes >> np.uint64(64 - (len(bits).bit_length() + 5))
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
@@ -163,26 +175,20 @@ def common_head(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def _gone(c: Chunks, raw: np.ndarray, row: int, repeats: list[dict], least_words: int) -> np.ndarray:
-    """Which words of a row go. repeats: places of repeats (side null), and what stands beside the first occurrences of runs' ends."""
+def _gone(c: Chunks, raw: np.ndarray, row: int, ends: list[dict], least_words: int) -> np.ndarray:
+    """Which words of a row go. ends: the places and sides of runs' ends, and what stands there beside the first occurrence."""
     w = c.words
     a, b, base = int(w.first[row]), int(w.first[row + 1]), int(c.first[row])
-    said = lambda p, q: [raw[w.starts[k] : w.ends[k]].tobytes() for k in range(p, q)]
+    said = lambda p, q: [raw[x:y].tobytes() for x, y in zip(w.starts[p:q].tolist(), w.ends[p:q].tolist())]
     out = np.zeros(b - a, bool)
-    places = sorted({r["place"] for r in repeats if r["side"] is None})
-    beside = {(r["place"], r["side"]): r["beside"].split() for r in repeats if r["side"] is not None}
-    i = 0
-    while i < len(places):
-        j = i
-        while j + 1 < len(places) and places[j + 1] == places[j] + 1:
-            j += 1
-        begin, end = int(c.head[base + places[i]]), int(c.tail[base + places[j]])
-        left, right = beside.get((places[i], _BEFORE), []), beside.get((places[j], _AFTER), [])
-        begin -= common_head(said(max(a, begin - REACH), begin)[::-1], left[::-1])
-        end += common_head(said(end, min(b, end + REACH)), right)
+    heads, tails = (sorted((r["place"], r["beside"]) for r in ends if r["side"] == side) for side in (_BEFORE, _AFTER))
+    for (first, before), (last, after) in zip(heads, tails):
+        begin, end = int(c.head[base + first]), int(c.tail[base + last])
+        left, right = before.split(), after.split()
+        begin -= common_head(said(max(a, begin - len(left)), begin)[::-1], left[::-1])
+        end += common_head(said(end, min(b, end + len(right))), right)
         if end - begin > least_words:
             out[begin - a : end - a] = True
-        i = j + 1
     return out
 
 
@@ -205,33 +211,35 @@ def _kept(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int, sto
 
 
 def _cut(least_words: int):
-    """(doc_id, text, repeats) -> the result's rows."""
+    """(doc_id, text, ends of runs) -> the result's rows. Only texts with runs are chunked again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            repeats = batch.column(2).to_pylist()
-            for i, j, raw, at in slices(batch.column(1)):
+            texts = batch.column(1)
+            null = texts.is_null().to_numpy(zero_copy_only=False)
+            counts = np.concatenate([word_counts(raw, at) for _, _, raw, at in slices(texts)]) if len(texts) else np.zeros(0, np.int64)
+            lines = np.where(null, 0, np.concatenate([np.diff(np.searchsorted(np.flatnonzero(raw == 10), at)) + 1 for _, _, raw, at in slices(texts)]) if len(texts) else 0)
+            lines_gone, words_gone = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            some = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            ends = batch.column(2).take(pa.array(some)).to_pylist()
+            new: dict[int, bytes] = {}
+            for i, j, raw, at in slices(texts.take(pa.array(some))):
                 c = Chunks(raw, at)
                 w = c.words
-                lines, words = np.where(null[i:j], 0, c.feeds + 1), np.diff(w.first)
-                lines_gone, words_gone = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
-                texts = batch.column(1).slice(i, j - i)
-                new: dict[int, str] = {}
                 for r in range(j - i):
-                    if repeats[i + r] is None:
-                        continue
-                    gone = _gone(c, raw, r, repeats[i + r], least_words)
+                    gone = _gone(c, raw, r, ends[i + r], least_words)
                     if gone.any():
                         a, b = int(w.first[r]), int(w.first[r + 1])
-                        words_gone[r] = gone.sum()
+                        k = int(some[i + r])
+                        words_gone[k] = gone.sum()
                         own = c.lines[a:b]
-                        lines_gone[r] = len(np.unique(own)) - len(np.unique(own[~gone]))
-                        new[r] = _kept(raw, w.starts[a:b], w.ends[a:b], int(at[r]), int(at[r + 1]), gone).decode("utf-8", "replace")
-                if new:
-                    texts = pa.array([new.get(r, t) for r, t in enumerate(texts.to_pylist())], pa.string())
-                cols = [pa.array(x.astype(np.int64)) for x in (lines, lines_gone, words, words_gone)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols, texts], [f.split(" ")[0] for f in SCHEMA.split(", ")])
+                        lines_gone[k] = len(np.unique(own)) - len(np.unique(own[~gone]))
+                        new[k] = _kept(raw, w.starts[a:b], w.ends[a:b], int(at[r]), int(at[r + 1]), gone)
+            if new:
+                mask = np.zeros(len(texts), bool)
+                mask[list(new)] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[k] for k in sorted(new)], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.astype(np.int64)) for x in (lines, lines_gone, counts, words_gone)), texts], [f.split(" ")[0] for f in SCHEMA.split(", ")])
 
     return run
 
@@ -263,18 +271,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = found.groupBy("hash", "bytes").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1")
     first = written(first.select("hash", "bytes", F.col("kept.text_key").alias("kept_key"), F.col("kept.text_mark").alias("kept_mark"), F.col("kept.place").alias("kept_place")), "first", "zstd")
     again = found.join(first.hint("merge"), ["hash", "bytes"]).where("text_key <> kept_key or text_mark <> kept_mark or place <> kept_place")
+    # A row that repeats an id and a text gives its places again: one of them begins or ends a run.
     run = Window.partitionBy(*_KEYS).orderBy("place")
-    again = again.select(*_KEYS, "place", "kept_key", "kept_mark", "kept_place").distinct()
+    again = again.select(*_KEYS, "place", "kept_key", "kept_mark", "kept_place")
     again = again.withColumn("begins", F.coalesce(F.lag("place").over(run) < F.col("place") - 1, F.lit(True))).withColumn("ends", F.coalesce(F.lead("place").over(run) > F.col("place") + 1, F.lit(True)))
-    again = written(again, "again")
     kept = ["kept_key", "kept_mark", "kept_place"]
-    ends = again.select(*_KEYS, "place", *kept, F.explode(F.array_compact(F.array(F.when(F.col("begins"), F.lit(_BEFORE)), F.when(F.col("ends"), F.lit(_AFTER))))).alias("side"))
+    ends = again.where("begins or ends").select(*_KEYS, "place", *kept, F.explode(F.array_compact(F.array(F.when(F.col("begins"), F.lit(_BEFORE)), F.when(F.col("ends"), F.lit(_AFTER))))).alias("side"))
+    ends = written(ends, "ends")
     asked = written(ends.select(*kept, "side").distinct().groupBy("kept_key", "kept_mark").agg(F.collect_list(F.struct(F.col("kept_place").alias("place"), "side")).alias("asked")).toDF(*_KEYS, "asked"), "asked")
     few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= most_ends
     told = some.join(F.broadcast(asked) if few else asked.hint("merge"), _KEYS).select(*_KEYS, "text", "asked")
     told = written(told.mapInArrow(_surroundings, "kept_key long, kept_mark long, kept_place long, side int, beside binary").dropDuplicates([*kept, "side"]), "told")
-    ends = ends.join(told.hint("merge"), [*kept, "side"]).select(*_KEYS, "place", "side", "beside")
-    every = again.select(*_KEYS, "place", F.lit(None).cast("int").alias("side"), F.lit(None).cast("binary").alias("beside")).unionByName(ends)
-    repeats = written(every.groupBy(*_KEYS).agg(F.collect_list(F.struct("place", "side", "beside")).alias("repeats")), "repeats", "zstd")
-    drop_written(twice, found, first, again, asked, told)
-    return rows.join(repeats.hint("merge"), _KEYS, "left").select("doc_id", "text", "repeats").mapInArrow(_cut(least_words), SCHEMA)
+    runs = ends.join(told.hint("merge"), [*kept, "side"]).groupBy(*_KEYS).agg(F.collect_list(F.struct("place", "side", "beside")).alias("runs"))
+    runs = written(runs, "runs", "zstd")
+    drop_written(twice, found, first, ends, asked, told)
+    return rows.join(runs.hint("merge"), _KEYS, "left").select("doc_id", "text", "runs").mapInArrow(_cut(least_words), SCHEMA)

@@ -141,7 +141,7 @@ def test_passages_inside_lines_are_found(spark):
 
 
 def test_nulls_repeats_and_odd_texts(spark):
-    passage = "\n".join(f"line {k} of a passage that stands in several texts word for word" for k in range(30))
+    passage = "\n".join(" ".join(f"word{k}{c}" for c in "abcdefgh") for k in range(30))
     own = ["\n".join(f"own{t} has{t} line{k}of{t} alone{t}" for k in range(8)) for t in range(4)]
     rows = [(1, own[0] + "\n" + passage + "\n" + own[1]), (2, own[2] + "\n" + passage + "\n" + own[3]), (3, passage), (3, passage), (None, passage), (None, None), (None, None), (4, ""), (5, "short\nline"), (6, "short\nline"), (7, "\n\n \n"), (8, "a" * 300_000), (9, "the " * 200_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, hash string")

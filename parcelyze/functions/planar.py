@@ -137,46 +137,76 @@ def ring_crossings(ring) -> list[tuple[int, int, str, list]]:
     a, b = p[keep], p[keep + 1]
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     order = np.argsort(lo[:, 0], kind="stable")
-    found = []
     end = np.searchsorted(lo[order, 0], hi[order, 0], "right")
-    for k in range(n):
+    pairs = []
+    for k in range(n):  # a sweep over x gives the pairs whose boxes meet
         i = order[k]
         j = order[k + 1 : end[k]]
         j = j[(lo[j, 1] <= hi[i, 1]) & (hi[j, 1] >= lo[i, 1])]
-        if not len(j):
-            continue
-        first, second = np.minimum(i, j), np.maximum(i, j)
-        far = (second - first != 1) & ~((first == 0) & (second == n - 1))
-        for f, s in zip(first[far].tolist(), second[far].tolist()):
-            if (hit := segment_meeting(a[f], b[f], a[s], b[s])) is not None:
-                found.append((int(keep[f]), int(keep[s]), *hit))
+        if len(j):
+            pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+    if not pairs:
+        return []
+    first, second = np.concatenate(pairs, axis=1)
+    far = (second - first != 1) & ~((first == 0) & (second == n - 1))
+    first, second = first[far], second[far]
+    kind, at, to = meetings(a[first], b[first], a[second], b[second])
+    found = []
+    for k in np.flatnonzero(kind).tolist():
+        where = [at[k].tolist()] + ([to[k].tolist()] if kind[k] == OVERLAPPING else [])
+        found.append((int(keep[first[k]]), int(keep[second[k]]), MEETINGS[kind[k]], where))
     return sorted(found, key=lambda x: x[:2])
 
 
-def segment_meeting(a, b, c, d) -> tuple[str, list] | None:
-    """How two segments meet: (kind, where), or None."""
-    r, s, q = b - a, d - c, c - a
-    tol = lambda u, v: _TOL * max(abs(u[0] * v[1]), abs(u[1] * v[0]), 5e-324)
-    den = r[0] * s[1] - r[1] * s[0]
-    if abs(den) > tol(r, s):
-        t, u = (q[0] * s[1] - q[1] * s[0]) / den, (q[0] * r[1] - q[1] * r[0]) / den
-        e = 2 * _TOL
-        if not (-e <= t <= 1 + e and -e <= u <= 1 + e):
-            return None
-        at = (a + r * min(1.0, max(0.0, t)) + 0.0).tolist()
-        return ("Touching" if t <= e or t >= 1 - e or u <= e or u >= 1 - e else "Crossing"), [at]
-    if abs(q[0] * r[1] - q[1] * r[0]) > tol(q, r):
-        return None
-    k = 0 if abs(r[0]) >= abs(r[1]) else 1
-    if r[k] == 0:
-        return None
-    t0, t1 = sorted(((c[k] - a[k]) / r[k], (d[k] - a[k]) / r[k]))
-    t0, t1 = max(0.0, t0), min(1.0, t1)
-    if t1 < t0 - 2 * _TOL:
-        return None
-    if t1 - t0 <= 2 * _TOL:
-        return "Touching", [(a + r * min(1.0, max(0.0, (t0 + t1) / 2))).tolist()]
-    return "Overlapping", [(a + r * t0).tolist(), (a + r * t1).tolist()]
+MEETINGS = (None, "Crossing", "Touching", "Overlapping")
+CROSSING, TOUCHING, OVERLAPPING = 1, 2, 3
+
+
+def _side(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The sign of where points lie about the lines a-b: 1 left, -1 right, 0 on it up to rounding."""
+    u, v = b - a, p - a
+    left, right = u[:, 0] * v[:, 1], u[:, 1] * v[:, 0]
+    turn = left - right
+    return np.where(np.abs(turn) <= _TOL * np.maximum(np.abs(left), np.abs(right)), 0.0, turn)
+
+
+def _foot(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The fraction of a-b at which points have their foot; segments of no length have one at their point only."""
+    u, v = b - a, p - a
+    size = (u * u).sum(axis=1)
+    return np.where(size > 0, (u * v).sum(axis=1) / np.where(size > 0, size, 1.0), np.where((v == 0).all(axis=1), 0.0, np.inf))
+
+
+def meetings(a, b, c, d) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How segments a-b and c-d meet, for (n, 2) ends: (kind, point, second point).
+
+    By orientation: ends strictly on either side of each other's line cross; an end on the other segment touches; segments on
+    one line overlap in an interval, or touch where it has no length. kind: an index into MEETINGS; the second point is
+    that of an overlap's other end, in the direction of a-b.
+    """
+    a, b, c, d = (np.asarray(v, float) for v in (a, b, c, d))
+    ends = ((c, _side(a, b, c), a, b), (d, _side(a, b, d), a, b), (a, _side(c, d, a), c, d), (b, _side(c, d, b), c, d))
+    (_, sc, _, _), (_, sd, _, _), (_, sa, _, _), (_, sb, _, _) = ends
+    kind, at, to = np.zeros(len(a), np.int8), np.full((len(a), 2), np.nan), np.full((len(a), 2), np.nan)
+    slack = 2 * _TOL
+    one_line = (sa == 0) & (sb == 0) & (sc == 0) & (sd == 0) & (a != b).any(axis=1) & (c != d).any(axis=1)
+    for point, side, s, e in ends:
+        foot = _foot(s, e, point)
+        hit = ~one_line & (kind == 0) & (side == 0) & (foot >= -slack) & (foot <= 1 + slack)
+        kind[hit], at[hit] = TOUCHING, point[hit]
+    proper = (kind == 0) & (np.sign(sa) * np.sign(sb) < 0) & (np.sign(sc) * np.sign(sd) < 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = np.where(proper[:, None], a + (b - a) * (sa / (sa - sb))[:, None] + 0.0, at)
+    kind[proper] = CROSSING
+    if one_line.any():
+        k = np.flatnonzero(one_line)
+        s, e = a[k], b[k]
+        f, g = _foot(s, e, c[k]), _foot(s, e, d[k])
+        lo, hi = np.clip(np.minimum(f, g), 0, None), np.clip(np.maximum(f, g), None, 1)
+        kind[k] = np.where(hi - lo > slack, OVERLAPPING, np.where(hi - lo >= -slack, TOUCHING, 0))
+        near, far = s + (e - s) * lo[:, None], s + (e - s) * hi[:, None]
+        at[k], to[k] = np.where((kind[k] == TOUCHING)[:, None], (near + far) / 2, near), far
+    return kind, at, to
 
 
 def simple(ring) -> bool:
@@ -408,7 +438,7 @@ def polygons_meet(first, second) -> bool:
             for i in range(len(a) - 1):
                 lo, hi = np.minimum(a[i], a[i + 1]), np.maximum(a[i], a[i + 1])
                 near = np.flatnonzero((np.minimum(b[:-1], b[1:]) <= hi).all(axis=1) & (np.maximum(b[:-1], b[1:]) >= lo).all(axis=1))
-                if any(segment_meeting(a[i], a[i + 1], b[k], b[k + 1]) for k in near):
+                if len(near) and meetings(np.repeat(a[i : i + 1], len(near), axis=0), np.repeat(a[i + 1 : i + 2], len(near), axis=0), b[near], b[near + 1])[0].any():
                     return True
 
     def holds(rings, point) -> bool:

@@ -172,10 +172,16 @@ def at_address(geometry: Any, gc: Path, path: Path) -> Any:
 
 COMPONENTS = "feature_index long, feature_id string, layer string, component long, gc_path array<int>, geometry_type string, polygon_path array<int>, rings array<array<array<double>>>, minx double, miny double, maxx double, maxy double"
 LINES = "feature_index long, feature_id string, layer string, part long, gc_path array<int>, geometry_type string, root_path array<int>, line array<array<double>>"
-#: Components and parts are numbered in order over all features: index * PARTS + number within the feature.
+#: Components and parts are numbered in order over all features: index * PARTS + number within the feature. More are an error.
 PARTS = 1 << 20
 
 
+def _number(index: int, n: int) -> int:
+    if n >= PARTS or not -(1 << 43) <= index < 1 << 43:
+        raise ValueError(f"feature {index} has more than {PARTS} parts, or its index is out of range")
+    return index * PARTS + n
+
+
 def _id_text(feature: Any) -> str | None:
     """The id as JSON text, so that 1 and "1" differ; null for none."""
     own = feature_id(feature)
@@ -203,7 +209,7 @@ def component_table(features: DataFrame) -> DataFrame:
                     continue
                 for n, (gc, kind, path, r) in enumerate(components(f.get("geometry"))):
                     xs, ys = [p[0] for ring in r for p in ring], [p[1] for ring in r for p in ring]
-                    out.append((index, _id_text(f), layer_of(f), index * PARTS + n, list(gc), kind, list(path), [[[float(v) + 0.0 for v in p] for p in ring] for ring in r], min(xs), min(ys), max(xs), max(ys)))
+                    out.append((index, _id_text(f), layer_of(f), _number(index, n), list(gc), kind, list(path), [[[float(v) + 0.0 for v in p] for p in ring] for ring in r], min(xs), min(ys), max(xs), max(ys)))
             yield _arrow(out, names, kinds)
 
     return features.select("feature_index", "feature").mapInArrow(run, COMPONENTS)
@@ -223,7 +229,7 @@ def line_table(features: DataFrame) -> DataFrame:
                     continue
                 found = [s for s in sequences(f.get("geometry")) if s[2] == "line" and len(s[4]) > 1]
                 for n, (gc, kind, _, path, line) in enumerate(found):
-                    out.append((index, _id_text(f), layer_of(f), index * PARTS + n, list(gc), kind, list(path), [[float(v) + 0.0 for v in p] for p in line]))
+                    out.append((index, _id_text(f), layer_of(f), _number(index, n), list(gc), kind, list(path), [[float(v) + 0.0 for v in p] for p in line]))
             yield _arrow(out, names, kinds)
 
     return features.select("feature_index", "feature").mapInArrow(run, LINES)

@@ -22,15 +22,8 @@ from ..functions.geometry import segments as ring_segments
 from ..tables import written
 from .spatial_join import BOX, box_pairs
 
-#: Boundaries are numbered by component and ring: up to so many rings a polygon.
-RINGS = 1 << 14
-
-
-def cell_size(boxes: DataFrame) -> float:
-    """About the 95th percentile of the boxes' extents: most boxes touch one to four cells."""
-    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    got = boxes.agg(F.percentile_approx(extent, 0.95, 100)).first()[0]
-    return max(got or 0.0, 1e-6)
+#: The ring number that stands for a line among targets.
+LINE = -1
 
 
 def _right(table: DataFrame) -> DataFrame:
@@ -82,11 +75,14 @@ def _lists(value) -> list:
 
 def overlaps(components: DataFrame) -> DataFrame:
     """(feature_index, r_feature_index, ..., overlap_m2, ratio, repairable): components of different features that share an area."""
-    one = components.select("feature_index", "feature_id", "layer", "component", "geometry_type", "gc_path", "polygon_path", "rings", *BOX)
-    pairs = box_pairs(one, _right(one), cell_size(one), ["layer"]).where("component < r_component and feature_index <> r_feature_index")
-    # Boxes that only touch hold no common area.
+    one = components.select("feature_index", "feature_id", "layer", "component", "geometry_type", "gc_path", "polygon_path", *BOX)
+    pairs = box_pairs(one, _right(one), ["layer"]).where("component < r_component and feature_index <> r_feature_index")
+    # Boxes that only touch hold no common area. Geometry is fetched for what is left.
     wide = F.least("maxx", "r_maxx") > F.greatest("minx", "r_minx")
-    pairs = _spread(pairs.where(wide & (F.least("maxy", "r_maxy") > F.greatest("miny", "r_miny"))), "component", "r_component")
+    pairs = pairs.where(wide & (F.least("maxy", "r_maxy") > F.greatest("miny", "r_miny")))
+    shape = components.select("component", "rings")
+    pairs = pairs.join(shape, "component").join(shape.toDF("r_component", "r_rings"), "r_component")
+    pairs = _spread(pairs, "component", "r_component")
 
     def measure(pdf: pd.DataFrame) -> list:
         out = [[], [], []]
@@ -107,34 +103,47 @@ def overlaps(components: DataFrame) -> DataFrame:
 # ---- gaps -----------------------------------------------------------------------------------------------------
 
 
+def _frame(a: np.ndarray, b: np.ndarray, *points: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(length, [(along, across), ...]): metres of segments a-b, and of points about them."""
+    every = np.stack([a, b, *points], axis=1)
+    m = planar._local(every, every[:, :, 1].mean(axis=1))
+    m = m - m[:, :1]
+    length = np.hypot(m[:, 1, 0], m[:, 1, 1])
+    x, y = (m[:, 1] / np.maximum(length, 1e-300)[:, None]).T
+    return length, [(m[:, k, 0] * x + m[:, k, 1] * y, m[:, k, 1] * x - m[:, k, 0] * y) for k in range(2, m.shape[1])]
+
+
+def _covered(length: np.ndarray, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(middle, length) of what the interval between s and t covers of a segment; no length below 0."""
+    begin, end = np.maximum(0.0, np.minimum(s, t)), np.minimum(length, np.maximum(s, t))
+    return (begin + end) / 2, np.maximum(0.0, end - begin)
+
+
+def _between(a: np.ndarray, b: np.ndarray, fraction: np.ndarray) -> np.ndarray:
+    return a + (b - a) * np.clip(fraction, 0.0, 1.0)[:, None]
+
+
 def _gap_numbers(gap_m: float) -> Callable[[pd.DataFrame], list]:
+    """Distances between two segments, and evidence that they are one boundary: nearly parallel, long together, narrow apart."""
+
     def measure(pdf: pd.DataFrame) -> list:
-        a, b, c, e = _point(pdf, "sx", "sy"), _point(pdf, "ex", "ey"), _point(pdf, "r_sx", "r_sy"), _point(pdf, "r_ex", "r_ey")
-        p, q, dist = planar.closest_between(a, b, c, e)
-        # Evidence of a common boundary: nearly parallel, long together, narrow apart.
-        lat = (a[:, 1] + b[:, 1] + c[:, 1] + e[:, 1]) / 4
-        scale = np.radians(1.0) * k.EARTH_RADIUS_M
-        to_m = lambda v: np.stack([(v[:, 0] - a[:, 0]) * scale * np.cos(np.radians(lat)), (v[:, 1] - lat) * scale], axis=1)
-        A, B, C, E = map(to_m, (a, b, c, e))
-        u, v = B - A, E - C
-        lu, lv = np.linalg.norm(u, axis=1), np.linalg.norm(v, axis=1)
+        own, other = (_point(pdf, "sx", "sy"), _point(pdf, "ex", "ey")), (_point(pdf, "r_sx", "r_sy"), _point(pdf, "r_ex", "r_ey"))
+        near, r_near, dist = planar.closest_between(*own, *other)
+        length, ((s, off_s), (t, off_t)) = _frame(*own, *other)
+        size = np.hypot(t - s, off_t - off_s)
+        middle, shared = _covered(length, s, t)
         with np.errstate(divide="ignore", invalid="ignore"):
-            uu = u / lu[:, None]
-            angle = np.degrees(np.arccos(np.minimum(1.0, np.abs((uu * (v / lv[:, None])).sum(axis=1)))))
-            s, t = ((C - A) * uu).sum(axis=1), ((E - A) * uu).sum(axis=1)
-            lo, hi = np.maximum(0, np.minimum(s, t)), np.minimum(lu, np.maximum(s, t))
-            shared = np.maximum(0, hi - lo)
-            ratio = shared / np.minimum(lu, lv)
-            mid = (lo + hi) / 2
-            fa, fb = np.clip(mid / lu, 0, 1), np.clip((mid - s) / (t - s), 0, 1)
-            pa, pb = a + (b - a) * fa[:, None], c + (e - c) * fb[:, None]
-            width = planar.haversine(pa, pb)
+            ratio = shared / np.minimum(length, size)
+            tilt = np.degrees(np.arcsin(np.minimum(1.0, np.abs(off_t - off_s) / size)))
+            here, there = _between(*own, middle / length), _between(*other, (middle - s) / (t - s))
+            width = planar.haversine(here, there)
             slim = width / shared
-            good = (lu > k.EPSILON) & (lv > k.EPSILON) & (angle <= k.GAP_MAX_ANGLE_DEG) & (shared > k.EPSILON) & (ratio >= k.GAP_MIN_SHARED_RATIO) & (np.abs(t - s) > k.EPSILON) & (width <= k.GAP_MAX_WIDTH_M) & (slim <= k.GAP_MAX_WIDTH_RATIO)
-        ends = np.minimum(np.maximum(planar.haversine(a, c), planar.haversine(b, e)), np.maximum(planar.haversine(a, e), planar.haversine(b, c)))
-        nan = lambda x: np.where(good, x, np.nan)
-        first, second = np.where(good[:, None], pa, p), np.where(good[:, None], pb, q)
-        return [dist <= k.CONTACT_M, dist <= gap_m, good, np.where(good, width, dist), nan(shared), nan(ratio), nan(slim), ends, first[:, 0], first[:, 1], second[:, 0], second[:, 1]]
+            evidence = (np.minimum(length, size) > k.EPSILON) & (tilt <= k.GAP_MAX_ANGLE_DEG) & (shared > k.EPSILON) & (ratio >= k.GAP_MIN_SHARED_RATIO) & (width <= k.GAP_MAX_WIDTH_M) & (slim <= k.GAP_MAX_WIDTH_RATIO)
+        # How far the ends are apart, in the better of the two ways to pair them.
+        apart = [np.maximum(planar.haversine(own[0], x), planar.haversine(own[1], y)) for x, y in (other, other[::-1])]
+        only = lambda x: np.where(evidence, x, np.nan)
+        first, second = (np.where(evidence[:, None], x, y) for x, y in ((here, near), (there, r_near)))
+        return [dist <= k.CONTACT_M, dist <= gap_m, evidence, np.where(evidence, width, dist), only(shared), only(ratio), only(slim), np.minimum(*apart), *first.T, *second.T]
 
     return measure
 
@@ -152,7 +161,7 @@ def gaps(components: DataFrame, options: Options) -> DataFrame:
     # The reach is that of the segment of the lower component.
     left = _with_box(seg, expand(*map(F.col, BOX), radius))
     right = _right(seg.select("feature_index", "layer", "component", "ring", "segment", "sx", "sy", "ex", "ey", *BOX))
-    pairs = box_pairs(left.select("feature_index", "layer", "component", "ring", "segment", "sx", "sy", "ex", "ey", *BOX), right, cell_size(left), ["layer"])
+    pairs = box_pairs(left.select("feature_index", "layer", "component", "ring", "segment", "sx", "sy", "ex", "ey", *BOX), right, ["layer"])
     pairs = pairs.where("component < r_component and feature_index <> r_feature_index").drop(*BOX, *[f"r_{b}" for b in BOX])
     # Touching pairs count whatever their evidence; others need a distance or evidence, above the least width.
     m = _map(pairs, _gap_numbers(options.gap_m), _GAP)
@@ -186,17 +195,10 @@ def gaps(components: DataFrame, options: Options) -> DataFrame:
 
 
 def _shared_edge(pdf: pd.DataFrame) -> list:
-    a, b, c, e = _point(pdf, "sx", "sy"), _point(pdf, "ex", "ey"), _point(pdf, "r_sx", "r_sy"), _point(pdf, "r_ex", "r_ey")
-    pts = np.stack([a, b, c, e], axis=1)
-    m = planar._local(pts, pts[:, :, 1].mean(axis=1))
-    d = m[:, 1] - m[:, 0]
-    size = np.linalg.norm(d, axis=1)
-    u = d / np.maximum(size, 1e-300)[:, None]
-    off = lambda p: np.abs((p[:, 0] - m[:, 0, 0]) * -u[:, 1] + (p[:, 1] - m[:, 0, 1]) * u[:, 0])
-    along = lambda p: ((p - m[:, 0]) * u).sum(axis=1)
-    s, t = along(m[:, 2]), along(m[:, 3])
-    both = np.maximum(0, np.minimum(size, np.maximum(s, t)) - np.maximum(0, np.minimum(s, t)))
-    return [np.where((size > k.EPSILON) & (off(m[:, 2]) <= k.NEIGHBOUR_M) & (off(m[:, 3]) <= k.NEIGHBOUR_M), both, 0.0)]
+    """Metres of a segment along which another one runs, if both of its ends lie on the segment's line."""
+    length, ((s, off_s), (t, off_t)) = _frame(_point(pdf, "sx", "sy"), _point(pdf, "ex", "ey"), _point(pdf, "r_sx", "r_sy"), _point(pdf, "r_ex", "r_ey"))
+    on_line = (length > k.EPSILON) & (np.maximum(np.abs(off_s), np.abs(off_t)) <= k.NEIGHBOUR_M)
+    return [np.where(on_line, _covered(length, s, t)[1], 0.0)]
 
 
 def sliver_neighbours(slivers: DataFrame, components: DataFrame, min_shared: float = 0.4, dominance: float = 2.0, area_ratio: float = 10.0) -> DataFrame:
@@ -207,7 +209,7 @@ def sliver_neighbours(slivers: DataFrame, components: DataFrame, min_shared: flo
     seg = segment_table(components, exterior_only=True).select("feature_index", "layer", "component", "sx", "sy", "ex", "ey", *BOX)
     left = seg.join(slivers.select("component", "perimeter_m", "area_m2"), "component")
     left = _with_box(left, expand(*map(F.col, BOX), F.lit(k.NEIGHBOUR_M)))
-    pairs = box_pairs(left, _right(seg), cell_size(seg), ["layer"]).where("feature_index <> r_feature_index").drop(*BOX, *[f"r_{b}" for b in BOX])
+    pairs = box_pairs(left, _right(seg), ["layer"]).where("feature_index <> r_feature_index").drop(*BOX, *[f"r_{b}" for b in BOX])
     edges = _map(pairs, _shared_edge, "shared double").where(F.col("shared") > k.NEIGHBOUR_M)
     near = edges.groupBy("component", "feature_index", F.col("r_feature_index").alias("target")).agg(F.sum("shared").alias("shared_m"), F.first("perimeter_m").alias("perimeter_m"), F.first("area_m2").alias("area_m2"))
     near = near.withColumn("shared_m", F.least("shared_m", "perimeter_m"))
@@ -272,7 +274,7 @@ def neighbour_vertices(components: DataFrame) -> DataFrame:
     v = _map(v, _straight, "straight boolean").where("straight").drop("straight")
     v = _with_box(v, expand(F.col("vx"), F.col("vy"), F.col("vx"), F.col("vy"), F.lit(k.NEIGHBOUR_M)))
     seg = segment_table(components, exterior_only=True)
-    pairs = box_pairs(v, _right(seg.drop("ring")), cell_size(seg), ["layer"]).where("feature_index <> r_feature_index").drop(*BOX, *[f"r_{b}" for b in BOX])
+    pairs = box_pairs(v, _right(seg.drop("ring")), ["layer"]).where("feature_index <> r_feature_index").drop(*BOX, *[f"r_{b}" for b in BOX])
     hit = _map(pairs, _on_edge, "hit boolean, offset_m double, fraction double, ix double, iy double").where("hit").drop("hit")
     order = Window.partitionBy("component", "vertex").orderBy("offset_m", "r_feature_index", "r_component", "r_segment")
     every = Window.partitionBy("component", "vertex")
@@ -304,36 +306,38 @@ def _grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], list[d
     return _spread(df, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-_END = "part long, endpoint string, code string, target_part long, r_segment int, source_segment int, tx double, ty double, fraction double, distance_m double, mode string, sure boolean"
+_END = "part long, endpoint string, code string, target_part long, target_ring int, is_line boolean, r_segment int, source_segment int, tx double, ty double, fraction double, distance_m double, mode string, sure boolean"
 
 
 def _line_end(options: Options) -> Callable[[pd.DataFrame], list[dict]]:
     tol, contact = options.tolerance_m, k.CONTACT_M
+    order = ["distance_m", "boundary", "target_part", "target_ring", "r_segment"]  # lines before boundaries
 
     def sure(cand: pd.DataFrame, best: pd.Series, lines: np.ndarray) -> bool:
         apart = planar.haversine(cand[["tx", "ty"]].to_numpy(float), np.array([best["tx"], best["ty"]], float))
         return bool(((apart <= contact) | (cand["distance_m"] - best["distance_m"] > tol)).all() and (lines >= best["distance_m"] - contact).all())
 
     def result(c: pd.Series, code: str, mode: str, ok: bool) -> list[dict]:
-        return [{"part": c["part"], "endpoint": c["endpoint"], "code": code, "target_part": c["target_part"], "r_segment": c["r_segment"], "source_segment": c["source_segment"], "tx": c["tx"], "ty": c["ty"], "fraction": c["fraction"], "distance_m": c["distance_m"], "mode": mode, "sure": ok}]
+        return [{"part": c["part"], "endpoint": c["endpoint"], "code": code, "target_part": c["target_part"], "target_ring": c["target_ring"], "is_line": bool(c["is_line"]), "r_segment": c["r_segment"], "source_segment": c["source_segment"], "tx": c["tx"], "ty": c["ty"], "fraction": c["fraction"], "distance_m": c["distance_m"], "mode": mode, "sure": ok}]
 
     def solve(g: pd.DataFrame) -> list[dict]:
+        g = g.assign(boundary=~g["is_line"])
         over, near, ray = (g[g["probe"] == p] for p in ("terminal", "point", "ray"))
         lines = over[(over["is_line"]) & (over["distance_m"] <= over["reach_m"])]["distance_m"].to_numpy()
         allowed = np.where(over["is_line"], tol, over["reach_m"])
         over = over[(over["distance_m"] > contact) & (over["distance_m"] <= allowed) & (over["distance_m"] < over["length_m"] - over["distance_m"])]
         if len(over):
-            over = over.sort_values(["distance_m", "target_part", "r_segment", "source_segment"])
+            over = over.sort_values([*order, "source_segment"])
             best = over.iloc[0]
             near_enough = best["distance_m"] <= tol
             return result(best, "LINE_OVERSHOOT", "Tolerance" if near_enough else "DirectionalBoundaryPattern", bool(near_enough) or sure(over, best, lines))
         if (near["distance_m"] <= contact).any():
             return []
-        near = near[near["distance_m"] <= tol].sort_values(["distance_m", "target_part", "r_segment"])
+        near = near[near["distance_m"] <= tol].sort_values(order)
         if len(near):
             return result(near.iloc[0], "LINE_UNDERSHOOT", "Tolerance", True)
         lines = ray[ray["is_line"] & (ray["distance_m"] <= ray["reach_m"])]["distance_m"].to_numpy()
-        ray = ray[~ray["is_line"] & (ray["distance_m"] > contact) & (ray["distance_m"] <= ray["reach_m"])].sort_values(["distance_m", "target_part", "r_segment"])
+        ray = ray[~ray["is_line"] & (ray["distance_m"] > contact) & (ray["distance_m"] <= ray["reach_m"])].sort_values(order)
         if not len(ray):
             return []
         return result(ray.iloc[0], "LINE_UNDERSHOOT", "DirectionalBoundaryPattern", sure(ray, ray.iloc[0], lines))
@@ -384,24 +388,20 @@ def line_ends(lines: DataFrame, components: DataFrame, options: Options) -> tupl
     wide = expand(*map(F.col, BOX), F.lit(options.tolerance_m))
     probes = _with_box(probes, [F.when(F.col("probe") == "point", w).otherwise(F.col(b)) for w, b in zip(wide, BOX)])
 
-    line_seg = lines.select("feature_index", "layer", F.col("part").alias("target_part"), F.lit(True).alias("is_line"), F.inline(ring_segments(F.col("line"))))
-    # Boundaries come after all lines, in order of component and ring.
-    last = F.lit(1 << 62)
-    poly = segment_table(components).select("feature_index", "layer", (last + F.col("component") * RINGS + F.col("ring")).alias("target_part"), F.lit(False).alias("is_line"), "segment", "sx", "sy", "ex", "ey")
+    line_seg = lines.select("feature_index", "layer", F.col("part").alias("target_part"), F.lit(LINE).alias("target_ring"), F.lit(True).alias("is_line"), F.inline(ring_segments(F.col("line"))))
+    poly = segment_table(components).select("feature_index", "layer", F.col("component").alias("target_part"), F.col("ring").alias("target_ring"), F.lit(False).alias("is_line"), "segment", "sx", "sy", "ex", "ey")
     targets = line_seg.unionByName(poly)
     targets = _with_box(targets, [F.least("sx", "ex"), F.least("sy", "ey"), F.greatest("sx", "ex"), F.greatest("sy", "ey")])
-    keep = {"target_part", "is_line"}
+    keep = {"target_part", "target_ring", "is_line"}
     right = targets.select([F.col(c) if c in (*BOX, "layer", *keep) else F.col(c).alias(f"r_{c}") for c in targets.columns])
-    pairs = box_pairs(probes, right, cell_size(targets), ["layer"]).where("not (is_line and target_part = part)").drop(*BOX, *[f"r_{b}" for b in BOX])
+    pairs = box_pairs(probes, right, ["layer"]).where("not (is_line and target_part = part)").drop(*BOX, *[f"r_{b}" for b in BOX])
     met = _map(pairs, _probe_numbers, "distance_m double, tx double, ty double, fraction double").where("distance_m is not null and not isnan(distance_m)")
     found = _grouped(met.drop("layer", "ax", "ay", "bx", "by", "before_m", "r_feature_index"), ["part", "endpoint"], _line_end(options), _END)
-    is_line = F.col("target_part") < last
+    is_line = F.col("is_line")
     over = found.where("code = 'LINE_OVERSHOOT'")
     over = over.withColumn("repairable", (F.col("distance_m") <= options.tolerance_m) | (~is_line & F.col("sure")))
     under = found.where("code = 'LINE_UNDERSHOOT'").join(lines.select("part", "line"), "part")
     # The same two ends may name each other.
-    size = lines.select(F.col("part").alias("target_part"), F.size("line").alias("target_size"))
-    under = under.join(size, "target_part", "left")
     mine = F.when(F.col("endpoint") == "start", F.lit(0)).otherwise(n - 1)
     theirs = F.when(F.col("fraction") <= k.ENDPOINT_FRACTION, F.col("r_segment")).when(F.col("fraction") >= 1 - k.ENDPOINT_FRACTION, F.col("r_segment") + 1)
     under = under.withColumn("a", F.struct(F.col("part").alias("p"), mine.alias("v"))).withColumn("b", F.when(is_line & theirs.isNotNull(), F.struct(F.col("target_part").alias("p"), theirs.alias("v"))))
@@ -411,7 +411,7 @@ def line_ends(lines: DataFrame, components: DataFrame, options: Options) -> tupl
     inner = F.when(F.col("endpoint") == "start", F.lit(1)).otherwise(n - 2)
     stays = (at(inner, 0) != F.col("tx")) | (at(inner, 1) != F.col("ty"))
     under = under.withColumn("repairable", ((F.col("distance_m") <= options.tolerance_m) | (~is_line & F.col("sure"))) & stays)
-    return over, under.drop("line", "a", "b", "pair", "place", "target_size")
+    return over, under.drop("line", "a", "b", "pair", "place")
 
 
 # ---- duplicates -------------------------------------------------------------------------------------------------
@@ -429,10 +429,12 @@ def duplicate_polygons(components: DataFrame, max_offset_m: float = 0.01, min_io
     ).where("size(parts) = 1 or gc <= 0").select("feature_index", "layer", F.col("parts.rings").alias("polygons"), *BOX)
     one = written(one, "polygons")
     grow = max_offset_m / k.METRES_PER_DEGREE_LON * margin
-    left = _with_box(one, [F.col(b) + (grow if i > 1 else -grow) for i, b in enumerate(BOX)])
-    pairs = box_pairs(left, _right(one), cell_size(one), ["layer"]).where("feature_index < r_feature_index")
+    boxes = one.drop("polygons")
+    left = _with_box(boxes, [F.col(b) + (grow if i > 1 else -grow) for i, b in enumerate(BOX)])
+    pairs = box_pairs(left, _right(boxes), ["layer"]).where("feature_index < r_feature_index")
     close = [F.abs(F.col(b) - F.col(f"r_{b}")) <= 2 * grow for b in BOX]
-    pairs = pairs.where(close[0] & close[1] & close[2] & close[3])
+    shape = one.select("feature_index", "polygons")
+    pairs = pairs.where(close[0] & close[1] & close[2] & close[3]).join(shape, "feature_index").join(shape.toDF("r_feature_index", "r_polygons"), "r_feature_index")
 
     def compare(pdf: pd.DataFrame) -> list:
         kinds, offsets = [], []

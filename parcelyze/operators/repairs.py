@@ -318,14 +318,13 @@ def insert_neighbour_vertices(geometry: Geometry, findings: list[dict]) -> tuple
 
 
 def _simple_line(line: list) -> bool:
+    """No two segments overlap, and none meet but neighbours and the ends of a closed line."""
     p = np.array([q[:2] for q in line], float)
-    closed = bool((p[0] == p[-1]).all())
-    for i in range(len(p) - 1):
-        for j in range(i + 1, len(p) - 1):
-            hit = planar.segment_meeting(p[i], p[i + 1], p[j], p[j + 1])
-            if hit and (hit[0] == "Overlapping" or not (j == i + 1 or closed and i == 0 and j == len(p) - 2)):
-                return False
-    return True
+    n = len(p) - 1
+    i, j = np.triu_indices(n, 1)
+    kind, _, _ = planar.meetings(p[i], p[i + 1], p[j], p[j + 1])
+    beside = (j == i + 1) | ((i == 0) & (j == n - 1) & bool((p[0] == p[-1]).all()))
+    return not ((kind == planar.OVERLAPPING) | ((kind > 0) & ~beside)).any()
 
 
 def _line_target_current(group: Group, f: dict) -> bool:

@@ -6,24 +6,28 @@ The lattice of ``lattice.py`` stands for a parcel dataset, ``events`` for upload
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Options
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import pair_checks, polygon_checks
+from ..operators import pair_checks, parcels
 from ..operators.components import components as connected
-from ..sources import readers, writers
+from ..operators.feature_checks import check_features
+from ..sources import readers, store, writers
 from ..streaming import events as ev
-from ..tables import shared_dir, written
-from . import lattice, reports
-from .dry_run import compact, dry_run, issue_groups, summary
+from ..tables import session_dir, written
+from . import lattice, planted, reports
+from .dry_run import AUTO, MANUAL, DryRun, check_reports, compact, dry_run, issue_groups, summary
 from .heal import heal, heal_features
 from .lattice import PARCELS_SQL
 
@@ -104,82 +108,59 @@ def expand_bounds(spark, sf_dir):
     return f.select("feature_index", *[F.round(c, 9).alias(n) for c, n in zip(wide, ("minx", "miny", "maxx", "maxy"))])
 
 
-# ---- checks of single features ----------------------------------------------------------------------------------
+# ---- checks of single features: all go through the pass that the dry run takes ----------------------------------------
 
 
-@query(
-    _P
-    + """ SELECT parcel_id AS feature_index, 0 AS ring_index, CASE WHEN y0 = y1 THEN 'INDETERMINATE_RING_ORIENTATION' ELSE 'INCORRECT_RING_ORIENTATION' END AS code
-  FROM parcels WHERE y0 = y1 OR winding = 'cw'"""
-)
-def ring_orientation_check(spark, sf_dir):
-    return polygon_checks.ring_orientation(lattice.features(spark, sf_dir))
+def _own_findings(spark, sf_dir, features: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+    found = check_features(lattice.features_json(spark, sf_dir) if features is None else features, options)
+    return found.select(F.inline("findings"))
+
 
+def _planted_check(check: str) -> None:
+    """Registers a query for the findings of one check over features with planted defects."""
 
-@query(_P + " SELECT parcel_id AS feature_index, 'ZERO_AREA_POLYGON' AS code FROM parcels WHERE y0 = y1")
-def zero_area_polygons(spark, sf_dir):
-    return polygon_checks.zero_area(lattice.features(spark, sf_dir))
+    def run(spark, sf_dir):
+        f = _own_findings(spark, sf_dir, planted.features(spark, sf_dir)).where(F.col("check") == check)
+        disposition = F.when(F.col("repairable") & F.col("failure").isNull(), AUTO).otherwise(MANUAL)
+        return f.select("feature_index", "code", F.array_join("coordinate_path", ",").alias("path"), disposition.alias("disposition"))
 
+    name = "check_" + "".join("_" + c.lower() if c.isupper() else c for c in check)
+    run.__name__ = name
+    run.__doc__ = f"Findings of {check} over features with planted defects."
+    QUERIES[name], SQL[name] = run, planted.expected_sql(check)
 
-@query(_P + f" SELECT parcel_id AS feature_index, round({_AREA}, 3) AS area_m2, 'TINY_POLYGON' AS code FROM parcels WHERE y1 > y0 AND {_AREA} < 100")
+
+for _check in (
+    "geometryTypes", "geometryDimensions", "multipartIntegrity", "coordinatePrecision", "invalidRings", "ringClosure", "duplicateVertices", "selfIntersections", "ringOrientation", "invalidHoles", "spikes",
+    "zeroAreaPolygons", "tinyPolygons", "slivers",
+):
+    _planted_check(_check)
+
+
+@query(_P + f" SELECT parcel_id AS feature_index, round({_AREA}, 3) AS area_m2, 100.0 AS threshold_m2 FROM parcels WHERE y1 > y0 AND {_AREA} < 100".replace("100.0 AS", "CAST(100 AS DOUBLE) AS"))
 def tiny_polygons(spark, sf_dir):
-    return polygon_checks.tiny(lattice.features(spark, sf_dir), _COARSE).withColumn("area_m2", F.round("area_m2", 3))
+    f = _own_findings(spark, sf_dir, options=_COARSE).where("code = 'TINY_POLYGON'").withColumn("d", F.from_json("details", "areaM2 double, thresholdM2 double"))
+    return f.select("feature_index", F.round("d.areaM2", 3).alias("area_m2"), F.col("d.thresholdM2").alias("threshold_m2"))
 
 
 @query(
     _P
     + f""", m AS (SELECT parcel_id, {_AREA} AS a, {_PERIMETER} AS p FROM parcels WHERE y1 > y0)
 SELECT parcel_id AS feature_index, round(a, 3) AS area_m2, round(p, 3) AS perimeter_m, round(4 * pi() * a / (p * p), 6) AS compactness,
-  CASE WHEN a < 0.0625 THEN 'Area' ELSE 'Compactness' END AS reason FROM m WHERE a < 0.0625 OR 4 * pi() * a / (p * p) < 0.1"""
+  CASE WHEN a < 100 AND 4 * pi() * a / (p * p) < 0.1 THEN 'Area,Compactness' WHEN a < 100 THEN 'Area' ELSE 'Compactness' END AS reasons FROM m WHERE a < 100 OR 4 * pi() * a / (p * p) < 0.1"""
 )
 def sliver_detection(spark, sf_dir):
-    s = polygon_checks.slivers(lattice.features(spark, sf_dir), Options())
-    return s.select("feature_index", F.round("area_m2", 3).alias("area_m2"), F.round("perimeter_m", 3).alias("perimeter_m"), F.round("compactness", 6).alias("compactness"), "reason")
-
-
-@query(
-    f"""WITH v AS (SELECT l_orderkey, {_POSITION} AS position, l_partkey % 3 AS vertex, lag({_POSITION}) OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY {_POSITION}) AS previous FROM lineitem)
-SELECT l_orderkey, position, previous, position - previous = 1 AS consecutive FROM v WHERE previous IS NOT NULL"""
-)
-def duplicate_vertices(spark, sf_dir):
-    v = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_POSITION).alias("position"), (F.col("l_partkey") % 3).alias("vertex"))
-    return polygon_checks.duplicate_vertices(v, "l_orderkey", "position", "vertex")
-
-
-@query(
-    """WITH v AS (SELECT user_id, event_id, value, first_value(value) OVER (PARTITION BY user_id, floor(value / 5) ORDER BY event_id) AS first_exact FROM events)
-SELECT user_id, event_id, first_exact FROM v WHERE value <> first_exact"""
-)
-def rounding_collisions(spark, sf_dir):
-    v = _read(spark, sf_dir, "events").select("user_id", "event_id", "value", F.floor(F.col("value") / 5).alias("cell"))
-    return polygon_checks.rounding_collisions(v, "user_id", "event_id", "value", "cell")
-
-
-@query("SELECT event_id, value FROM events WHERE abs(value * 10 - round(value * 10)) > 1e-6")
-def excess_precision(spark, sf_dir):
-    return _read(spark, sf_dir, "events").where(F.abs(F.col("value") * 10 - F.round(F.col("value") * 10)) > 1e-6).select("event_id", "value")
-
-
-@query(
-    f"""WITH v AS (SELECT l_orderkey, {_POSITION} AS position, CAST(1 + l_suppkey % 3 AS INTEGER) AS received FROM lineitem),
-w AS (SELECT *, first_value(CASE WHEN received >= 2 THEN received END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected FROM v)
-SELECT l_orderkey, position, expected, received, CASE WHEN received < 2 THEN 'INVALID_POSITION_DIMENSION' ELSE 'INCONSISTENT_POSITION_DIMENSION' END AS code
-FROM w WHERE received < 2 OR expected <> received"""
-)
-def dimension_consistency(spark, sf_dir):
-    v = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_POSITION).alias("position"), (1 + F.col("l_suppkey") % 3).cast("int").alias("size"))
-    return polygon_checks.dimension_consistency(v, "l_orderkey", "position", "size")
+    f = _own_findings(spark, sf_dir, options=_COARSE).where("code = 'SLIVER_POLYGON'").withColumn("d", F.from_json("details", "areaM2 double, perimeterMeters double, compactness double, detectionReasons array<string>"))
+    return f.select("feature_index", F.round("d.areaM2", 3).alias("area_m2"), F.round("d.perimeterMeters", 3).alias("perimeter_m"), F.round("d.compactness", 6).alias("compactness"), F.array_join("d.detectionReasons", ",").alias("reasons"))
 
 
 @query(
-    _P
-    + f""" SELECT parcel_id AS feature_index, round({_AREA}, 3) AS baseline_area_m2, CASE WHEN parcel_id % 5 = 0 THEN 'Missing' ELSE 'ZeroArea' END AS reason
-  FROM parcels WHERE y1 > y0 AND (parcel_id % 5 = 0 OR parcel_id % 4 = 0)"""
+    f"""SELECT p_partkey AS feature_index, k IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11) AS structural, k IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 16) AS polygon_unsafe,
+  k IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 16, 18, 20, 21, 22, 23, 24, 25, 26, 27, 30) AS relation_unsafe FROM (SELECT p_partkey, p_partkey % {len(planted.KINDS)} AS k FROM part)"""
 )
-def collapsed_polygons(spark, sf_dir):
-    before = lattice.features(spark, sf_dir)
-    after = before.where("feature_index % 5 <> 0").withColumn("area_m2", F.when(F.col("feature_index") % 4 == 0, 0.0).otherwise(F.col("area_m2")))
-    return polygon_checks.collapsed(before, after).withColumn("baseline_area_m2", F.round("baseline_area_m2", 3))
+def quarantine_view(spark, sf_dir):
+    """Which features stay out of which of the later checks."""
+    return check_features(planted.features(spark, sf_dir), Options()).drop("findings")
 
 
 # ---- checks between features --------------------------------------------------------------------------------------
@@ -221,7 +202,7 @@ def polygon_gaps(spark, sf_dir):
 @query(
     _P
     + f""" SELECT p.parcel_id AS feature_index, 2 AS vertex, q.parcel_id AS related_feature_index, 0.5 AS fraction, true AS repairable
-  FROM parcels p JOIN parcels q ON q.parcel_id = p.parcel_id + 1 AND q.r = p.r AND {_BOTH} AND q.x0 = p.x1 WHERE p.parcel_id % 5 = 0 AND q.parcel_id % 13 <> 0""".replace("0.5 AS", "CAST(0.5 AS DOUBLE) AS")
+  FROM parcels p JOIN parcels q ON q.parcel_id = p.parcel_id + 1 AND q.r = p.r AND {_BOTH} AND q.x0 = p.x1 WHERE p.parcel_id % 5 = 0""".replace("0.5 AS", "CAST(0.5 AS DOUBLE) AS")
 )
 def neighbor_vertices(spark, sf_dir):
     """A vertex in the middle of the east side of every fifth parcel, whose neighbour lacks it."""
@@ -230,24 +211,19 @@ def neighbor_vertices(spark, sf_dir):
     ring = F.when(g.orientation(ring) == "cw", F.reverse(ring)).otherwise(ring)
     middle = F.array(F.col("maxx"), (F.col("miny") + F.col("maxy")) / 2)
     c = c.withColumn("rings", F.array(F.when(F.col("feature_index") % 5 == 0, F.concat(F.slice(ring, 1, 2), F.array(middle), F.slice(ring, 3, 10))).otherwise(ring)))
-    c = written(c, "components")
-    v = pair_checks.neighbour_vertices(c).where("feature_index < r_feature_index and r_feature_index % 13 <> 0")
+    v = pair_checks.neighbour_vertices(written(c, "components"))
     return v.select("feature_index", "vertex", F.col("r_feature_index").alias("related_feature_index"), F.round("fraction", 6).alias("fraction"), "repairable")
 
 
-@query(_P + " SELECT parcel_id + 1000000 AS feature_index, parcel_id AS kept_index FROM parcels WHERE parcel_id % 19 = 0")
-def exact_duplicates(spark, sf_dir):
-    f = lattice.features(spark, sf_dir)
-    copies = f.where("feature_index % 19 = 0").withColumn("feature_index", F.col("feature_index") + 1000000)
-    return polygon_checks.exact_duplicates(f.unionByName(copies))
-
-
-@query(_P + " SELECT parcel_id AS feature_index, parcel_id + 1000000 AS related_feature_index, CASE WHEN parcel_id % 2 = 0 THEN 'Topological' ELSE 'Exact' END AS kind FROM parcels WHERE parcel_id % 19 = 0 AND y1 > y0")
+@query(_P + " SELECT parcel_id AS feature_index, parcel_id + 1000000 AS related_feature_index, CASE parcel_id % 3 WHEN 0 THEN 'Topological' WHEN 1 THEN 'Exact' ELSE 'Near' END AS kind FROM parcels WHERE parcel_id % 19 = 0 AND y1 > y0 AND parcel_id % 13 <> 0")
 def duplicate_polygons(spark, sf_dir):
+    """Copies of every nineteenth parcel: the same, with another first vertex, or with a corner moved by a nanodegree and a half."""
     c = _components(spark, sf_dir)
     ring = F.get("rings", F.lit(0))
     turned = F.concat(F.slice(ring, 2, 10), F.slice(ring, 2, 1))
-    copies = c.where("feature_index % 19 = 0").withColumn("rings", F.when(F.col("feature_index") % 2 == 0, F.array(turned)).otherwise(F.col("rings"))).withColumn("feature_index", F.col("feature_index") + 1000000)
+    moved = F.transform(ring, lambda p, i: F.when(i == 2, F.array(F.get(p, F.lit(0)) + 1.5e-9, F.get(p, F.lit(1)))).otherwise(p))
+    copy = F.when(F.col("feature_index") % 3 == 0, F.array(turned)).when(F.col("feature_index") % 3 == 1, F.col("rings")).otherwise(F.array(moved))
+    copies = c.where("feature_index % 19 = 0 and feature_index % 13 <> 0").withColumn("rings", copy).withColumn("feature_index", F.col("feature_index") + 1000000).withColumn("component", F.col("component") + 1000000)
     return pair_checks.duplicate_polygons(c.unionByName(copies)).select("feature_index", F.col("r_feature_index").alias("related_feature_index"), "kind")
 
 
@@ -259,7 +235,8 @@ SELECT component, target, round(shared, 3) AS shared_m, round(shared / around, 6
 )
 def sliver_adjacency(spark, sf_dir):
     c = _components(spark, sf_dir)
-    s = polygon_checks.slivers(lattice.features(spark, sf_dir), Options()).select(F.col("feature_index").alias("component"), "feature_index", "area_m2", "perimeter_m")
+    f = _own_findings(spark, sf_dir).where("code = 'SLIVER_POLYGON'").withColumn("d", F.from_json("details", "areaM2 double, perimeterMeters double"))
+    s = f.select(F.col("feature_index").alias("component"), "feature_index", F.col("d.areaM2").alias("area_m2"), F.col("d.perimeterMeters").alias("perimeter_m"))
     return pair_checks.sliver_neighbours(s, c).select("component", "target", F.round("shared_m", 3).alias("shared_m"), F.round("shared_ratio", 6).alias("shared_ratio"), "absorb")
 
 
@@ -313,60 +290,185 @@ SQL["overlap_components"] = SQL["overlap_components"].replace("WITH ", "WITH REC
 
 # ---- dry run ------------------------------------------------------------------------------------------------------
 
+_THIN = f"4 * pi() * {_AREA} / power({_PERIMETER}, 2) < 0.1 OR {_AREA} < 0.0625"
+#: All issues of a dry run over the lattice, in report order: k is the check's place, o the order within a feature.
+_ISSUES = (
+    _P
+    + f""", thin AS (SELECT * FROM parcels WHERE y1 > y0 AND ({_THIN})),
+absorbed AS (SELECT t.parcel_id, q.parcel_id AS target FROM thin t JOIN parcels q ON q.parcel_id = t.parcel_id - 1 AND q.r = t.r AND q.y1 > q.y0 AND q.x1 = t.x0),
+found AS (
+  SELECT 5 AS k, 'invalidRings' AS "check", 'INSUFFICIENT_RING_VERTICES' AS code, parcel_id AS f, CAST(NULL AS BIGINT) AS rf, false AS auto, 0 AS o FROM parcels WHERE y0 = y1
+  UNION ALL SELECT 7, 'duplicateVertices', 'DUPLICATE_VERTEX', parcel_id, NULL, false, o FROM parcels, (VALUES (0), (1)) v(o) WHERE y0 = y1
+  UNION ALL SELECT 11, 'ringOrientation', 'INCORRECT_RING_ORIENTATION', parcel_id, NULL, true, 0 FROM parcels WHERE y1 > y0 AND winding = 'cw'
+  UNION ALL SELECT 16, 'slivers', 'SLIVER_POLYGON', thin.parcel_id, target, target IS NOT NULL, 0 FROM thin LEFT JOIN absorbed USING (parcel_id)
+  UNION ALL SELECT 17, 'overlaps', 'POLYGON_OVERLAP', p.parcel_id, q.parcel_id, true, q.parcel_id FROM parcels p JOIN parcels q ON p.r = q.r AND p.parcel_id < q.parcel_id AND {_BOTH} AND {_SHARED} > 0
+  UNION ALL SELECT 18, 'gaps', 'POLYGON_GAP', p.parcel_id, q.parcel_id, true, q.parcel_id FROM parcels p JOIN parcels q ON q.parcel_id = p.parcel_id + 1 AND q.r = p.r AND {_BOTH} AND q.x0 - p.x1 = 2),
+issues AS (SELECT row_number() OVER (ORDER BY k, f, o) - 1 AS issue_index, "check", code, f, rf, CASE WHEN auto THEN 'AutoRepairAvailable' ELSE 'ManualReview' END AS disposition FROM found),
+members AS (SELECT DISTINCT "check", code, m FROM (SELECT "check", code, f AS m FROM issues UNION ALL SELECT "check", code, rf FROM issues) WHERE m IS NOT NULL)
+"""
+)
 
-@query()
-def issue_group_report(spark, sf_dir):
-    return flagship(spark, sf_dir)
 
+def _lattice_run(spark, sf_dir) -> DryRun:
+    return dry_run(lattice.features_json(spark, sf_dir), Options())
 
-@query()
-def report_summary(spark, sf_dir):
-    return summary(dry_run(lattice.features_json(spark, sf_dir), Options()))
 
+@query(
+    _ISSUES
+    + """SELECT "check", code, count(*) AS issue_count, (SELECT count(*) FROM members m WHERE m."check" = i."check" AND m.code = i.code) AS affected_feature_count,
+  CASE WHEN min(disposition) = max(disposition) THEN min(disposition) ELSE 'Mixed' END AS disposition, min(issue_index) AS first_issue FROM issues i GROUP BY "check", code"""
+)
+def issue_group_report(spark, sf_dir):
+    run = _lattice_run(spark, sf_dir)
+    return issue_groups(run.issues).select("check", "code", "issue_count", "affected_feature_count", "disposition", "first_issue")
 
-@query(_P + " SELECT parcel_id AS feature_index, CASE WHEN parcel_id % 13 = 0 OR y0 = y1 THEN NULL ELSE layer || ':' END AS geometry FROM parcels")
-def quarantine_view(spark, sf_dir):
-    f = lattice.features(spark, sf_dir)
-    unsafe = f.where("feature_index % 13 = 0 or area_m2 = 0")
-    view = polygon_checks.quarantined(f.select("feature_index", F.concat("layer", F.lit(":")).alias("geometry")), unsafe, "geometry")
-    return view.select("feature_index", "geometry")
 
+@query(
+    _ISSUES
+    + """SELECT count(*) AS issues, count(*) FILTER (WHERE disposition = 'AutoRepairAvailable') AS auto_repairable, count(*) FILTER (WHERE disposition = 'ManualReview') AS manual_review,
+  count(DISTINCT code) AS groups, count(DISTINCT "check") AS failed_checks, (SELECT count(DISTINCT m) FROM members) AS affected_features, (SELECT count(*) FROM parcels) AS features, 19 AS checks, false AS valid FROM issues"""
+)
+def report_summary(spark, sf_dir):
+    return summary(_lattice_run(spark, sf_dir))
 
-@query(_P + ", i AS (SELECT parcel_id, CASE WHEN y0 = y1 THEN 'ZERO_AREA_POLYGON' ELSE 'INCORRECT_RING_ORIENTATION' END AS code FROM parcels WHERE y0 = y1 OR winding = 'cw') SELECT code, count(*) AS issue_count, count(DISTINCT parcel_id) AS affected_feature_count FROM i GROUP BY code")
-def issue_groups_by_code(spark, sf_dir):
-    f = lattice.features(spark, sf_dir)
-    i = polygon_checks.zero_area(f).unionByName(polygon_checks.ring_orientation(f).where("code = 'INCORRECT_RING_ORIENTATION'").select("feature_index", "code"))
-    return i.groupBy("code").agg(F.count("*").alias("issue_count"), F.countDistinct("feature_index").alias("affected_feature_count"))
 
+@query(
+    _ISSUES
+    + """, c AS (SELECT unnest(['geometryTypes', 'geometryDimensions', 'multipartIntegrity', 'coordinatePrecision', 'invalidRings', 'ringClosure', 'duplicateVertices', 'undershoots', 'overshoots', 'selfIntersections',
+  'ringOrientation', 'invalidHoles', 'spikes', 'zeroAreaPolygons', 'tinyPolygons', 'slivers', 'overlaps', 'gaps', 'neighborConsistency']) AS "check")
+SELECT c."check", count(f) AS issues, count(DISTINCT f) AS features, count(f) FILTER (WHERE disposition = 'AutoRepairAvailable') AS auto_repairable, count(f) = 0 AS valid FROM c LEFT JOIN issues ON issues."check" = c."check" GROUP BY c."check" """
+)
+def per_check_reports(spark, sf_dir):
+    return check_reports(_lattice_run(spark, sf_dir)).select("check", "issues", "features", "auto_repairable", "valid")
 
-@query()
+
+@query(_ISSUES + """SELECT issue_index, "check", code, f AS feature_index, rf AS related_feature_index, disposition, '{}' AS details FROM issues WHERE disposition = 'ManualReview'""")
 def compact_report(spark, sf_dir):
-    return compact(dry_run(lattice.features_json(spark, sf_dir), Options()).issues).select("issue_index", "check", "code", "feature_index", "related_feature_index", "disposition", "details")
+    return compact(_lattice_run(spark, sf_dir).issues).select("issue_index", "check", "code", "feature_index", "related_feature_index", "disposition", "details")
 
 
-@query()
+@query(
+    _ISSUES
+    + f""", page AS (SELECT issue_index, code, f FROM issues WHERE code = 'SLIVER_POLYGON' ORDER BY issue_index LIMIT 10 OFFSET 5)
+SELECT issue_index, code, f AS feature_index, round({_AREA}, 3) AS area_m2, round({_PERIMETER}, 3) AS perimeter_m FROM page JOIN parcels ON parcel_id = f"""
+)
 def issue_details_page(spark, sf_dir):
-    issues = dry_run(lattice.features_json(spark, sf_dir), Options()).issues
-    return reports.issue_page(issues, "SLIVER_POLYGON", 5, 10).select("issue_index", "code", "feature_index", "details")
+    page = reports.issue_page(_lattice_run(spark, sf_dir).issues, "SLIVER_POLYGON", 5, 10).withColumn("d", F.from_json("details", "areaM2 double, perimeterMeters double"))
+    return page.select("issue_index", "code", "feature_index", F.round("d.areaM2", 3).alias("area_m2"), F.round("d.perimeterMeters", 3).alias("perimeter_m"))
 
 
 # ---- repair, files ---------------------------------------------------------------------------------------------------
 
 
-@query()
+def _measures(features: DataFrame, *keys: str) -> DataFrame:
+    """keys, type, the box in micro-degrees and the number of positions of healed features."""
+    shape = F.from_json("feature", "geometry struct<type: string, coordinates: string>")["geometry"]
+    numbers = F.transform(F.regexp_extract_all(shape["coordinates"], F.lit(r"-?[0-9]+\.?[0-9]*(?:[eE]-?[0-9]+)?"), F.lit(0)), lambda v: v.cast("double"))
+    f = features.select(*keys, shape["type"].alias("type"), numbers.alias("v"))
+    of = lambda odd: F.filter("v", lambda x, i: i % 2 == odd)
+    micro = lambda c: F.round(c * 1000000).cast("long")
+    f = f.withColumn("x", of(0)).withColumn("y", of(1))
+    return f.select(*keys, "type", micro(F.array_min("x")).alias("minx"), micro(F.array_min("y")).alias("miny"), micro(F.array_max("x")).alias("maxx"), micro(F.array_max("y")).alias("maxy"), F.size("x").alias("positions"))
+
+
+#: The lattice after healing: review groups (slivers and what would absorb them) are withheld from all but subtraction.
+_HEALED = (
+    _ISSUES
+    + f""", held AS (SELECT DISTINCT m FROM members WHERE code = 'SLIVER_POLYGON'),
+closed AS (SELECT p.parcel_id AS a, q.parcel_id AS b FROM parcels p JOIN parcels q ON q.parcel_id = p.parcel_id + 1 AND q.r = p.r AND {_BOTH} AND q.x0 - p.x1 = 2 WHERE p.parcel_id NOT IN (SELECT m FROM held) AND q.parcel_id NOT IN (SELECT m FROM held)),
+cut AS (SELECT p.parcel_id AS a, q.parcel_id AS b, greatest(p.x0, q.x0) AS s, least(p.x1, q.x1) AS e, q.x1 <= p.x1 AS swallowed FROM parcels p JOIN parcels q ON p.r = q.r AND p.parcel_id < q.parcel_id AND {_BOTH} AND {_SHARED} > 0),
+h AS (
+  SELECT p.parcel_id, y0 = y1 OR p.parcel_id IN (SELECT m FROM held) AS behind, coalesce(l.swallowed, false) AS gone, coalesce(r.swallowed, false) AS apart,
+    x0 + CASE WHEN gl.b IS NOT NULL THEN -1 WHEN l.b IS NOT NULL THEN l.e - x0 ELSE 0 END AS minx, x1 + CASE WHEN gr.a IS NOT NULL THEN 1 WHEN r.a IS NOT NULL AND NOT r.swallowed THEN r.s - x1 ELSE 0 END AS maxx, y0, y1
+  FROM parcels p LEFT JOIN closed gl ON gl.b = p.parcel_id LEFT JOIN closed gr ON gr.a = p.parcel_id LEFT JOIN cut l ON l.b = p.parcel_id LEFT JOIN cut r ON r.a = p.parcel_id)
+"""
+)
+
+
+@query(
+    _HEALED
+    + """SELECT row_number() OVER (ORDER BY behind, parcel_id) - 1 AS out_index, parcel_id AS source_index, CASE WHEN apart THEN 'MultiPolygon' ELSE 'Polygon' END AS type, minx, y0 AS miny, maxx, y1 AS maxy,
+  CAST(CASE WHEN apart THEN 10 ELSE 5 END AS INTEGER) AS positions FROM h WHERE NOT gone"""
+)
 def heal_pipeline(spark, sf_dir):
-    return heal(lattice.features_json(spark, sf_dir), Options()).features
+    return _measures(heal(lattice.features_json(spark, sf_dir), Options()).features, "out_index", "source_index")
 
 
-@query()
+@query(
+    _HEALED
+    + """SELECT * FROM (SELECT 'overlapsHealed' AS counter, count(*) AS n FROM cut UNION ALL SELECT 'gapsClosed', count(*) FROM closed UNION ALL SELECT 'ringOrientationsNormalized', count(*) FROM parcels WHERE y1 > y0 AND winding = 'cw') WHERE n > 0"""
+)
 def heal_counters(spark, sf_dir):
-    return heal(lattice.features_json(spark, sf_dir), Options(), withhold_reviewed=False).counts
+    return heal(lattice.features_json(spark, sf_dir), Options()).counts.where("n > 0")
+
+
+#: Scenes far from each other, by a part's number: two parcels with a gap; a sliver beside a parcel; parcels that overlap; a vertex
+#: that the neighbour lacks; a line that ends short of a parcel, and one that ends inside.
+_SCENES: list[list[tuple[dict, tuple[str, int, int, int, int, int]]]] = [
+    [
+        ({"type": "Polygon", "coordinates": [planted._box(0, 0, 500)]}, ("Polygon", 0, 0, 501, 500, 5)),
+        ({"type": "Polygon", "coordinates": [planted._box(502, 0, 500)]}, ("Polygon", 501, 0, 1002, 500, 5)),
+    ],
+    [
+        ({"type": "Polygon", "coordinates": [planted._box(0, 0, 500)]}, ("Polygon", 0, 0, 503, 500, 7)),
+        ({"type": "Polygon", "coordinates": [planted._box(500, 0, 3, 500)]}, ("", 0, 0, 0, 0, 0)),
+    ],
+    [
+        ({"type": "Polygon", "coordinates": [planted._box(0, 0, 500)]}, ("Polygon", 0, 0, 400, 500, 5)),
+        ({"type": "Polygon", "coordinates": [planted._box(400, 0, 500)]}, ("Polygon", 500, 0, 900, 500, 5)),
+    ],
+    [
+        ({"type": "Polygon", "coordinates": [[planted.at(0, 0), planted.at(500, 0), planted.at(500, 200), planted.at(500, 500), planted.at(0, 500), planted.at(0, 0)]]}, ("Polygon", 0, 0, 500, 500, 6)),
+        ({"type": "Polygon", "coordinates": [planted._box(500, 0, 500)]}, ("Polygon", 500, 0, 1000, 500, 6)),
+    ],
+    [
+        ({"type": "Polygon", "coordinates": [planted._box(500, 0, 500)]}, ("Polygon", 500, 0, 1000, 500, 5)),
+        ({"type": "LineString", "coordinates": [planted.at(0, 250), planted.at(490, 250)]}, ("LineString", 0, 250, 500, 250, 2)),
+    ],
+    [
+        ({"type": "Polygon", "coordinates": [planted._box(500, 0, 500)]}, ("Polygon", 500, 0, 1000, 500, 5)),
+        ({"type": "LineString", "coordinates": [planted.at(0, 250), planted.at(507, 250)]}, ("LineString", 0, 250, 500, 250, 2)),
+    ],
+]
+_SCENE_ROWS = ", ".join(f"({2 * s + k}, '{t}', {a}, {b}, {c}, {d}, {n})" for s, scene in enumerate(_SCENES) for k, (_, (t, a, b, c, d, n)) in enumerate(scene) if t)
+_PLACE = f"10000000 + %s * {planted.STEP}"
+
+
+def _scenes(spark, sf_dir) -> DataFrame:
+    """Two features for each part: the scene of its number's remainder, at its place."""
+
+    def run(batches):
+        for batch in batches:
+            index, texts = [], []
+            for n in batch.column(0).to_pylist():
+                for k, (geometry, _) in enumerate(_SCENES[n % len(_SCENES)]):
+                    index.append(2 * n + k)
+                    texts.append(planted.feature_text(geometry, n))
+            yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(texts, pa.string())], ["feature_index", "feature"])
+
+    parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long")).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return parts.mapInArrow(run, "feature_index long, feature string")
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey AS n, {_PLACE % '(p_partkey % 1000)'} AS px, {_PLACE % '(p_partkey // 1000)'} AS py FROM part)
+SELECT 2 * n + k % 2 AS source_index, type, px + a AS minx, py + b AS miny, px + c AS maxx, py + d AS maxy, CAST(positions AS INTEGER) AS positions
+FROM p JOIN (VALUES {_SCENE_ROWS}) v(k, type, a, b, c, d, positions) ON n % {len(_SCENES)} = k // 2"""
+)
+def heal_scenes(spark, sf_dir):
+    """Every repair between features, each in scenes of its own."""
+    return _measures(heal(_scenes(spark, sf_dir), Options(), withhold_reviewed=False).features, "source_index")
 
 
 def _planted(spark, sf_dir, geometry: Callable[[float, float], dict]) -> DataFrame:
     """A feature for each part with a geometry about its lattice corner."""
-    make = F.udf(lambda x, y: json.dumps({"type": "Feature", "properties": {}, "geometry": geometry(x / 1e6, y / 1e6)}), "string")
-    return lattice.parcels(spark, sf_dir).select(F.col("parcel_id").alias("feature_index"), make("x0", "y0").alias("feature"))
+
+    def run(batches):
+        for batch in batches:
+            texts = [json.dumps({"type": "Feature", "properties": {}, "geometry": geometry(x / 1e6, y / 1e6)}) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["feature_index", "feature"])
+
+    return lattice.parcels(spark, sf_dir).select(F.col("parcel_id").alias("feature_index"), "x0", "y0").mapInArrow(run, "feature_index long, feature string")
 
 
 def _healed_counts(spark, sf_dir, geometry: Callable[[float, float], dict]) -> DataFrame:
@@ -399,29 +501,187 @@ def spike_repair(spark, sf_dir):
     return _healed_counts(spark, sf_dir, lambda x, y: {"type": "Polygon", "coordinates": [ring(x, y)]})
 
 
-@query(_P + " SELECT parcel_id AS feature_index, round(x0 / 1e6, 6) AS minx, round(y1 / 1e6, 6) AS maxy FROM parcels")
+@query(_P + " SELECT parcel_id AS feature_index, round(x0 / 1e6, 6) AS minx, round(y0 / 1e6, 6) AS miny, round(x1 / 1e6, 6) AS maxx, round(y1 / 1e6, 6) AS maxy FROM parcels")
 def geojson_roundtrip(spark, sf_dir):
     """Written as newline-delimited GeoJSON, read again."""
-    out = f"{shared_dir(spark)}/parcelyze/geojson-{uuid.uuid4().hex}"
+    out = f"{session_dir(spark)}/geojson-{uuid.uuid4().hex}"
     lattice.features_json(spark, sf_dir).select(F.col("feature").alias("value")).write.text(out)
     f = readers.read_geojson_lines(spark, out).select(F.from_json("feature", "id long, geometry struct<coordinates: array<array<array<double>>>>").alias("f"))
     box = g.bounds(F.get("f.geometry.coordinates", F.lit(0)))
-    return f.select(F.col("f.id").alias("feature_index"), F.round(box["minx"], 6).alias("minx"), F.round(box["maxy"], 6).alias("maxy"))
+    return f.select(F.col("f.id").alias("feature_index"), *[F.round(box[b], 6).alias(b) for b in ("minx", "miny", "maxx", "maxy")])
 
 
-@query(_P + " SELECT parcel_id AS feature_index, 'MultiLineString' AS geometry_type, CAST(1 AS INTEGER) AS lines FROM parcels")
+@query(_P + " SELECT parcel_id AS feature_index, 'MultiLineString' AS geometry_type, CAST(1 AS INTEGER) AS lines, round(x0 / 1e6, 6) AS minx, round(y0 / 1e6, 6) AS miny, round(x1 / 1e6, 6) AS maxx, round(y1 / 1e6, 6) AS maxy FROM parcels")
 def linework(spark, sf_dir):
-    lines = F.udf(lambda f: json.dumps(writers.linework(json.loads(f)["geometry"])), "string")
-    f = lattice.features_json(spark, sf_dir).select("feature_index", F.from_json(lines("feature"), "type string, coordinates array<array<array<double>>>").alias("l"))
-    return f.select("feature_index", F.col("l.type").alias("geometry_type"), F.size("l.coordinates").alias("lines"))
+    lines = writers._texts(lattice.features_json(spark, sf_dir), lambda f: json.dumps(writers.linework(f["geometry"])))
+    f = lines.select("feature_index", F.from_json("feature", "type string, coordinates array<array<array<double>>>").alias("l"))
+    box = g.bounds(F.flatten("l.coordinates"))
+    return f.select("feature_index", F.col("l.type").alias("geometry_type"), F.size("l.coordinates").alias("lines"), *[F.round(box[b], 6).alias(b) for b in ("minx", "miny", "maxx", "maxy")])
+
 
+_N, _K0 = 0.0016792203863837047, 0.9996  # the third flattening of WGS 84, the scale on the meridian
+_double = "{:.17e}".format
+_RECTIFYING = 6378137 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+_SERIES = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_ECCENTRIC = 0.08181919084262149
 
-@query()
-def crs_roundtrip(spark, sf_dir):
-    """The lattice's corners to UTM zone 39 north."""
-    to_utm = F.udf(lambda x, y: readers.crs.transform([x, y], "EPSG:4326", "EPSG:32639"), "array<double>")
-    c = lattice.features(spark, sf_dir).select("feature_index", to_utm("minx", "miny").alias("p"))
-    return c.select("feature_index", F.round(F.get("p", F.lit(0)), 3).alias("east_m"), F.round(F.get("p", F.lit(1)), 3).alias("north_m"))
+
+@query(
+    _P
+    + f""", d AS (SELECT parcel_id, radians(x0 / 1e6) - radians(51.0) AS l, sin(radians(y0 / 1e6)) AS s FROM parcels),
+t AS (SELECT parcel_id, l, sinh(atanh(s) - {_double(_ECCENTRIC)} * atanh({_double(_ECCENTRIC)} * s)) AS tau FROM d),
+x AS (SELECT parcel_id, atan2(tau, cos(l)) AS xi, asinh(sin(l) / sqrt(tau * tau + cos(l) * cos(l))) AS eta FROM t)
+SELECT parcel_id AS feature_index, round(500000 + {_double(_K0 * _RECTIFYING)} * (eta + {" + ".join(f"{_double(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_SERIES, 1))}), 3) AS east_m,
+  round({_double(_K0 * _RECTIFYING)} * (xi + {" + ".join(f"{_double(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_SERIES, 1))}), 3) AS north_m FROM x"""
+)
+def crs_projection(spark, sf_dir):
+    """The lattice's corners in UTM zone 39 north."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = readers.crs.from_wgs84(batch.column(1).to_numpy(), batch.column(2).to_numpy(), "EPSG:32639")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(y)], ["feature_index", "x", "y"])
+
+    c = lattice.features(spark, sf_dir).select("feature_index", "minx", "miny").mapInArrow(run, "feature_index long, x double, y double")
+    return c.select("feature_index", F.round("x", 3).alias("east_m"), F.round("y", 3).alias("north_m"))
+
+
+_BOXES = _P + " SELECT parcel_id AS feature_index, round(x0 / 1e6, 6) AS minx, round(y0 / 1e6, 6) AS miny, round(x1 / 1e6, 6) AS maxx, round(y1 / 1e6, 6) AS maxy FROM parcels WHERE y1 > y0"
+
+
+def _back(spark, sf_dir, write: Callable[[DataFrame, str], None], name: str, source_crs: str | None = None) -> DataFrame:
+    """The lattice's sound parcels written as files of a format and read again, with the parcel that each stands for."""
+    sound = lattice.features_json(spark, sf_dir).join(lattice.features(spark, sf_dir).where("area_m2 > 0").select("feature_index"), "feature_index", "left_semi")
+    out = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write(sound, out)
+    return readers.read_dataset(spark, out, source_crs)
+
+
+def _boxed(found: DataFrame, key) -> DataFrame:
+    shape = F.from_json("feature", "properties string, geometry struct<coordinates: array<array<array<double>>>>")
+    f = found.select("*", shape.alias("f"))
+    box = g.bounds(F.get("f.geometry.coordinates", F.lit(0)))
+    return f.select(key.alias("feature_index"), *[F.round(box[b], 6).alias(b) for b in ("minx", "miny", "maxx", "maxy")])
+
+
+def _put(spark, path: str, name: str, data: bytes) -> None:
+    """One file in the session's folder, by the Hadoop file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+@query(_BOXES)
+def shapefile_roundtrip(spark, sf_dir):
+    """Zipped shapefiles of at most 500 parcels each, written and read again."""
+
+    def write(features, path):
+        writers.write_shapefiles(features, f"{path}-rows", 500)
+        for r in spark.read.parquet(f"{path}-rows").select("family", "part", "data").collect():  # files of 500 parcels
+            _put(spark, path, f"{r.family}-{r.part:05d}.zip", bytes(r.data))
+
+    found = _back(spark, sf_dir, write, "shapefile")
+    return _boxed(found, F.from_json("f.properties", "parcel double")["parcel"].cast("long"))
+
+
+@query(_BOXES)
+def dxf_roundtrip(spark, sf_dir):
+    """A drawing in UTM zone 39 north, written and read again; entities are in the order of the parcels."""
+
+    def write(features, path):
+        writers.write_dxf(features, f"{path}-text", "EPSG:32639")
+        lines = spark.read.text(f"{path}-text").withColumn("file", F.col("_metadata.file_name")).withColumn("n", F.monotonically_increasing_id()).orderBy("file", "n").collect()
+        _put(spark, path, "drawing.dxf", "\n".join(r.value for r in lines).encode())
+
+    found = _back(spark, sf_dir, write, "dxf", "EPSG:32639")
+    order = lattice.features(spark, sf_dir).where("area_m2 > 0").select(F.col("feature_index").alias("own"), (F.row_number().over(Window.orderBy("feature_index")) - 1).cast("long").alias("feature_index"))
+    return _boxed(found.join(order, "feature_index"), F.col("own"))
+
+
+@query(_BOXES)
+def kml_scan(spark, sf_dir):
+    """A KML file and a KMZ archive of half of the parcels each, read as one dataset."""
+    sound = lattice.parcels(spark, sf_dir).where("y1 > y0").select("parcel_id", "x0", "y0", "x1", "y1").orderBy("parcel_id").collect()
+    out = f"{session_dir(spark)}/kml-{uuid.uuid4().hex}"
+    mark = lambda r: f"<Placemark><name>{r.parcel_id}</name><Polygon><outerBoundaryIs><LinearRing><coordinates>" + " ".join(f"{x / 1e6},{y / 1e6}" for x, y in ((r.x0, r.y0), (r.x1, r.y0), (r.x1, r.y1), (r.x0, r.y1), (r.x0, r.y0))) + "</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"
+    document = lambda rows: ('<kml xmlns="http://www.opengis.net/kml/2.2"><Document>' + "".join(map(mark, rows)) + "</Document></kml>").encode()
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:  # stored as they are: what repeats would look like an archive bomb
+        z.writestr("doc.kml", document(sound[1::2]))
+    _put(spark, out, "a.kml", document(sound[::2]))
+    _put(spark, out, "b.kmz", packed.getvalue())
+    return _boxed(readers.read_dataset(spark, out), F.from_json("f.properties", "name string")["name"].cast("long"))
+
+
+# ---- parcels by hand, drawings, imports -------------------------------------------------------------------------------
+
+_EDITS = [planted._box(0, 0, 500), planted._box(0, 0, 500)[::-1], planted._box(0, 0, 500)[:-1], [planted.at(0, 0), planted.at(500, 500), planted.at(500, 0), planted.at(0, 700), planted.at(0, 0)], [planted.at(0, 0), planted.at(0, 0), planted.at(500, 0), planted.at(500, 500), planted.at(0, 0)], [planted.at(0, 0), planted.at(500, 0), planted.at(900, 0), planted.at(0, 0)], [planted.at(0, 0), planted.at(500, 0, z=1), planted.at(500, 500), planted.at(0, 0)]]
+_FAULTS = (None, None, "open", "crossing", "repeated", "flat", "dimension")
+
+
+@query(
+    "SELECT p_partkey AS parcel, fault, CASE WHEN fault IS NULL THEN true END AS counter_clockwise FROM part JOIN (VALUES "
+    + ", ".join(f"({k}, CAST({'NULL' if f is None else repr(f)} AS VARCHAR))" for k, f in enumerate(_FAULTS))
+    + f") v(kind, fault) ON p_partkey % {len(_FAULTS)} = kind"
+)
+def parcel_validation(spark, sf_dir):
+    """Edited parcels: two sound ones, the second turned round, and five faults."""
+    edits = planted.planted(spark, sf_dir, [{"feature": {"type": "Polygon", "coordinates": [r]}} for r in _EDITS])
+    found = parcels.checked_parcels(edits.select(F.col("feature_index").alias("parcel"), F.lit("Polygon").alias("kind"), F.col("feature").alias("geometry")))
+    ring = F.get(F.from_json("geometry", "coordinates array<array<array<double>>>")["coordinates"], F.lit(0))
+    return found.select("parcel", "fault", F.when(F.col("geometry").isNotNull(), g.orientation(ring) == "ccw").alias("counter_clockwise"))
+
+
+@query("SELECT p_partkey AS drawing, CASE p_partkey % 6 WHEN 1 THEN 'revision' WHEN 2 THEN 'id' WHEN 3 THEN 'vertices' WHEN 4 THEN 'vertex' WHEN 5 THEN 'ring' END AS fault FROM part")
+def drawing_validation(spark, sf_dir):
+    shape = lambda vertices, name="a", kind="parcel": {"id": name, "kind": kind, "vertices": vertices}
+    square = [[51, 35], [52, 35], [52, 36], [51, 36]]
+    bodies = [
+        {"revision": 3, "features": [shape(square), shape(square[:2], "b", "line")]}, {"revision": 1.5, "features": []}, {"revision": 0, "features": [shape(square), shape(square)]},
+        {"revision": 0, "features": [shape(square[:2])]}, {"revision": 0, "features": [shape([*square[:3], [51, 88]])]}, {"revision": 0, "features": [shape([square[0], square[2], square[1], square[3]])]},
+    ]
+    body = F.element_at(F.array(*[F.lit(json.dumps(b)) for b in bodies]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return parcels.drawing_faults(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("drawing"), body.alias("body")))
+
+
+@query("SELECT p_partkey AS feature_index, p_partkey AS out_index FROM part WHERE p_partkey % 5 NOT IN (3, 4)")
+def parcel_match(spark, sf_dir):
+    """Source parcels in an output that has them turned round: with their ids, or without; every fifth is reshaped, every fifth has another id."""
+    box = {"type": "Polygon", "coordinates": [planted._box(0, 0, 500)]}
+    source = planted.planted(spark, sf_dir, [{"feature": {"type": "Feature", "id": "own", "properties": {}, "geometry": box}}])
+    turned = {"type": "Polygon", "coordinates": [planted._box(0, 0, 500)[::-1]]}
+    wider = {"type": "Polygon", "coordinates": [planted._box(0, 0, 501)]}
+    ids = [{"id": "own"}, {"id": "own"}, {}, {"id": "own"}, {"id": "other"}]
+    output = planted.planted(spark, sf_dir, [{"feature": {"type": "Feature", **own, "properties": {}, "geometry": wider if k == 3 else turned}} for k, own in enumerate(ids)])
+    return parcels.matched_parcels(source, output)
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'EPSG:32639' WHEN 1 THEN 'EPSG:32639' END AS source_crs, CASE c_custkey % 4 WHEN 0 THEN false WHEN 1 THEN true END AS partial,
+  CASE c_custkey % 4 WHEN 0 THEN CAST(2 AS BIGINT) WHEN 1 THEN CAST(5 AS BIGINT) END AS occurrences FROM customer"""
+)
+def import_report_check(spark, sf_dir):
+    """Import metadata: with one warning, with two, with a code of another system, and with no count."""
+    w = lambda code, n: {"code": code, "message": "m", "occurrences": n}
+    report = lambda crs, *warnings: json.dumps({"sourceCrs": crs, "targetCrs": "EPSG:4326", "warnings": list(warnings)})
+    texts = [report("EPSG:32639", w("CAD_POLYGON_FALLBACK", 2)), report("EPSG:32639", w("CAD_MISSING_BLOCK", 1), w("CAD_POLYGON_FALLBACK", 4)), report("EPSG:0639", w("CAD_MISSING_BLOCK", 1)), report("EPSG:32639", w("CAD_MISSING_BLOCK", 0))]
+    r = parcels.import_report(F.element_at(F.array(*map(F.lit, texts)), (F.col("c_custkey") % 4 + 1).cast("int")))
+    c = _read(spark, sf_dir, "customer").select("c_custkey", r.alias("r"))
+    total = F.aggregate("r.warnings", F.lit(0).cast("long"), lambda a, x: a + x["occurrences"])
+    return c.select("c_custkey", F.col("r.sourceCrs").alias("source_crs"), F.col("r.partial").alias("partial"), total.alias("occurrences"))
+
+
+@query(
+    """WITH m AS (SELECT user_id % 7 AS file, CASE WHEN event_id % 5 = 0 THEN 'CAD_POLYGON_FALLBACK' WHEN event_id % 5 = 1 THEN 'CAD_MISSING_BLOCK' ELSE 'UNSUPPORTED' END AS code,
+  CASE WHEN event_id % 5 = 0 THEN 'Some polygon boundaries were read using a geometry fallback; review their topology.'
+    WHEN event_id % 5 = 1 THEN 'Block B' || (event_id % 3) || ' does not exist; its contents could not be imported.' END AS message FROM events)
+SELECT file, code, message, count(*) AS occurrences FROM m GROUP BY 1, 2, 3"""
+)
+def import_warning_counts(spark, sf_dir):
+    said = F.when(F.col("event_id") % 5 == 0, F.lit(parcels.POLYGON_FALLBACK)).when(F.col("event_id") % 5 == 1, F.concat(F.lit(" Block B"), (F.col("event_id") % 3).cast("string"), F.lit(" does not exist"))).otherwise(F.lit("odd"))
+    m = _read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("file"), F.when(F.col("event_id") % 5 == 4, "UserWarning").otherwise("RuntimeWarning").alias("category"), said.alias("message"))
+    return parcels.import_warnings(m, ["file"])
 
 
 # ---- reports --------------------------------------------------------------------------------------------------------
@@ -515,6 +775,54 @@ def offset_page(spark, sf_dir):
     return reports.page(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 50, 25)
 
 
+@query("SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 50")
+def offset_page_with_total(spark, sf_dir):
+    return reports.page_with_total(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 50, 25)
+
+
+@query(
+    """SELECT o_orderkey AS file_id, 'f' || o_orderkey AS name, CASE WHEN l_orderkey IS NULL THEN 'unavailable' ELSE 'completed' END AS status, l_orderkey IS NOT NULL AS is_healed, n AS issues_found
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 4"""
+)
+def file_list_with_analysis(spark, sf_dir):
+    """Files of one user; every third has an analysis, and analyses of others do not count."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_custkey") % 10).alias("owner_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), F.lit("x").alias("original_name"), F.lit(1).alias("size_in_bytes"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
+    n = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.count("*").alias("issues_found"))
+    owner = F.when(F.col("file_id") % 3 == 0, F.lit(4)).otherwise(F.lit(5))
+    return reports.file_summaries(o, n.select("file_id", owner.alias("owner_id"), F.lit("completed").alias("heal_status"), "issues_found"), F.lit(4)).select("file_id", "name", "status", "is_healed", "issues_found")
+
+
+@query(
+    f"""SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM customer WHERE c_custkey % 40 >= 5) AS new_users, (SELECT count(*) FROM supplier) AS companies,
+  (SELECT count(*) FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')) AS active_companies,
+  (SELECT count(*) FROM events WHERE event_id % 10 <> 0) AS stored_files, (SELECT count(*) FROM events WHERE event_id % 10 = 0) AS deleted_files"""
+)
+def admin_counts(spark, sf_dir):
+    day = F.expr("timestamp_seconds(1704067200 + 86400 * cast(user_id % 40 as bigint))")  # the first forty days of 2024
+    users = _users(spark, sf_dir).withColumn("created_at", day)
+    companies = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.col("s_suppkey").alias("owner_id"))
+    a = _activity(spark, sf_dir)
+    return reports.admin_counts(users, companies, a, a.where("deleted_at is null"), date(2024, 1, 6), date(2024, 3, 1))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
+def retention(spark, sf_dir):
+    return reports.live(_read(spark, sf_dir, "events"), "ts", F.lit("2024-01-20").cast(dict(_read(spark, sf_dir, "events").dtypes)["ts"]), "7 days").select("event_id")
+
+
+@query("SELECT o_orderkey, greatest(o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN 1000000 ELSE 0 END) AS owner FROM orders UNION ALL SELECT -1, -1")
+def store_upsert(spark, sf_dir):
+    """A versioned table: every fourth row is written again, twice, and one row is new."""
+    path = f"{session_dir(spark)}/store-{uuid.uuid4().hex}"
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("owner"), F.lit(1).alias("at"))
+    store.upsert(o, path, ["o_orderkey"], "at")
+    again = o.where("o_orderkey % 4 = 0")
+    newer = again.withColumn("owner", F.lit(1000000).cast(dict(o.dtypes)["owner"])).withColumn("at", F.lit(3)).unionByName(again.withColumn("owner", -F.col("owner")).withColumn("at", F.lit(2)))
+    extra = spark.createDataFrame([(-1, -1, 9)], "o_orderkey long, owner long, at int").select(*[F.col(c).cast(t) for c, t in o.dtypes])
+    store.upsert(newer.unionByName(extra), path, ["o_orderkey"], "at")
+    return store.latest(spark, path).select("o_orderkey", "owner")
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' OR (o_orderdate = TIMESTAMP '1996-01-01' AND o_orderkey < 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 9")
 def keyset_page(spark, sf_dir):
     return reports.keyset_page(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 8, ("1996-01-01 00:00:00", 5000))
@@ -531,10 +839,10 @@ def semi_join_active(spark, sf_dir):
     return reports.active_companies(companies, _users(spark, sf_dir)).select("company_id", "s_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 1)")
 def anti_join_quarantine(spark, sf_dir):
     c = _read(spark, sf_dir, "customer").select("c_custkey")
-    return c.join(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return c.join(_read(spark, sf_dir, "orders").where("o_orderkey % 8 = 1").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query(f"SELECT c_custkey AS user_id, CASE WHEN {_PLAN} = 'advanced' AND s_suppkey IS NOT NULL THEN s_suppkey END AS company_id FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
@@ -583,9 +891,9 @@ def json_props(spark, sf_dir):
 # ---- event log --------------------------------------------------------------------------------------------------------
 
 
-@query("WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS c FROM events) SELECT user_id, event_id, CAST(seq AS INTEGER) AS seq FROM n WHERE c - seq < 20")
+@query("WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS c FROM events) SELECT user_id, event_id, CAST(seq AS INTEGER) AS seq FROM n WHERE c - seq < 100")
 def event_log_last(spark, sf_dir):
-    return ev.last_events(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 20).select("user_id", "event_id", "seq")
+    return ev.last_events(_read(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "seq")
 
 
 @query("WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) SELECT user_id, event_id, CAST(seq AS INTEGER) AS seq FROM n WHERE seq > 5 + user_id % 3")
@@ -601,6 +909,16 @@ def _job_events(spark, sf_dir) -> DataFrame:
     return e.select(F.floor(F.col("event_id") / 10).alias("job"), "event_id", "ts", F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") * 7 % 9 + 1).cast("int")).alias("event"), "value")
 
 
+@query(
+    """WITH e AS (SELECT CAST(floor(event_id / 10.0) AS BIGINT) AS job, event_id, ['queued', 'processing', 'progress', 'failed', 'progress', 'queued', 'reset', 'completed', 'cancelled'][event_id * 7 % 9 + 1] AS event,
+  row_number() OVER (PARTITION BY CAST(floor(event_id / 10.0) AS BIGINT) ORDER BY ts, event_id) AS seq FROM events)
+SELECT job, event_id, CAST(seq AS INTEGER) AS seq, event FROM e WHERE seq <= coalesce((SELECT min(seq) FROM e t WHERE t.job = e.job AND t.event IN ('completed', 'cancelled', 'failed')), 1000)"""
+)
+def terminal_close(spark, sf_dir):
+    log = ev.numbered(_job_events(spark, sf_dir), "job", "ts", "event_id")
+    return ev.until_terminal(log, "job", "event").select("job", "event_id", "seq", "event")
+
+
 _FOLD = """WITH RECURSIVE e AS (
   SELECT CAST(floor(event_id / 10.0) AS BIGINT) AS job, value, ['queued', 'processing', 'progress', 'failed', 'progress', 'queued', 'reset', 'completed', 'cancelled'][event_id * 7 % 9 + 1] AS event,
     row_number() OVER (PARTITION BY CAST(floor(event_id / 10.0) AS BIGINT) ORDER BY ts, event_id) AS seq FROM events),

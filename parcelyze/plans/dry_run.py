@@ -65,13 +65,12 @@ def neighbour_findings(components: DataFrame) -> DataFrame:
 def line_findings(lines: DataFrame, components: DataFrame, options: Options) -> DataFrame:
     over, under = pair_checks.line_ends(lines, components, options)
     own = lines.select("part", "feature_index", "feature_id", "geometry_type", "gc_path", "root_path", "line")
-    other = lines.select(F.col("part").alias("target_part"), F.col("feature_index").alias("ri"), F.col("feature_id").alias("rid"), F.col("gc_path").alias("rgc"), F.col("root_path").alias("rpath"), F.lit("Line").alias("rkind"))
+    other = lines.select(F.col("part").alias("target_part"), F.lit(pair_checks.LINE).alias("target_ring"), F.col("feature_index").alias("ri"), F.col("feature_id").alias("rid"), F.col("gc_path").alias("rgc"), F.col("root_path").alias("rpath"), F.lit("Line").alias("rkind"))
     ring = components.select("*", F.posexplode("rings").alias("ring", "_r"))
-    last = F.lit(1 << 62)
-    other = other.union(ring.select(last + F.col("component") * pair_checks.RINGS + F.col("ring"), "feature_index", "feature_id", "gc_path", F.concat("polygon_path", F.array("ring")), F.lit("PolygonBoundary")))
+    other = other.union(ring.select("component", "ring", "feature_index", "feature_id", "gc_path", F.concat("polygon_path", F.array("ring")), F.lit("PolygonBoundary")))
     out = None
     for check, found in (("undershoots", under), ("overshoots", over)):
-        f = found.join(own, "part").join(other, "target_part")
+        f = found.join(own, "part").join(other, ["target_part", "target_ring"])
         end = F.when(F.col("endpoint") == "start", F.lit(0)).otherwise(F.size("line") - 1)
         here = F.when(F.col("endpoint") == "start", F.get("line", F.lit(0))).otherwise(F.element_at("line", -1))
         details = [F.col("endpoint"), here.alias("endpointPosition"), F.array("tx", "ty").alias("targetPosition"), F.col("distance_m").alias("distanceMeters"), F.col("mode").alias("detectionMode"), F.col("rkind").alias("relatedTargetKind"), F.col("source_segment").alias("sourceSegmentIndex"), F.col("r_segment").alias("relatedSegmentIndex")]
@@ -120,13 +119,39 @@ def dry_run(features: DataFrame, options: Options = Options()) -> DryRun:
     return DryRun(written(issues, "issues"), flags, components, lines, options)
 
 
+def group_members(issues: DataFrame) -> DataFrame:
+    """(check, code, feature_index): the features of each issue group, related ones included."""
+    return issues.select("check", "code", F.explode(F.array_compact(F.array("feature_index", "related_feature_index"))).alias("feature_index")).distinct()
+
+
 def issue_groups(issues: DataFrame) -> DataFrame:
-    """By check and code: counts, affected features, types, disposition ('Mixed' if there are both), first issue."""
-    both = F.array_compact(F.array("feature_index", "related_feature_index"))
-    g = issues.withColumn("_f", both).withColumn("_ids", F.array_compact(F.array("feature_id", "related_feature_id")))
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    g = g.groupBy("check", "code").agg(F.count("*").alias("issue_count"), flat("_f").alias("affected_feature_indexes"), flat("_ids").alias("affected_feature_ids"), F.array_sort(F.collect_set("geometry_type")).alias("geometry_types"), F.min("disposition").alias("_a"), F.max("disposition").alias("_b"), F.min("issue_index").alias("first_issue"))
-    return g.withColumn("disposition", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise("Mixed")).withColumn("affected_feature_count", F.size("affected_feature_indexes")).drop("_a", "_b")
+    """By check and code: counts, affected features, types, disposition ('Mixed' if there are both), first issue.
+
+    Features are counted, not listed: ``group_members`` has them, a row each, as a group may hold the whole dataset.
+    """
+    keys = ["check", "code"]
+    g = issues.groupBy(*keys).agg(F.count("*").alias("issue_count"), F.array_sort(F.collect_set("geometry_type")).alias("geometry_types"), F.min("disposition").alias("_a"), F.max("disposition").alias("_b"), F.min("issue_index").alias("first_issue"))
+    members = group_members(issues).groupBy(*keys).agg(F.count("*").alias("affected_feature_count"))
+    return g.join(members, keys).withColumn("disposition", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise("Mixed")).drop("_a", "_b")
+
+
+def check_reports(run: DryRun) -> DataFrame:
+    """One row a check: valid, issues, places (distinct rings, holes or parts that have issues), features, unresolved ones."""
+    place = F.struct("feature_index", "gc_path", "coordinate_path", "polygon_path")
+    own = run.issues.groupBy("check").agg(F.count("*").alias("issues"), F.countDistinct(place).alias("places"), F.countDistinct("feature_index").alias("features"), F.count_if(F.col("disposition") == AUTO).alias("auto_repairable"))
+    known = run.issues.sparkSession.createDataFrame([(c, i) for i, c in enumerate(CHECKS)], "check string, position int")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("issues", "places", "features", "auto_repairable")}
+    return known.join(F.broadcast(own), "check", "left").withColumns(zero).withColumn("valid", F.col("issues") == 0)
+
+
+def code_counts(issues: DataFrame) -> DataFrame:
+    """(check, code, n): findings of each code."""
+    return issues.groupBy("check", "code").agg(F.count("*").alias("n"))
+
+
+def unresolved_features(issues: DataFrame) -> DataFrame:
+    """(check, feature_index): the features that each check leaves unresolved; a dry run resolves none."""
+    return issues.select("check", "feature_index").distinct()
 
 
 def summary(run: DryRun) -> DataFrame:

@@ -23,6 +23,7 @@ REPAIR_COUNTERS = (
     "overshootsRepaired", "gapsClosed", "neighborVerticesInserted", "overlapsHealed", "exactDuplicates", "sliversRemovedCount",
 )
 SEATS = 3
+TOTALS = ("bytes", "identified_issues", "healed_issues")
 
 
 # ---- parameters -----------------------------------------------------------------------------------------------
@@ -94,8 +95,19 @@ def article_filters(search: str = "", category: str = "", keyword: str = "") ->
 # ---- activity -------------------------------------------------------------------------------------------------
 
 
+def _instant(table: DataFrame, at: str, day: date) -> Column:
+    """The instant at which a UTC day begins, in the type of a column (one without a zone is in UTC)."""
+    return F.lit(str(day)).cast("timestamp_ntz") if dict(table.dtypes)[at] == "timestamp_ntz" else F.lit(f"{day} 00:00:00Z").cast("timestamp")
+
+
+def utc_day(table: DataFrame, at: str) -> Column:
+    """The UTC day of an instant as text, whatever the session's time zone."""
+    wall = F.col(at) if dict(table.dtypes)[at] == "timestamp_ntz" else F.convert_timezone(None, F.lit("UTC"), F.col(at).cast("timestamp_ntz"))
+    return wall.cast("date").cast("string")
+
+
 def within(table: DataFrame, start: date, end: date, at: str = "created_at") -> DataFrame:
-    return table.where((F.col(at) >= F.lit(start).cast("timestamp")) & (F.col(at) < F.lit(end).cast("timestamp")))
+    return table.where((F.col(at) >= _instant(table, at, start)) & (F.col(at) < _instant(table, at, end)))
 
 
 def _sums() -> list[Column]:
@@ -105,8 +117,7 @@ def _sums() -> list[Column]:
 
 def daily(activity: DataFrame) -> DataFrame:
     """One row a day that has uploads."""
-    day = F.date_format("created_at", "yyyy-MM-dd").alias("date")
-    return activity.groupBy(day).agg(F.count("*").alias("uploads"), F.count_if(F.col("heal_status") == "completed").alias("completed"), F.count_if(F.col("heal_status") == "failed").alias("failed"), *_sums())
+    return activity.groupBy(utc_day(activity, "created_at").alias("date")).agg(F.count("*").alias("uploads"), F.count_if(F.col("heal_status") == "completed").alias("completed"), F.count_if(F.col("heal_status") == "failed").alias("failed"), *_sums())
 
 
 def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
@@ -116,7 +127,7 @@ def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
 
 def zero_filled(days: DataFrame, report: DataFrame) -> DataFrame:
     """Every day, with 0 where the report has no row."""
-    return days.join(report, "date", "left").na.fill(0)
+    return days.join(report, "date", "left").na.fill(0, ["uploads", "completed", "failed", *TOTALS])
 
 
 def status_counts(activity: DataFrame) -> DataFrame:
@@ -138,14 +149,14 @@ def plan_distribution(spark: SparkSession, users: DataFrame, plans: Sequence[str
     """Users of each known plan, 0 included."""
     known = spark.createDataFrame([(p,) for p in plans], "code string")
     counts = users.groupBy(F.col("plan_code").alias("code")).agg(F.count("*").alias("count"))
-    return known.join(counts, "code", "left").na.fill(0)
+    return known.join(counts, "code", "left").na.fill(0, ["count"])
 
 
 def with_usage(users: DataFrame, activity: DataFrame, files: DataFrame, user: str = "user_id") -> DataFrame:
     """Users with their usage and stored files, 0 where they have none."""
     used = usage(activity, user)
     stored = files.groupBy(user).agg(F.count("*").alias("stored_files"))
-    return users.join(used, user, "left").join(stored, user, "left").na.fill(0)
+    return users.join(used, user, "left").join(stored, user, "left").na.fill(0, ["uploads", "stored_files", *TOTALS])
 
 
 def active_companies(companies: DataFrame, users: DataFrame, plan: str = "advanced") -> DataFrame:
@@ -195,6 +206,36 @@ def page(table: DataFrame, order: Sequence[Column], skip: int, limit: int) -> Da
     return table.orderBy(*order).offset(skip).limit(limit)
 
 
+def page_with_total(table: DataFrame, order: Sequence[Column], skip: int, limit: int) -> DataFrame:
+    """A page with ``total``, the rows of the whole table, on each of its rows."""
+    total = F.broadcast(table.agg(F.count("*").alias("total")))  # one row
+    return page(table, order, skip, limit).crossJoin(total)
+
+
+def file_summaries(files: DataFrame, analyses: DataFrame, user: Column) -> DataFrame:
+    """A user's files with the state of their analysis: 'unavailable' and null where there is none or it is another user's.
+
+    files: (file_id, owner_id, name, original_name, size_in_bytes, created_at, updated_at); analyses: (file_id, owner_id,
+    heal_status, issues_found).
+    """
+    own = analyses.where(F.col("owner_id") == user).select("file_id", "heal_status", "issues_found")
+    f = files.where(F.col("owner_id") == user).join(own, "file_id", "left")
+    return f.select("file_id", "name", "original_name", "size_in_bytes", "created_at", "updated_at", F.coalesce("heal_status", F.lit("unavailable")).alias("status"), F.coalesce(F.col("heal_status") == "completed", F.lit(False)).alias("is_healed"), "issues_found")
+
+
+def admin_counts(users: DataFrame, companies: DataFrame, activity: DataFrame, files: DataFrame, start: date, end: date) -> DataFrame:
+    """One row: users, new_users, companies, active_companies, stored_files, deleted_files."""
+    new = users.agg(F.count("*").alias("users"), F.count_if((F.col("created_at") >= _instant(users, "created_at", start)) & (F.col("created_at") < _instant(users, "created_at", end))).alias("new_users"))
+    counted = lambda t, name: t.agg(F.count("*").alias(name))
+    out = new.crossJoin(counted(companies, "companies")).crossJoin(counted(active_companies(companies, users), "active_companies"))
+    return out.crossJoin(counted(files, "stored_files")).crossJoin(counted(activity.where("deleted_at is not null"), "deleted_files"))  # one row each
+
+
+def live(table: DataFrame, at: str, now: Column, keep: str) -> DataFrame:
+    """What retention leaves: rows of at most ``keep`` (an interval, such as 7 days) before now; later ones expire."""
+    return table.where(F.col(at) >= now - F.expr(f"interval {keep}"))
+
+
 def keyset_page(table: DataFrame, at: str, identity: str, limit: int, cursor: tuple | None = None) -> DataFrame:
     """The next ``limit`` + 1 rows, newest first, after a cursor (time, id); the extra row tells that there are more."""
     if cursor is not None:

@@ -361,6 +361,17 @@ def read_gis(spark: SparkSession, path: str, source_crs: str | None = None) -> D
     return files.mapInArrow(run, "path string, feature_index long, feature string")
 
 
+def read_dataset(spark: SparkSession, path: str, source_crs: str | None = None) -> DataFrame:
+    """(feature_index, path, file_index, feature) of all files below a folder as one dataset.
+
+    feature_index runs over all files in order of their paths; file_index is the place in the file.
+    """
+    from ..tables import numbered
+
+    found = read_gis(spark, path, source_crs).withColumnRenamed("feature_index", "file_index")
+    return numbered(found, ["path", "file_index"], "feature_index").select("feature_index", "path", "file_index", "feature")
+
+
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, feature_index, feature) of newline-delimited features, one a line: split and numbered in parallel."""
     from ..tables import numbered

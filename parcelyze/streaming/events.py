@@ -29,6 +29,12 @@ def replay(log: DataFrame, last_seen: Column) -> DataFrame:
     return log.where(F.col("seq") > last_seen)
 
 
+def until_terminal(log: DataFrame, job: str, event: str, terminal: tuple[str, ...] = (*TERMINAL, "failed")) -> DataFrame:
+    """What a follower of each job sees: its numbered events up to the first terminal one; later and repeated ones are cut off."""
+    first = F.min(F.when(F.col(event).isin(*terminal), F.col("seq"))).over(Window.partitionBy(job))
+    return log.withColumn("_end", first).where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))).drop("_end")
+
+
 def next_status(now: str, event: str) -> str:
     """The status after an event: completed and cancelled are final (a job that completed is not cancelled, nor a cancelled one completed);
     failed gives way to processing and completed only; queued counts only right after the dry run."""

@@ -6,8 +6,8 @@ import pytest
 from parcelyze.config import Options
 from parcelyze.operators import decompose as d
 from parcelyze.operators import feature_checks as c
-from parcelyze.operators import repairs
-from parcelyze.plans.dry_run import AUTO, dry_run, issue_groups, summary
+from parcelyze.operators import pair_checks, repairs
+from parcelyze.plans.dry_run import AUTO, check_reports, code_counts, dry_run, group_members, issue_groups, summary, unresolved_features
 from parcelyze.plans.heal import heal, heal_feature, reviewed
 
 O = Options(25.0)
@@ -182,7 +182,12 @@ def test_report(scene):
     order = [c.CHECKS.index(r.check) for r in issues]
     assert order == sorted(order)
     groups = {r.code: r for r in issue_groups(scene.issues).collect()}
-    assert groups["POLYGON_GAP"].affected_feature_indexes == [0, 1] and groups["POLYGON_GAP"].affected_feature_ids == ["1", "2"]
+    assert groups["POLYGON_GAP"].affected_feature_count == 2
+    assert {r.feature_index for r in group_members(scene.issues).where("code = 'POLYGON_GAP'").collect()} == {0, 1}
+    reports = {r.check: r for r in check_reports(scene).collect()}
+    assert len(reports) == 19 and reports["gaps"].issues == 1 and not reports["gaps"].valid and reports["spikes"].valid
+    assert {r.n for r in code_counts(scene.issues).where("code = 'POLYGON_GAP'").collect()} == {1}
+    assert {r.feature_index for r in unresolved_features(scene.issues).where("check = 'overlaps'").collect()} == {2}
     one = summary(scene).first()
     assert one.checks == 19 and one.features == len(SCENE) and one.issues == len(issues) and not one.valid
 
@@ -212,3 +217,31 @@ def test_heal_feature_quarantines_what_it_cannot_repair():
     assert heal_feature(feature({"type": "Nope"}), O)[1] == "geometryTypes"
     fixed, why, n = heal_feature(feature(polygon(box(51, 35, 0.001, 0.001)[:-1][::-1])), O)
     assert why is None and n["ringsAutoClosed"] == 1 and n["ringOrientationsNormalized"] == 1 and c.check_feature(fixed, O)[0] == []
+
+
+def test_withheld_parcels_lose_overlaps_only_and_come_last(spark):
+    """A thin parcel needs a review, so its group is withheld; it overlaps a sound one. A confirmed parcel keeps all of its area."""
+    micro = lambda x, y, w, h: box(51 + x / 1e6, 35 + y / 1e6, w / 1e6, h / 1e6)
+    line = feature({"type": "LineString", "coordinates": [[52.0, 36.0], [52.0012345678912, 36.0]]})
+    features = [feature(polygon(micro(0, 0, 1003, 1000))), feature(polygon(micro(1000, 0, 30, 1000))), line, feature(polygon(micro(9000, 0, 1003, 1000))), feature(polygon(micro(10000, 0, 500, 1000)))]
+    out = heal(table(spark, features), O, confirmed=spark.createDataFrame([(4,)], "feature_index long"))
+    rows = [(r.source_index, json.loads(r.feature)["geometry"]["coordinates"]) for r in out.features.orderBy("out_index").collect()]
+    assert [i for i, _ in rows] == [2, 0, 3, 1, 4]
+    x = {i: sorted({round((p[0] - 51) * 1e6) for p in c[0]}) for i, c in rows if i != 2}
+    assert x == {0: [0, 1000], 1: [1003, 1030], 3: [9000, 10003], 4: [10000, 10500]}
+    assert dict(rows)[2][1] == [52.001234568, 36.0]
+
+
+def test_many_rings_keep_their_own_targets(spark):
+    """A line that ends short of a hole's side far beyond the sixteen-thousandth ring names that ring."""
+    n = 140
+    holes = [[[51 + i / 1000, 35 + j / 1000], [51 + i / 1000, 35 + (j + 0.4) / 1000], [51 + (i + 0.4) / 1000, 35 + (j + 0.4) / 1000], [51 + (i + 0.4) / 1000, 35 + j / 1000], [51 + i / 1000, 35 + j / 1000]] for i in range(n) for j in range(n)]
+    assert len(holes) > 1 << 14
+    parts = component_rows = [(0, None, None, 0, [], "Polygon", [], [box(50.9, 34.9, 0.5, 0.5), *holes], 50.9, 34.9, 51.4, 35.4)]
+    components = spark.createDataFrame(component_rows, d.COMPONENTS)
+    last = holes[-1][0]
+    lines = spark.createDataFrame([(1, None, None, d.PARTS, [], "LineString", [], [[last[0] - 0.0001, last[1] + 0.0002], [last[0] - 1e-7, last[1] + 0.0002]])], d.LINES)
+    _, under = pair_checks.line_ends(lines, components, O)
+    assert [(r.target_part, r.target_ring) for r in under.collect()] == [(0, len(holes))] and parts
+    with pytest.raises(ValueError):
+        d._number(1, d.PARTS)

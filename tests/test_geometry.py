@@ -107,3 +107,37 @@ def test_coordinate_systems():
     for bad in ("EPSG:2154", "WGS84", "", None):
         with pytest.raises(ValueError):
             crs.parse(bad)
+
+
+def test_segments_meet_as_plain_fractions_say():
+    """Against exact rational arithmetic on small whole coordinates."""
+    from fractions import Fraction
+
+    rng = random.Random(3)
+
+    def plain(a, b, c, d):
+        cross = lambda u, v: u[0] * v[1] - u[1] * v[0]
+        sub = lambda u, v: (u[0] - v[0], u[1] - v[1])
+        r, s, q = sub(b, a), sub(d, c), sub(c, a)
+        if cross(r, s):
+            t, u = Fraction(cross(q, s), cross(r, s)), Fraction(cross(q, r), cross(r, s))
+            return None if not (0 <= t <= 1 and 0 <= u <= 1) else "Crossing" if 0 < t < 1 and 0 < u < 1 else "Touching"
+        if cross(q, r):
+            return None
+        k = 0 if r[0] else 1
+        lo, hi = max(min(a[k], b[k]), min(c[k], d[k])), min(max(a[k], b[k]), max(c[k], d[k]))
+        return None if hi < lo else "Touching" if hi == lo else "Overlapping"
+
+    pairs = []
+    while len(pairs) < 4000:
+        v = [(rng.randint(0, 4), rng.randint(0, 4)) for _ in range(4)]
+        if v[0] != v[1] and v[2] != v[3]:
+            pairs.append(v)
+    kind, at, to = p.meetings(*(np.array([v[k] for v in pairs], float) for k in range(4)))
+    assert [p.MEETINGS[k] for k in kind] == [plain(*v) for v in pairs]
+    for v, k, x, y in zip(pairs, kind, at, to):
+        if k:
+            assert p.closest_on_segment(np.array([x]), np.array([v[0]], float), np.array([v[1]], float))[2][0] < 1e-6
+            assert p.closest_on_segment(np.array([x]), np.array([v[2]], float), np.array([v[3]], float))[2][0] < 1e-6
+        if k == p.OVERLAPPING:
+            assert (x != y).any() and ((y - x) @ (np.array(v[1]) - v[0])) > 0

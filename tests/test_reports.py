@@ -60,10 +60,10 @@ def test_box_pairs_of_all_sizes(spark):
         rows.append((i, None if i % 3 else "a", float(x), float(y), float(x + w), float(y + h)))
     df = spark.createDataFrame(rows, "i long, layer string, minx double, miny double, maxx double, maxy double")
     right = df.select(F.col("i").alias("j"), "layer", "minx", "miny", "maxx", "maxy")
-    got = [(r.i, r.j) for r in box_pairs(df, right, 0.3, ["layer"]).collect()]
+    got = [(r.i, r.j) for r in box_pairs(df, right, ["layer"]).collect()]
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]}
     assert len(got) == len(set(got)) and set(got) == want
-    plan = box_pairs(df, right, 0.3, ["layer"])._jdf.queryExecution().executedPlan().toString()
+    plan = box_pairs(df, right, ["layer"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 

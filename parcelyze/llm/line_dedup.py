@@ -266,10 +266,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = some.mapInArrow(_chunks(held), "doc_id long, text_key long, text_mark long, place long, hash long, bytes binary")
     if held is None:
         found = found.join(twice.hint("merge"), "hash", "left_semi").select(_FOUND)
-    found = written(found, "found", "zstd")
+    found = written(found, "found")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_mark", "text_key", "place")
     first = found.groupBy("hash", "bytes").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("hash", "bytes", F.col("kept.text_key").alias("kept_key"), F.col("kept.text_mark").alias("kept_mark"), F.col("kept.place").alias("kept_place")), "first", "zstd")
+    first = written(first.select("hash", "bytes", F.col("kept.text_key").alias("kept_key"), F.col("kept.text_mark").alias("kept_mark"), F.col("kept.place").alias("kept_place")), "first")
     again = found.join(first.hint("merge"), ["hash", "bytes"]).where("text_key <> kept_key or text_mark <> kept_mark or place <> kept_place")
     # A row that repeats an id and a text gives its places again: one of them begins or ends a run.
     run = Window.partitionBy(*_KEYS).orderBy("place")
@@ -283,6 +283,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = some.join(F.broadcast(asked) if few else asked.hint("merge"), _KEYS).select(*_KEYS, "text", "asked")
     told = written(told.mapInArrow(_surroundings, "kept_key long, kept_mark long, kept_place long, side int, beside binary").dropDuplicates([*kept, "side"]), "told")
     runs = ends.join(told.hint("merge"), [*kept, "side"]).groupBy(*_KEYS).agg(F.collect_list(F.struct("place", "side", "beside")).alias("runs"))
-    runs = written(runs, "runs", "zstd")
+    runs = written(runs, "runs")
     drop_written(twice, found, first, ends, asked, told)
     return rows.join(runs.hint("merge"), _KEYS, "left").select("doc_id", "text", "runs").mapInArrow(_cut(least_words), SCHEMA)

@@ -5,8 +5,8 @@ box of a pair looks at the cells of each coarser level that occurs; the coarser
 That is an equi-join on (keys, level, cell) whose fan-out is bounded for boxes of any size. A pair is reported in one
 cell only: the one that holds the lower left corner of the two boxes' common part; so no ``distinct`` is needed.
 Null-safe on the keys. The finest cells fit the smaller boxes (the lower quartile of the extents), so that a dense place under
-large boxes does not fill a cell; levels are the logarithm of the largest extent over that. Both are one row, worked out
-in the same plan and broadcast: nothing is collected.
+large boxes does not fill a cell; levels are the logarithm of the largest extent over that. Either side is read several times, so it
+is written first; the size and the levels are one row of an aggregate over what is written.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
@@ -26,22 +28,20 @@ def _extent() -> Column:
     return F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
 
 
-def _grid(*sides: DataFrame) -> DataFrame:
-    """One row: the finest cell's size, and the levels that occur."""
-    extents = sides[0].select(_extent().alias("_extent"))
-    for other in sides[1:]:
-        extents = extents.union(other.select(_extent()))
-    cell = F.greatest(F.coalesce(F.percentile_approx("_extent", 0.25, 100), F.lit(0.0)), F.lit(_FINEST))
-    one = extents.agg(cell.alias("_cell"))
-    return F.broadcast(extents.crossJoin(F.broadcast(one)).agg(F.first("_cell").alias("_cell"), F.collect_set(_level(F.col("_extent"))).alias("_levels")))
+def _grid(left: DataFrame, right: DataFrame) -> tuple[float, list[int]]:
+    """The finest cell's size, and the levels that occur."""
+    extents = left.select(_extent().alias("extent")).union(right.select(_extent()))
+    cell = max(extents.agg(F.percentile_approx("extent", 0.25, 100)).first()[0] or 0.0, _FINEST)
+    levels = extents.select(_level(F.col("extent"), cell).alias("level")).agg(F.collect_set("level")).first()[0]
+    return cell, sorted(levels)
 
 
-def _level(extent: Column) -> Column:
-    return F.when(extent <= F.col("_cell"), F.lit(0)).otherwise(F.ceil(F.log2(extent / F.col("_cell"))).cast("int"))
+def _level(extent: Column, cell: float) -> Column:
+    return F.when(extent <= cell, F.lit(0)).otherwise(F.ceil(F.log2(extent / cell)).cast("int"))
 
 
-def _cells(df: DataFrame) -> DataFrame:
-    size = F.col("_cell") * F.pow(F.lit(2.0), F.col("_at"))
+def _cells(df: DataFrame, cell: float) -> DataFrame:
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_at"))
     at = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
     return df.withColumn("_cx", F.explode(at("minx", "maxx"))).withColumn("_cy", F.explode(at("miny", "maxy")))
 
@@ -52,28 +52,32 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str] = ()) -> Da
     left and right carry a box, the keys and other columns; names other than the keys and the box must differ. The result has
     all columns of both sides, the right box as r_minx and so on.
     """
-    grid = _grid(left, right)  # one row
-    own = left.crossJoin(grid).withColumn("_level", _level(_extent()))
-    other = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys]).crossJoin(grid).withColumn("_level", _level(_extent()))
+    left, right = written(left, "probes"), written(right, "boxes")
+    cell, levels = _grid(left, right)
+    known = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    own = left.withColumn("_level", _level(_extent(), cell))
+    other = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys]).withColumn("_level", _level(_extent(), cell))
     renamed = {b: f"r_{b}" for b in BOX}
 
     def side(probe: DataFrame, posted: DataFrame, finer: bool) -> tuple[DataFrame, DataFrame]:
-        later = F.filter("_levels", (lambda v: v > F.col("_level")) if finer else (lambda v: v >= F.col("_level")))
-        p = _cells(probe.withColumn("_at", F.explode(later))).drop("_level", "_levels")
-        q = _cells(posted.withColumn("_at", F.col("_level"))).drop("_level", "_levels", "_cell")
+        later = F.filter(known, (lambda v: v > F.col("_level")) if finer else (lambda v: v >= F.col("_level")))
+        p = _cells(probe.withColumn("_at", F.explode(later)), cell).drop("_level")
+        q = _cells(posted.withColumn("_at", F.col("_level")), cell).drop("_level")
         return p, q
 
-    def met(a: DataFrame, b: DataFrame, cell: str) -> DataFrame:
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
         a, b = a.alias("a"), b.withColumnsRenamed(renamed).alias("b")
         on = (F.col("a._at") == F.col("b._at")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
         for i, k in enumerate(keys):
             on &= F.col(f"a.{k}").eqNullSafe(F.col(f"b._k{i}"))
-        size = F.col(f"{cell}._cell") * F.pow(F.lit(2.0), F.col("a._at"))
+        size = F.lit(cell) * F.pow(F.lit(2.0), F.col("a._at"))
         on &= (F.col("minx") <= F.col("r_maxx")) & (F.col("r_minx") <= F.col("maxx")) & (F.col("miny") <= F.col("r_maxy")) & (F.col("r_miny") <= F.col("maxy"))
         on &= (F.floor(F.greatest("minx", "r_minx") / size) == F.col("a._cx")) & (F.floor(F.greatest("miny", "r_miny") / size) == F.col("a._cy"))
-        drop = ("_at", "_cx", "_cy", "_cell")
+        drop = ("_at", "_cx", "_cy")
         return a.join(b, on).select(*[F.col(f"a.{c}") for c in a.columns if c not in drop], *[F.col(f"b.{c}") for c in b.columns if c not in drop and not c.startswith("_k")])
 
-    fine_left = met(*side(own, other, False), "a")
+    fine_left = met(*side(own, other, False))
+    if len(levels) < 2:
+        return fine_left
     q, p = side(other, own, True)
-    return fine_left.unionByName(met(p, q, "b"))
+    return fine_left.unionByName(met(p, q))

@@ -28,7 +28,7 @@ from ..streaming import events as ev
 from ..tables import session_dir, written
 from . import lattice, planted, reports
 from .dry_run import AUTO, MANUAL, DryRun, check_reports, compact, dry_run, issue_groups, summary
-from .heal import heal, heal_features
+from .heal import Healed, heal, heal_features
 from .lattice import PARCELS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,8 +309,22 @@ members AS (SELECT DISTINCT "check", code, m FROM (SELECT "check", code, f AS m
 )
 
 
-def _lattice_run(spark, sf_dir) -> DryRun:
-    return dry_run(lattice.features_json(spark, sf_dir), Options())
+#: The written reports of a session: what a job has found is read again, not found again, by the queries around it.
+_kept: dict[tuple[str, str, str], DryRun | Healed] = {}
+
+
+def _lattice_run(spark, sf_dir, again: bool = False) -> DryRun:
+    key = ("dry run", spark.sparkContext.applicationId, sf_dir)
+    if again or key not in _kept:
+        _kept[key] = dry_run(lattice.features_json(spark, sf_dir), Options())
+    return _kept[key]
+
+
+def _lattice_healed(spark, sf_dir, again: bool = False) -> Healed:
+    key = ("healed", spark.sparkContext.applicationId, sf_dir)
+    if again or key not in _kept:
+        _kept[key] = heal(lattice.features_json(spark, sf_dir), Options())
+    return _kept[key]
 
 
 @query(
@@ -319,7 +333,7 @@ def _lattice_run(spark, sf_dir) -> DryRun:
   CASE WHEN min(disposition) = max(disposition) THEN min(disposition) ELSE 'Mixed' END AS disposition, min(issue_index) AS first_issue FROM issues i GROUP BY "check", code"""
 )
 def issue_group_report(spark, sf_dir):
-    run = _lattice_run(spark, sf_dir)
+    run = _lattice_run(spark, sf_dir, again=True)
     return issue_groups(run.issues).select("check", "code", "issue_count", "affected_feature_count", "disposition", "first_issue")
 
 
@@ -391,7 +405,7 @@ h AS (
   CAST(CASE WHEN apart THEN 10 ELSE 5 END AS INTEGER) AS positions FROM h WHERE NOT gone"""
 )
 def heal_pipeline(spark, sf_dir):
-    return _measures(heal(lattice.features_json(spark, sf_dir), Options()).features, "out_index", "source_index")
+    return _measures(_lattice_healed(spark, sf_dir, again=True).features, "out_index", "source_index")
 
 
 @query(
@@ -399,7 +413,7 @@ def heal_pipeline(spark, sf_dir):
     + """SELECT * FROM (SELECT 'overlapsHealed' AS counter, count(*) AS n FROM cut UNION ALL SELECT 'gapsClosed', count(*) FROM closed UNION ALL SELECT 'ringOrientationsNormalized', count(*) FROM parcels WHERE y1 > y0 AND winding = 'cw') WHERE n > 0"""
 )
 def heal_counters(spark, sf_dir):
-    return heal(lattice.features_json(spark, sf_dir), Options()).counts.where("n > 0")
+    return _lattice_healed(spark, sf_dir).counts.where("n > 0")
 
 
 #: Scenes far from each other, by a part's number: two parcels with a gap; a sliver beside a parcel; parcels that overlap; a vertex

@@ -4,7 +4,7 @@ A bounded sample of ``pivots`` vectors is the only thing fitted. Each vector is
 ``prefix`` nearest pivots. Rows are dealt to blocks of about ``block_rows``; a block holds inverted files: each pivot's
 list has the vectors that name it, with the rank they give it. A query adds up, over the lists of its own pivots,
 what their ranks have in common: the footrule distance of the two prefixes, up to a constant, where a pivot outside
-a prefix has the rank ``prefix``. The ``share`` nearest by footrule of each block (at least ``least``) are reranked by
+a prefix has the rank ``prefix``. The ``share`` nearest by footrule of each block (at least ``k``) are reranked by
 the true measure, and the best ``k`` of all blocks are the answer. Every row is indexed; the query set meets the
 blocks of rows as packed blocks, joined by their numbers, so no pair of vectors is ever a row.
 
@@ -14,7 +14,7 @@ sqrt(1 - (norm / largest norm)^2), which makes the nearest there the largest inn
 Defined results. Vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite components
 take no part, as query or candidate, nor do rows without an id. A query's own row (its id) is no candidate; ids
 that repeat are separate candidates. Ties go to the smaller id. With fewer candidates than ``k`` all are returned.
-An empty table gives an empty result. Other columns are ignored.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,14 +71,14 @@ class Block:
         self.weight = (self.prefix - order % self.prefix).astype(np.int64)  # prefix - rank
         self.bounds = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
 
-    def search(self, own_id: int, vector: np.ndarray, named: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own_id: int, vector: np.ndarray, named: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best ``k`` after reranking."""
         a, b = self.bounds[named], self.bounds[named + 1]
         at = np.concatenate([np.arange(x, y) for x, y in zip(a, b)])
         mine = np.repeat(self.prefix - np.arange(len(named)), b - a)
         common = np.bincount(self.rows[at], np.minimum(self.weight[at], mine), len(self.ids))
         n = len(self.ids)
-        take = max(least, math.ceil(share * n))
+        take = max(k + 1, math.ceil(share * n))  # the query itself may be among them
         if take < n:
             key = common * n + np.arange(n, 0, -1)  # among equals the smaller id
             rows = np.sort(np.argpartition(-key, take - 1)[:take])
@@ -117,7 +117,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _search(held, k: int, share: float, least: int, prefix: int):
+def _search(held, k: int, share: float, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, largest = held.value
         width = pivots.shape[1] - 1
@@ -126,14 +126,14 @@ def _search(held, k: int, share: float, least: int, prefix: int):
                 block = Block(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, width), pivots, largest, prefix)
                 qids, queries = np.frombuffer(qids, np.int64), np.frombuffer(queries, np.float64).reshape(-1, width)
                 named = prefixes(unit(queries, largest, True), pivots, block.prefix)
-                found = [block.search(i, v, p, k, share, least) for i, v, p in zip(qids.tolist(), queries, named)]
+                found = [block.search(i, v, p, k, share) for i, v, p in zip(qids.tolist(), queries, named)]
                 row = [[{"vec_id": int(i), "score": float(s)} for i, s in zip(*f)] for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(row, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))], ["query_id", "found"])
 
     return run
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, pivots: int = 1024, prefix: int = 64, share: float = 0.15, least: int = 2000, block_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, pivots: int = 1024, prefix: int = 64, share: float = 0.15, block_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows with the largest inner product with each query.
 
     rows, queries: tables with the id and vector columns; see the module's text for the other parameters.
@@ -171,7 +171,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, id_col: str = "vec_i
     right = packed(asked, asked_blocks, "queries").toDF("q", "qids", "queries")
     pairs = left.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked_blocks - 1).cast("long"))).alias("q"), "block", "ids", "vectors").join(right, "q")
     pairs = pairs.repartition(data_blocks * asked_blocks, "block", "q").select("ids", "vectors", "qids", "queries")
-    found = written(pairs.mapInArrow(_search(held, k, share, least, prefix), "query_id long, found array<struct<vec_id:long,score:double>>"), "found")
+    found = written(pairs.mapInArrow(_search(held, k, share, prefix), "query_id long, found array<struct<vec_id:long,score:double>>"), "found")
     drop_written(left)
     each = found.select("query_id", F.inline("found"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

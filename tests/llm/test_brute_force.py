@@ -329,13 +329,14 @@ def test_contamination(spark, small, docs, texts):
             assert all(x in t[s.start : s.end].translate(LOWER) for x in (w[min(hit)],)) or len(one[i].spans) > 1
 
 
-def test_nearest_recall_and_scores(spark, small):
-    """The production parameters, but for smaller blocks and no least number of reranked rows, on 5,000 vectors."""
-    e = spark.read.parquet(f"{small.replace('sf0.01', 'sf0.1')}/embeddings.parquet")
+@pytest.mark.parametrize("sf,block", [("sf0.01", 16384), ("sf0.1", 700)])
+def test_nearest_recall_and_scores(spark, small, sf, block):
+    """The production parameters at two sizes, one of them in several blocks."""
+    e = spark.read.parquet(f"{small.replace('sf0.01', sf)}/embeddings.parquet")
     rows = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
     ids, x = np.array(sorted(rows)), np.stack([rows[i] for i in sorted(rows)])
     got = collections.defaultdict(list)
-    for r in nearest.nearest_neighbours(e, e.where("vec_id % 20 = 0"), k=20, least=20, block_rows=1700).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest_neighbours(e, e.where("vec_id % 20 = 0"), k=20, block_rows=block).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hits = total = 0
     for q, found in got.items():

@@ -17,9 +17,11 @@ a second exchange: a shard names one owner among the blocks that hold a pair, ow
 the words' shards add these up. Shards grow in number with the entries sent, blocks with the tokens; a frequent word
 is one entry a block.
 
-Words are identified by 64-bit hashes. Defined results. Null or empty text: the end token only. A null id is scored,
+Words are identified by 64-bit hashes. The model ends at pairs: counts of triples as well would go through the same
+exchanges and about double what is shuffled. Defined results. Null or empty text: the end token only. A null id is scored,
 never learned from, and not held out. Rows that repeat, or repeat an id, give a row each. Without training documents
-N = V = 0 and all words are unknown. An empty table gives an empty result. Other columns are ignored.
+N = V = 0 and all words are unknown. Very long texts are read whole. Ties do not arise. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -209,26 +211,42 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class BackoffAutomaton:
-    """The part of the model that a block's documents can reach.
+    """The part of the model that a block's documents can reach. States are words; the boundary's is that of END.
 
-    root: weight of the root's arc for each word; fail: weight of each word's state's failure arc; arc: weight of each
-    pair's arc, NaN where training lacks the pair.
+    root: weight of the root's arc for each word; fail: weight of each state's failure arc; source, target, arc: each pair's
+    arc, with NaN as its weight where training lacks the pair.
     """
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, after: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, n: int, v: int, discount: float):
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, after: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, boundary: int, n: int, v: int, discount: float):
         c = words.astype(np.float64)
         p = (c + 0.1) / (n + 0.1 * (v + 1))
         left = np.where(c > 0, discount * after.astype(np.float64) / np.maximum(c, 1), 1.0)
+        self.boundary = boundary
         self.root = np.log10(p)
         self.fail = np.log10(left)
         seen = pairs.astype(np.float64)
         direct = np.maximum(seen - discount, 0) / np.maximum(c[pair_context], 1) + left[pair_context] * p[pair_word]
-        self.arc = np.where(pairs > 0, np.log10(direct), np.nan)
-
-    def traverse(self, states: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """The weight of each step: from a state, by the arc of the pair, or by failure and the root's arc."""
-        direct = self.arc[pairs]
-        return np.where(np.isnan(direct), self.fail[states] + self.root[words], direct)
+        self.source, self.target, self.arc = pair_context, pair_word, np.where(pairs > 0, np.log10(direct), np.nan)
+
+    def traverse(self, lengths: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Each text's log10 probability: all texts of a block are read together, a token of each at a step.
+
+        words, pairs: the word and the only pair that could leave its text's state, for each token. A step takes the arc of the
+        state that is carried, or fails to the root and takes the root's arc; either leads to the next state.
+        """
+        order = np.argsort(-lengths, kind="stable")  # texts that are still read stay in front
+        size, at = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        state, total = np.full(len(lengths), self.boundary), np.zeros(len(lengths))
+        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        for t, k in enumerate(live.tolist()):
+            w, p, now = words[at[:k] + t], pairs[at[:k] + t], state[:k]
+            weight = self.arc[p]
+            failed = np.isnan(weight) | (self.source[p] != now)
+            total[:k] += np.where(failed, self.fail[now] + self.root[w], weight)
+            state[:k] = np.where(failed, w, self.target[p])
+        out = np.empty_like(total)
+        out[order] = total
+        return out
 
 
 def _score(n: int, v: int, discount: float):
@@ -238,11 +256,11 @@ def _score(n: int, v: int, discount: float):
         for row in left.to_pylist():
             b = TokenBlock(row["lengths"], row["words"], row["tokens"])
             words, pairs, after = (np.concatenate([expand(a[2], np.uint64) for a in answers if a[0] == kind]) for kind in (1, 2, 3))
-            machine = BackoffAutomaton(words, pairs, after, b.pair_context, b.pair_word, n, v, discount)
+            machine = BackoffAutomaton(words, pairs, after, b.pair_context, b.pair_word, int(np.searchsorted(b.words, END)), n, v, discount)
             starts = np.cumsum(b.lengths) - b.lengths
-            steps = ((words > 0)[b.word_at].astype(np.int64), machine.root[b.word_at], machine.traverse(b.states, b.word_at, b.pair_at))
-            sums = [np.add.reduceat(x, starts) for x in steps]
-            out.append(pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(b.lengths), pa.array(sums[0]), pa.array(np.full(len(b.lengths), n, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            known, base = (np.add.reduceat(x, starts) for x in ((words > 0)[b.word_at].astype(np.int64), machine.root[b.word_at]))
+            score = machine.traverse(b.lengths, b.word_at, b.pair_at)
+            out.append(pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(b.lengths), pa.array(known), pa.array(np.full(len(b.lengths), n, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
     return run
@@ -262,8 +280,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.coalesce(fold != held_out, F.lit(False)).alias("train"), F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text")
     blocks = written(rows.mapInArrow(_pack(block_tokens), _BLOCK), "blocks")
-    entries = blocks.agg(F.sum("entries")).first()[0] or 0
-    shards = max(1, math.ceil(entries / SHARD_ENTRIES))
+    entries, count = blocks.agg(F.coalesce(F.sum("entries"), F.lit(0)), F.count("*")).first()
+    shards, tasks = max(1, math.ceil(entries / SHARD_ENTRIES)), max(2, count)  # a task a block, however many there are
 
     def answered(asked: DataFrame) -> DataFrame:
         return written(asked.repartition(max(shards, 2), "shard").groupBy("shard").applyInArrow(_answer, _ANSWER), "answers")
@@ -272,8 +290,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = {r[0]: r[1:] for r in first.where("block is null").groupBy("kind").agg(F.sum("x"), F.sum("y")).collect()}
     (v, n), (once, twice) = sums.get(1, (0, 0)), sums.get(2, (0, 0))
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    by_block = blocks.select("block", "lengths", "words", "tokens").groupBy("block")
-    owners = first.where("block is not null and kind = 2").select("block", "shard", "owned", "size").groupBy("block")
+    by_block = blocks.select("block", "lengths", "words", "tokens").repartition(tasks, "block").groupBy("block")
+    owners = first.where("block is not null and kind = 2").select("block", "shard", "owned", "size").repartition(tasks, "block").groupBy("block")
     second = answered(by_block.cogroup(owners).applyInArrow(_context_requests(shards), _REQUEST))
-    totals = first.union(second).where("block is not null").select("block", "shard", "kind", "counts").groupBy("block")
-    return blocks.select("block", "ids", "held_out", "lengths", "words", "tokens").groupBy("block").cogroup(totals).applyInArrow(_score(n, v, discount), SCHEMA)
+    totals = first.union(second).where("block is not null").select("block", "shard", "kind", "counts").repartition(tasks, "block").groupBy("block")
+    return blocks.select("block", "ids", "held_out", "lengths", "words", "tokens").repartition(tasks, "block").groupBy("block").cogroup(totals).applyInArrow(_score(n, v, discount), SCHEMA)

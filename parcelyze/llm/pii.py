@@ -233,26 +233,31 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.mapInArrow(_scan, f"doc_id long, found {_FOUND}")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "spans")  # written once, so row numbers hold
     each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", "c.*")
-    seeds = F.min(F.when(F.col("kind") >= 0, F.col("kind")))
-    surfaces = written(each.groupBy("surface").agg(seeds.alias("kind"), F.max("denied").alias("denied")), "surfaces")
-    edges = written(each.select("surface", F.explode("patterns").alias("pattern")).distinct().join(surfaces.select("surface", "denied"), "surface"), "edges")
-    known = written(surfaces.where("kind is not null").select("surface", "kind", F.lit(1.0).alias("score")), "known")
-    seeded = known
-    old: list[DataFrame] = []
+    seed = F.min(F.when(F.col("kind") >= 0, F.col("kind")))
+    surfaces = written(each.groupBy("surface").agg(seed.alias("seed"), F.max("denied").alias("denied")), "surfaces")
+    edges = written(each.select("surface", F.explode("patterns").alias("pattern")).distinct().join(surfaces, "surface"), "edges")
+    kinds = range(len(KINDS))
+    best, old = None, []
     for _ in range(rounds):
-        marked = edges.join(known, "surface", "left")
-        unknown = F.col("kind").isNull()
-        size = marked.groupBy("pattern").agg(F.sum("score").alias("sure"), F.count_if(unknown & (F.col("denied") < 0)).alias("open"))
-        no = edges.where("denied >= 0").groupBy("pattern", F.col("denied").alias("kind")).agg(F.count("*").alias("no"))
-        yes = marked.where("kind is not null").groupBy("pattern", "kind").agg(F.sum("score").alias("yes"), F.count("*").alias("n")).where(F.col("n") >= support)
-        good = yes.join(size, "pattern").join(no, ["pattern", "kind"], "left")
-        good = good.withColumn("confidence", F.col("yes") / (F.col("sure") + F.coalesce("no", F.lit(0)) + F.col("open") * doubt)).where(F.col("confidence") >= confident)
+        # One aggregate holds all that is known of a pattern: by kind, the summed score and number of its instances, and of those denied.
+        kind, score, marked = F.col("seed"), F.when(F.col("seed").isNotNull(), F.lit(1.0)), edges
+        if best is not None:
+            marked = edges.join(best.withColumnsRenamed({"kind": "later", "score": "rated"}), "surface", "left")
+            kind, score = F.coalesce("seed", "later"), F.coalesce(score, F.col("rated"))
+        marked = marked.withColumns({"kind": kind, "score": score})
+        of = lambda k: F.struct(F.lit(k).alias("kind"), F.sum(F.when(F.col("kind") == k, F.col("score"))).alias("yes"), F.count_if(F.col("kind") == k).alias("n"), F.count_if(F.col("denied") == k).alias("no"))
+        open_ = F.count_if(F.col("kind").isNull() & (F.col("denied") < 0))
+        stats = marked.groupBy("pattern").agg(F.sum("score").alias("sure"), open_.alias("open"), F.array(*map(of, kinds)).alias("each"))
+        good = stats.select("pattern", "sure", "open", F.inline("each")).where(F.col("n") >= support)
+        good = good.withColumn("confidence", F.col("yes") / (F.col("sure") + F.col("no") + F.col("open") * doubt)).where(F.col("confidence") >= confident)
+        good = written(good.select("pattern", "kind", "confidence"), "patterns")
         miss = F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(0.999))))
-        scored = edges.join(good.select("pattern", "kind", "confidence"), "pattern").where("denied <> kind").join(seeded.select("surface"), "surface", "left_anti")
+        scored = edges.where("seed is null").join(good, "pattern").where("denied <> kind")
         scored = scored.groupBy("surface", "kind").agg((1.0 - F.exp(miss)).alias("score")).where(F.col("score") >= accept)
-        best = scored.groupBy("surface").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.least(F.max("score"), F.lit(0.9999)).alias("score"))
-        old.append(known)
-        known = written(seeded.unionByName(best), "known")
+        best = written(scored.groupBy("surface").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.least(F.max("score"), F.lit(0.9999)).alias("score")), "best")
+        old += [good, best]
+    known = surfaces.where("seed is not null").select("surface", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    known = known if best is None else known.unionByName(best)
     span = F.struct((-F.col("score")).alias("low"), (F.col("start") - F.col("end")).alias("short"), "start", "end", F.col("as").alias("kind"))
     added = each.where(f"kind < 0 or kind >= {BASE}").drop("kind").join(known.withColumnRenamed("kind", "as"), "surface").where("as <> denied").groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"))
     # The best first; what overlaps a better one goes. A row's candidates are few.
@@ -260,7 +265,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = F.aggregate("spans", none, lambda acc, x: F.when(F.exists(acc, lambda y: _overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
     plain = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     added = written(added.select("row", F.array_sort(F.transform(kept, plain)).alias("added")), "added")
-    drop_written(*old, known, edges, surfaces)
+    drop_written(*old, edges, surfaces)
     base = F.transform(F.filter("found", lambda c: (c["kind"] >= 0) & (c["kind"] < BASE)), plain)
     empty = F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)")
     return rows.select("row", "doc_id", F.array_sort(base).alias("base")).join(added, "row", "left").select("doc_id", "base", F.coalesce("added", empty).alias("added"))

@@ -5,7 +5,8 @@ the lineage stays short. Rounds grow with the logarithm of the longest path; the
 nothing.
 
 A hub (a node with more than one in ``HUBS`` of all edge ends) does not bring its edges to one task: there are fewer than
-``HUBS`` hubs, so their leasts are broadcast and their edges stay where they are.
+``HUBS`` hubs, so their leasts are broadcast and their edges stay where they are. That is needed in the large step, whose
+centres keep all of their neighbours; the small step moves a node's edges to its least neighbour, by an aggregate.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def _state(edges: DataFrame) -> tuple:
 def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """``edges`` (u, v) with the column m of ``least`` (u, m, n: how many edge ends u has) for its u."""
     most = max(200, ends // HUBS)
+    if (least.agg(F.max("n")).first()[0] or 0) <= most:
+        return edges.join(least.select("u", "m"), "u").select("u", "v", "m")
     hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))  # fewer than HUBS rows
     others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
     return others.select("u", "v", "m").unionByName(edges.join(hubs, "u").select("u", "v", "m"))
@@ -43,8 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _with_least(both.where("v > u"), least, ends).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        pairs = _with_least(large, low, ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(pairs.union(low.select("u", "m")).toDF("u", "v").where("u <> v").distinct(), "edges")
         after = _state(new)
         drop_written(now)

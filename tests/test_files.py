@@ -113,3 +113,40 @@ def test_linework_and_rounding():
     assert w.rounded({"type": "Point", "coordinates": [1.00000000049, 2.0, 3.1234567896]})["coordinates"] == [1.0, 2.0, 3.12345679]
     with pytest.raises(ValueError):
         w.convert([{"type": "Feature", "geometry": None}], "geojson")
+
+
+def _no_rows_to_the_driver(monkeypatch, most):
+    """Lets the driver collect at most so many rows at once."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    whole = DataFrame.collect
+
+    def collect(self):
+        got = whole(self)
+        assert len(got) <= most
+        return got
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+
+
+def _boxes_of(rows):
+    return sorted((r.feature_index, r.minx, r.miny, r.maxx, r.maxy) for r in rows)
+
+
+def test_drawings_do_not_go_through_the_driver(spark, tiny, monkeypatch):
+    from parcelyze.plans import catalogue
+
+    want = _boxes_of(catalogue.shapefile_roundtrip(spark, tiny).toPandas().itertuples())
+    with monkeypatch.context() as m:
+        _no_rows_to_the_driver(m, 50)
+        back = catalogue.dxf_roundtrip(spark, tiny)
+    assert len(want) > 100 and _boxes_of(back.toPandas().itertuples()) == want
+
+
+def test_drawings_of_a_dataset_hold_it_in_order(spark, tmp_path):
+    rows = [(i, json.dumps({"type": "Feature", "properties": {"Layer": f"l{i % 3}"}, "geometry": {"type": "Point", "coordinates": [51.0, i / 10]}})) for i in range(25)]
+    path = f"file://{tmp_path}/d"
+    w.write_drawings(spark.createDataFrame(rows, "feature_index long, feature string").repartition(3), path, "EPSG:4326", 10)
+    assert sorted(p.name for p in (tmp_path / "d").glob("*.dxf")) == [f"{i:08d}.dxf" for i in range(3)]
+    got = [json.loads(x.feature)["geometry"]["coordinates"][1] for x in r.read_dataset(spark, path, "EPSG:4326").orderBy("feature_index").collect()]
+    assert got == [i / 10 for i in range(25)]

@@ -245,3 +245,26 @@ def test_many_rings_keep_their_own_targets(spark):
     assert [(r.target_part, r.target_ring) for r in under.collect()] == [(0, len(holes))] and parts
     with pytest.raises(ValueError):
         d._number(1, d.PARTS)
+
+
+def test_slivers_are_found_without_the_checks_that_have_no_say(monkeypatch):
+    thin, wide = feature(polygon(box(51, 35, 0.000002, 0.001))), feature(polygon(box(51, 35, 0.001, 0.001)))
+    odd = [feature(None), {"type": "Feature"}, feature(polygon(box(51, 35, 0.001, 0.001)[:2])), feature({"type": "Point", "coordinates": [51, 35]})]
+    want = [[x for x in c.check_feature(f, O)[0] if x[0] == "slivers"] for f in [thin, wide, *odd]]
+
+    def fail(*_):
+        raise AssertionError("not needed for slivers")
+
+    for name in ("self_intersections", "spikes", "coordinate_precision", "duplicate_vertices", "invalid_holes"):
+        monkeypatch.setattr(c, name, fail)
+    assert [c.check_slivers(f, O)[0] for f in [thin, wide, *odd]] == want and len(want[0]) == 1 and want[1] == []
+
+
+def test_line_ends_are_solved_on_plain_rows():
+    from parcelyze.operators.pair_checks import _line_end
+
+    row = {"part": 1, "endpoint": "end", "probe": "point", "target_part": 7, "target_ring": 0, "is_line": False, "r_segment": 2, "source_segment": None, "length_m": 40.0, "reach_m": 1.0, "distance_m": O.tolerance_m / 2, "tx": 51.0, "ty": 35.0, "fraction": 0.5}
+    line = row | {"is_line": True, "target_part": 9, "target_ring": -1}
+    found = _line_end(O)([row, line])
+    assert [(f["code"], f["target_part"], f["mode"], f["sure"], f["source_segment"]) for f in found] == [("LINE_UNDERSHOOT", 9, "Tolerance", True, None)]
+    assert _line_end(O)([row, row | {"distance_m": 0.0}]) == []

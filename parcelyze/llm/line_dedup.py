@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Words, byte_spans, drop_written, mix, slices, small_batches, written
+from .shared import SPACE, Words, byte_spans, drop_written, mix, slices, small_batches, word_bounds, written
 
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 #: Repeated hashes that a map of bits is made of at most, and run ends that are broadcast at most.
@@ -42,7 +42,7 @@ MOST_MAPPED, MOST_ENDS = 1 << 24, 1 << 20
 REACH = 64
 
 SCHEMA = "doc_id long, n_lines long, lines_removed long, n_words long, words_removed long, text string"
-_FOUND = ["doc_id", "text_key", "text_mark", "place", "hash", "bytes"]
+_FOUND = ["doc_id", "text_key", "text_mark", "head", "tail", "hash", "bytes"]
 _KEYS = ["text_key", "text_mark"]
 _BEFORE, _AFTER = 0, 1
 
@@ -123,7 +123,10 @@ def _mapped(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _chunks(held):
-    """(doc_id, text_key, text_mark, text) -> a row for each chunk, of those in the map if there is one (``_FOUND``)."""
+    """(doc_id, text_key, text_mark, text) -> a row for each chunk, of those in the map if there is one (``_FOUND``).
+
+    head, tail: the chunk's first word and that after its last, by their numbers in the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +135,8 @@ def _chunks(held):
                 some = np.arange(len(c.hashes)) if held is None else np.flatnonzero(_mapped(c.hashes, held.value))
                 rows = np.repeat(np.arange(j - i), np.diff(c.first))[some]
                 own = [batch.column(k).slice(i, j - i).take(pa.array(rows)) for k in range(3)]
-                place = pa.array(some - c.first[rows])
-                yield pa.RecordBatch.from_arrays([*own, place, pa.array(c.hashes[some].view(np.int64)), byte_spans(raw, c.starts[some], c.ends[some])], _FOUND)
+                head, tail = (pa.array((x[some] - c.words.first[rows]).astype(np.int32)) for x in (c.head, c.tail))
+                yield pa.RecordBatch.from_arrays([*own, head, tail, pa.array(c.hashes[some].view(np.int64)), byte_spans(raw, c.starts[some], c.ends[some])], _FOUND)
 
     return run
 
@@ -149,20 +152,20 @@ def _bits(twice: DataFrame, n: int) -> np.ndarray:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, text_mark, text, asked: places and sides) -> the words beside each place asked for."""
+    """(text_key, text_mark, text, asked: numbers of words and sides) -> the words beside each place asked for."""
     for batch in batches:
         asked = batch.column(3).to_pylist()
         for i, j, raw, at in slices(batch.column(2)):
-            c = Chunks(raw, at)
-            w, out = c.words, []
+            starts, ends, first = word_bounds(raw, at)
+            out = []
             for r in range(j - i):
-                a, b = int(w.first[r]), int(w.first[r + 1])
+                a, b = int(first[r]), int(first[r + 1])
                 for x in asked[i + r]:
-                    k = int(c.first[r]) + x["place"]
-                    p, q = (max(a, int(c.head[k]) - REACH), int(c.head[k])) if x["side"] == _BEFORE else (int(c.tail[k]), min(b, int(c.tail[k]) + REACH))
-                    out.append((r, x["place"], x["side"], raw[w.starts[p] : w.ends[q - 1]].tobytes() if q > p else b""))
+                    k = a + x["at"]
+                    p, q = (max(a, k - REACH), k) if x["side"] == _BEFORE else (k, min(b, k + REACH))
+                    out.append((r, x["at"], x["side"], raw[starts[p] : ends[q - 1]].tobytes() if q > p else b""))
             own = [batch.column(k).slice(i, j - i).take(pa.array([o[0] for o in out], pa.int64())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())], ["kept_key", "kept_mark", "kept_place", "side", "beside"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())], ["kept_key", "kept_mark", "kept_at", "side", "beside"])
 
 
 def common_head(a: list[bytes], b: list[bytes]) -> int:
@@ -175,15 +178,14 @@ def common_head(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def _gone(c: Chunks, raw: np.ndarray, row: int, ends: list[dict], least_words: int) -> np.ndarray:
-    """Which words of a row go. ends: the places and sides of runs' ends, and what stands there beside the first occurrence."""
-    w = c.words
-    a, b, base = int(w.first[row]), int(w.first[row + 1]), int(c.first[row])
-    said = lambda p, q: [raw[x:y].tobytes() for x, y in zip(w.starts[p:q].tolist(), w.ends[p:q].tolist())]
+def _gone(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, a: int, b: int, ends: list[dict], least_words: int) -> np.ndarray:
+    """Which of the words a to b, a text's own, go. starts, stops: byte positions of words; ends: the runs' ends, by the number of
+    the first word in or behind, their sides, and what stands there beside the first occurrence."""
+    said = lambda p, q: raw[starts[p] : stops[q - 1]].tobytes().split() if p < q else []
     out = np.zeros(b - a, bool)
-    heads, tails = (sorted((r["place"], r["beside"]) for r in ends if r["side"] == side) for side in (_BEFORE, _AFTER))
+    heads, tails = (sorted((r["at"], r["beside"]) for r in ends if r["side"] == side) for side in (_BEFORE, _AFTER))
     for (first, before), (last, after) in zip(heads, tails):
-        begin, end = int(c.head[base + first]), int(c.tail[base + last])
+        begin, end = a + first, a + last
         left, right = before.split(), after.split()
         begin -= common_head(said(max(a, begin - len(left)), begin)[::-1], left[::-1])
         end += common_head(said(end, min(b, end + len(right))), right)
@@ -211,7 +213,7 @@ def _kept(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int, sto
 
 
 def _cut(least_words: int):
-    """(doc_id, text, ends of runs) -> the result's rows. Only texts with runs are chunked again."""
+    """(doc_id, text, ends of runs) -> the result's rows. Only texts with runs are split into words again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,17 +226,17 @@ def _cut(least_words: int):
             ends = batch.column(2).take(pa.array(some)).to_pylist()
             new: dict[int, bytes] = {}
             for i, j, raw, at in slices(texts.take(pa.array(some))):
-                c = Chunks(raw, at)
-                w = c.words
+                starts, stops, first = word_bounds(raw, at)
+                feeds = np.flatnonzero(raw == 10)
                 for r in range(j - i):
-                    gone = _gone(c, raw, r, ends[i + r], least_words)
+                    a, b = int(first[r]), int(first[r + 1])
+                    gone = _gone(raw, starts, stops, a, b, ends[i + r], least_words)
                     if gone.any():
-                        a, b = int(w.first[r]), int(w.first[r + 1])
                         k = int(some[i + r])
                         words_gone[k] = gone.sum()
-                        own = c.lines[a:b]
+                        own = np.searchsorted(feeds, starts[a:b])
                         lines_gone[k] = len(np.unique(own)) - len(np.unique(own[~gone]))
-                        new[k] = _kept(raw, w.starts[a:b], w.ends[a:b], int(at[r]), int(at[r + 1]), gone)
+                        new[k] = _kept(raw, starts[a:b], stops[a:b], int(at[r]), int(at[r + 1]), gone)
             if new:
                 mask = np.zeros(len(texts), bool)
                 mask[list(new)] = True
@@ -263,26 +265,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = written(counts.where("n > 1").select("hash"), "twice")
     n = twice.count()
     held = spark.sparkContext.broadcast(_bits(twice, n)) if n <= most_mapped else None
-    found = some.mapInArrow(_chunks(held), "doc_id long, text_key long, text_mark long, place long, hash long, bytes binary")
+    found = some.mapInArrow(_chunks(held), "doc_id long, text_key long, text_mark long, head int, tail int, hash long, bytes binary")
     if held is None:
         found = found.join(twice.hint("merge"), "hash", "left_semi").select(_FOUND)
     found = written(found, "found")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_mark", "text_key", "place")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_mark", "text_key", "head", "tail")
     first = found.groupBy("hash", "bytes").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("hash", "bytes", F.col("kept.text_key").alias("kept_key"), F.col("kept.text_mark").alias("kept_mark"), F.col("kept.place").alias("kept_place")), "first")
-    again = found.join(first.hint("merge"), ["hash", "bytes"]).where("text_key <> kept_key or text_mark <> kept_mark or place <> kept_place")
-    # A row that repeats an id and a text gives its places again: one of them begins or ends a run.
-    run = Window.partitionBy(*_KEYS).orderBy("place")
-    again = again.select(*_KEYS, "place", "kept_key", "kept_mark", "kept_place")
-    again = again.withColumn("begins", F.coalesce(F.lag("place").over(run) < F.col("place") - 1, F.lit(True))).withColumn("ends", F.coalesce(F.lead("place").over(run) > F.col("place") + 1, F.lit(True)))
-    kept = ["kept_key", "kept_mark", "kept_place"]
-    ends = again.where("begins or ends").select(*_KEYS, "place", *kept, F.explode(F.array_compact(F.array(F.when(F.col("begins"), F.lit(_BEFORE)), F.when(F.col("ends"), F.lit(_AFTER))))).alias("side"))
-    ends = written(ends, "ends")
-    asked = written(ends.select(*kept, "side").distinct().groupBy("kept_key", "kept_mark").agg(F.collect_list(F.struct(F.col("kept_place").alias("place"), "side")).alias("asked")).toDF(*_KEYS, "asked"), "asked")
+    first = written(first.select("hash", "bytes", F.col("kept.text_key").alias("kept_key"), F.col("kept.text_mark").alias("kept_mark"), F.col("kept.head").alias("kept_head"), F.col("kept.tail").alias("kept_tail")), "first")
+    again = found.join(first.hint("merge"), ["hash", "bytes"]).where("text_key <> kept_key or text_mark <> kept_mark or head <> kept_head")
+    # Chunks are adjacent if one begins where the other ends. A row that repeats an id and a text gives its chunks again: one of them begins or ends a run.
+    run = Window.partitionBy(*_KEYS).orderBy("head")
+    again = again.select(*_KEYS, "head", "tail", "kept_key", "kept_mark", "kept_head", "kept_tail")
+    again = again.withColumn("begins", F.coalesce(F.lag("tail").over(run) < F.col("head"), F.lit(True))).withColumn("ends", F.coalesce(F.lead("head").over(run) > F.col("tail"), F.lit(True)))
+    kept = ["kept_key", "kept_mark", "kept_at"]
+    end = lambda side, own: F.struct(F.lit(side).alias("side"), F.col(own).alias("at"), F.col(f"kept_{own}").alias("kept_at"))
+    either = F.array_compact(F.array(F.when(F.col("begins"), end(_BEFORE, "head")), F.when(F.col("ends"), end(_AFTER, "tail"))))
+    ends = written(again.where("begins or ends").select(*_KEYS, "kept_key", "kept_mark", F.inline(either)), "ends")
+    asked = written(ends.select(*kept, "side").distinct().groupBy("kept_key", "kept_mark").agg(F.collect_list(F.struct(F.col("kept_at").alias("at"), "side")).alias("asked")).toDF(*_KEYS, "asked"), "asked")
     few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= most_ends
     told = some.join(F.broadcast(asked) if few else asked.hint("merge"), _KEYS).select(*_KEYS, "text", "asked")
-    told = written(told.mapInArrow(_surroundings, "kept_key long, kept_mark long, kept_place long, side int, beside binary").dropDuplicates([*kept, "side"]), "told")
-    runs = ends.join(told.hint("merge"), [*kept, "side"]).groupBy(*_KEYS).agg(F.collect_list(F.struct("place", "side", "beside")).alias("runs"))
+    told = written(told.mapInArrow(_surroundings, "kept_key long, kept_mark long, kept_at int, side int, beside binary").dropDuplicates([*kept, "side"]), "told")
+    runs = ends.join(told.hint("merge"), [*kept, "side"]).groupBy(*_KEYS).agg(F.collect_list(F.struct("at", "side", "beside")).alias("runs"))
     runs = written(runs, "runs")
     drop_written(twice, found, first, ends, asked, told)
     return rows.join(runs.hint("merge"), _KEYS, "left").select("doc_id", "text", "runs").mapInArrow(_cut(least_words), SCHEMA)

@@ -95,6 +95,22 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) of the words of a slice of texts, as in ``Words``, without hashes."""
+    inside = ~apart[raw]
+    n = len(raw)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < n)]
+    begins[edges] = inside[edges]
+    stops[edges - 1] = inside[edges - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, as 64-bit hashes.
 
@@ -103,19 +119,7 @@ class Words:
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, fold: bool = True):
-        inside = ~apart[raw]
-        n = len(raw)
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        stops = inside.copy()
-        stops[:-1] &= ~inside[1:]
-        edges = offsets[1:-1]
-        edges = edges[(edges > 0) & (edges < n)]
-        begins[edges] = inside[edges]
-        stops[edges - 1] = inside[edges - 1]
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.flatnonzero(stops) + 1
-        self.first = np.searchsorted(self.starts, offsets)
+        self.starts, self.ends, self.first = word_bounds(raw, offsets, apart)
         self.spans = Spans(_LOWER[raw] if fold else raw)
         self.hashes = self.spans.hashes(self.starts, self.ends)
 

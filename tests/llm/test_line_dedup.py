@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from parcelyze.llm import line_dedup
 from parcelyze.llm.queries import QUERIES
 from parcelyze.llm.shared import mix, word_hashes
@@ -165,3 +166,17 @@ def test_the_first_copy_stays_whole_when_others_only_share_a_part(spark):
     rows = [(1, a), (2, f"something else {part} and more"), (3, f"once more {part}")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: a, 2: "something else and more", 3: "once more"}
+
+
+def test_texts_are_not_chunked_again_to_cut_runs(monkeypatch):
+    """Chunks carry the numbers of their words: hashing texts anew took a third of the last pass. A run grows by what is common beside it."""
+    monkeypatch.setattr(line_dedup, "Chunks", None)
+    text = "a b c\nd e f\n\ng h"
+    runs = [{"at": 2, "side": line_dedup._BEFORE, "beside": b"x  b"}, {"at": 5, "side": line_dedup._AFTER, "beside": b"f g y"}]
+    kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("runs", pa.list_(pa.struct([("at", pa.int32()), ("side", pa.int32()), ("beside", pa.binary())])))]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": text, "runs": runs}, {"doc_id": 2, "text": "p q", "runs": None}], pa.schema(kinds))
+    (got,) = line_dedup._cut(3)(iter([batch]))
+    assert [r | {"text": r["text"].split()} for r in got.to_pylist()] == [
+        {"doc_id": 1, "n_lines": 4, "lines_removed": 1, "n_words": 8, "words_removed": 6, "text": ["a", "h"]},
+        {"doc_id": 2, "n_lines": 1, "lines_removed": 0, "n_words": 2, "words_removed": 0, "text": ["p", "q"]},
+    ]

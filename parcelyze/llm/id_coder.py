@@ -17,16 +17,41 @@ import numpy as np
 
 #: Order-2 and order-1 table sizes, order-0 cache size (powers of two) and its groups, whose sums find a place quickly.
 TABLE2, TABLE1, CACHE, GROUP = 1024, 512, 256, 16
-_LOW48 = np.uint64((1 << 48) - 1)
-_TOP32 = np.uint64(1 << 32)
-_W16, _W32 = np.uint64(16), np.uint64(32)
-_ESCAPE_BITS = 16
+_LOW48 = (1 << 48) - 1
+_TOP32 = 1 << 32
+_ESCAPES = 1 << 16
 _STEP = 24  # what a right prediction adds to its weight
 _LIMIT = 4000  # weights are halved beyond
 _FIELD, _HALF, _ONES = 0xFFFF, 0x7FFF7FFF7FFF7FFF, 0x0001000100010001
 _F_HALF, _F_TWELVE = np.float32(0.5), np.float32(12)
 _RUNNING = np.triu(np.ones((GROUP, GROUP), np.float32))  # running sums as a product
 _START = 2 | 2 << 16 | 8 << 32 | 8 << 48
+#: By which orders are right (4: order 2, 2: order 1, 1: order 0): the field of the first of them, or else of the escape, as a shift.
+_SHIFT = np.array([48, 32, 16, 16, 0, 0, 0, 0])
+#: By a confidence, 4 more if it held: what an entry gains (a right prediction gains confidence, a wrong one loses half of it), and
+#: whether its id is lost.
+_GAIN = np.array([0, 0, -1, -2, 1, 1, 1, 0], np.int32)
+_LOST = np.array([True, True, False, False, False, False, False, False])
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b by division of doubles: exact for a below 2^48 and quotients or divisors of at most 2^16, as a quotient is further from
+    the next integer than it is rounded."""
+    return (a / b).astype(np.int64)
+
+
+def _after(entry: np.ndarray, right: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Table entries after an id has come."""
+    case = (entry & 3) | right.view(np.uint8) << 2
+    new = entry + _GAIN.take(case, mode="clip")
+    np.copyto(new, packed, where=_LOST.take(case, mode="clip"))
+    return new
+
+
+def _below(ends: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How many of each row's 16 ends are at most v: the bytes of two words, summed by a product."""
+    words = (ends <= v[:, None]).view(np.uint64) * np.uint64(0x0101010101010101) >> np.uint64(56)
+    return (words[:, 0] + words[:, 1]).astype(np.int64)
 
 
 class Model:
@@ -55,36 +80,36 @@ class Model:
         self._lanes(n)
 
     def predict(self) -> None:
-        """two, one: the ids that orders 2 and 1 name; end2, end1, end0, total: the ends of the mixed intervals."""
+        """two, one: the ids that orders 2 and 1 name; ends: the ends of the mixed intervals, four 16-bit fields, of which total is the last."""
         hashed = self.last * 2654435761
         self.at1 = self.base1 + ((hashed >> 11) & (TABLE1 - 1))
         self.at2 = self.base2 + (((self.last2 * 40503 + hashed) >> 13) & (TABLE2 - 1))
         self.p2, self.p1 = self.next2.take(self.at2, mode="clip"), self.next1.take(self.at1, mode="clip")
         self.two, self.one = self.p2 >> 2, self.p1 >> 2
         self.pair = self.base_w + ((self.p2 & 3) << 2 | (self.p1 & 3))
-        self.w = w = self.weight.take(self.pair, mode="clip")
-        w2, w1 = w & _FIELD, (w >> 16) & _FIELD
-        self.end1 = w2 + w1
-        self.end2 = np.where(self.two == self.one, self.end1, w2)  # agreeing orders' weights add up
-        self.end0 = self.end1 + ((w >> 32) & _FIELD)
-        self.total = self.end0 + (w >> 48)
+        self.w = self.weight.take(self.pair, mode="clip")
+        self.ends = self.w * _ONES  # running sums of the weights, as none takes more than 16 bits
+        self.total = self.ends >> 48
+
+    def interval(self, shift: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the intervals at these shifts; agree: order 2's with order 1's weight added up."""
+        start, width = (self.ends << 16) >> shift & _FIELD, (self.w >> shift) & _FIELD
+        np.copyto(width, (self.ends >> 16) & _FIELD, where=agree)
+        return start, width
 
     def slot(self, ids: np.ndarray) -> np.ndarray:
         return self.base0 + (((ids * 40503) >> 4) & (CACHE - 1))
 
-    def update(self, ids: np.ndarray, slot: np.ndarray, right2: np.ndarray, right1: np.ndarray, right0: np.ndarray) -> None:
-        """right2, right1, right0: whether each order named the id (whichever coded it)."""
-        only1 = right1 & ~right2
-        none2 = ~(right2 | right1)
-        w = self.w + (right2 * _STEP + (only1.astype(np.int64) * (_STEP << 16)) + ((none2 & right0).astype(np.int64) * (_STEP << 32)) + ((none2 & ~right0).astype(np.int64) * (_STEP << 48)))
+    def update(self, ids: np.ndarray, slot: np.ndarray, shift: np.ndarray, right2: np.ndarray, right1: np.ndarray, right0: np.ndarray) -> None:
+        """shift: of the interval that coded the id; right2, right1, right0: whether each order named it."""
+        w = self.w + (_STEP << shift)
         big = np.flatnonzero(self.total > _LIMIT)
         if len(big):
             w[big] = ((w[big] >> 1) & _HALF) + _ONES
         self.weight[self.pair] = w
         packed = (ids << 2).astype(np.int32)
-        # A right prediction gains confidence; a wrong one loses half of it, and its id once it has little.
-        self.next2[self.at2] = np.where(right2, self.p2 + ((self.p2 & 3) < 3), np.where((self.p2 & 3) < 2, packed, self.p2 - 1 - (self.p2 & 1)))
-        self.next1[self.at1] = np.where(right1, self.p1 + ((self.p1 & 3) < 3), np.where((self.p1 & 3) < 2, packed, self.p1 - 1 - (self.p1 & 1)))
+        self.next2[self.at2] = _after(self.p2, right2, packed)
+        self.next1[self.at1] = _after(self.p1, right1, packed)
         # A new id takes over its slot and half of the slot's count.
         old = self.count.take(slot, mode="clip")
         new = np.where(right0, old + _STEP, np.floor(old * _F_HALF) + _F_TWELVE)
@@ -102,27 +127,27 @@ class Model:
         self.last2, self.last = self.last, ids
 
     def group_ends(self, some: np.ndarray) -> np.ndarray:
-        """Running sums of the cache's groups in some lanes."""
-        return (self.group.reshape(self.lanes, GROUP).take(some, axis=0) @ _RUNNING).astype(np.int64)
+        """Running sums of the cache's groups in some lanes; whole numbers."""
+        return self.group.reshape(self.lanes, GROUP).take(some, axis=0) @ _RUNNING
 
     def member_ends(self, group: np.ndarray) -> np.ndarray:
-        """Running sums of the counts within some groups (numbered over all lanes)."""
-        return (self.count.reshape(-1, CACHE // GROUP).take(group, axis=0) @ _RUNNING).astype(np.int64)
+        """Running sums of the counts within some groups (numbered over all lanes); whole numbers."""
+        return self.count.reshape(-1, CACHE // GROUP).take(group, axis=0) @ _RUNNING
 
 
 class _Encoder:
     def __init__(self, lanes: int, most_words: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, (1 << 48) - 1, np.uint64)
+        self.low = np.zeros(lanes, np.int64)
+        self.range = np.full(lanes, (1 << 48) - 1, np.int64)
         self.out = np.zeros((lanes, most_words), np.uint32)
         self.size = np.zeros(lanes, np.int64)
 
-    def put(self, rows: np.ndarray | None, start: np.ndarray, width: np.ndarray | None, total: np.ndarray | None) -> None:
-        """Codes [start, start + width) of total in some lanes (None: all of the first ones); no total: an escaped id."""
-        low, rng = (self.low, self.range) if rows is None else (self.low[rows], self.range[rows])
-        step = rng >> _W16 if total is None else rng // total.astype(np.uint64)
-        low = low + step * start.astype(np.uint64)
-        rng = step if width is None else step * width.astype(np.uint64)
+    def put(self, rows: np.ndarray | None, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
+        """Codes [start, start + width) of total in some lanes (None: all of the first ones)."""
+        low, rng = (self.low, self.range) if rows is None else (self.low.take(rows), self.range.take(rows))
+        step = _quotient(rng, total)
+        low = low + step * start
+        rng = step * width
         over = np.flatnonzero(low > _LOW48)
         if len(over):
             low[over] &= _LOW48
@@ -131,10 +156,11 @@ class _Encoder:
         move = np.flatnonzero(rng < _TOP32)
         if len(move):
             at = move if rows is None else rows[move]
-            self.out[at, self.size[at]] = low[move] >> _W32
-            self.size[at] += 1
-            low[move] = (low[move] << _W16) & _LOW48
-            rng[move] <<= _W16
+            size, moved = self.size[at], low[move]
+            self.out[at, size] = moved >> 32
+            self.size[at] = size + 1
+            low[move] = (moved << 16) & _LOW48
+            rng[move] <<= 16
         if rows is None:
             self.low, self.range = low, rng
         else:
@@ -143,7 +169,7 @@ class _Encoder:
 
 def _finish(enc_out: np.ndarray, size: np.ndarray, low: np.ndarray) -> list[bytes]:
     for k in (32, 16, 0):
-        enc_out[np.arange(len(size)), size] = ((low >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.uint32)
+        enc_out[np.arange(len(size)), size] = ((low >> k) & 0xFFFF).astype(np.uint32)
         size = size + 1
     carry = np.zeros(len(size), np.uint32)
     enc_out = enc_out[:, : int(size.max())]
@@ -170,7 +196,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     enc = _Encoder(len(blocks), 3 * most + 8)
     full_size, full_out = enc.size, enc.out
     live = len(blocks)
-    done_low = np.zeros(len(blocks), np.uint64)
+    done_low = np.zeros(len(blocks), np.int64)
     for t in range(most):
         n = int(np.searchsorted(-lengths, -t, "left"))  # lanes with an id at t
         if n < live:
@@ -183,22 +209,21 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         right2, right1 = model.two == x, model.one == x
         slot = model.slot(x)
         right0 = model.cache.take(slot, mode="clip") == x
-        rest = ~(right2 | right1)
-        start = np.where(right2, 0, np.where(right1, model.end2, np.where(right0, model.end1, model.end0)))
-        stop = np.where(right2, model.end2, np.where(right1, model.end1, np.where(right0, model.end0, model.total)))
-        enc.put(None, start, stop - start, model.total)
-        some = np.flatnonzero(rest & right0)
-        if len(some):
-            at = slot[some]
-            groups, members, line = model.group_ends(some), model.member_ends(at >> 4), np.arange(len(some))
-            width = model.count[at].astype(np.int64)
-            g = (at >> 4) & (GROUP - 1)
-            begin = groups[line, g] - members[:, -1] + members[line, at & 15] - width
-            enc.put(some, begin, width, groups[:, -1])
-        some = np.flatnonzero(rest & ~right0)
-        if len(some):
-            enc.put(some, x[some], None, None)
-        model.update(x, slot, right2, right1, right0)
+        shift = _SHIFT.take(right2.view(np.uint8) << 2 | right1.view(np.uint8) << 1 | right0.view(np.uint8), mode="clip")
+        enc.put(None, *model.interval(shift, right2 & right1), model.total)
+        rest = np.flatnonzero(shift > 16)
+        if len(rest):  # ids of the cache, or escaped ones, which are coded uniformly
+            start, width, total = x.take(rest), np.ones(len(rest), np.int64), np.full(len(rest), _ESCAPES)
+            hit = np.flatnonzero(right0.take(rest))
+            if len(hit):
+                some = rest.take(hit)
+                at = slot.take(some)
+                groups, members, line = model.group_ends(some), model.member_ends(at >> 4), np.arange(0, GROUP * len(some), GROUP)
+                own = model.count.take(at)
+                start[hit] = groups.take(line + ((at >> 4) & (GROUP - 1))) - members[:, -1] + members.take(line + (at & 15)) - own
+                width[hit], total[hit] = own, groups[:, -1]
+            enc.put(rest, start, width, total)
+        model.update(x, slot, shift, right2, right1, right0)
     done_low[:live] = enc.low[:live]
     coded = _finish(full_out, full_size, done_low)
     out: list[bytes] = [b""] * len(blocks)
@@ -213,27 +238,27 @@ class _Decoder:
         self.words = np.zeros((len(data), max(size, default=0) + 4), np.uint16)
         for i, d in enumerate(data):
             self.words[i, : size[i]] = np.frombuffer(d, ">u2")
-        w = self.words[:, :3].astype(np.uint64)
-        self.code = (w[:, 0] << np.uint64(32)) | (w[:, 1] << _W16) | w[:, 2]
-        self.range = np.full(len(data), (1 << 48) - 1, np.uint64)
+        w = self.words[:, :3].astype(np.int64)
+        self.code = (w[:, 0] << 32) | (w[:, 1] << 16) | w[:, 2]
+        self.range = np.full(len(data), (1 << 48) - 1, np.int64)
         self.at = np.full(len(data), 3)
 
-    def value(self, rows: np.ndarray | None, total: np.ndarray | None) -> np.ndarray:
-        code, rng = (self.code, self.range) if rows is None else (self.code[rows], self.range[rows])
-        self.step = rng >> _W16 if total is None else rng // total.astype(np.uint64)
+    def value(self, rows: np.ndarray | None, total: np.ndarray) -> np.ndarray:
+        code, rng = (self.code, self.range) if rows is None else (self.code.take(rows), self.range.take(rows))
+        self.step = _quotient(rng, total)
         self.now = code
-        most = 0xFFFF if total is None else total - 1
-        return np.minimum((code // self.step).astype(np.int64), most)
+        return np.minimum(_quotient(code, self.step), total - 1)
 
-    def take(self, rows: np.ndarray | None, start: np.ndarray, width: np.ndarray | None) -> None:
-        code = self.now - self.step * start.astype(np.uint64)
-        rng = self.step if width is None else self.step * width.astype(np.uint64)
+    def take(self, rows: np.ndarray | None, start: np.ndarray, width: np.ndarray) -> None:
+        code = self.now - self.step * start
+        rng = self.step * width
         move = np.flatnonzero(rng < _TOP32)
         if len(move):
             at = move if rows is None else rows[move]
-            code[move] = (code[move] << _W16) | self.words[at, np.minimum(self.at[at], self.words.shape[1] - 1)].astype(np.uint64)
-            self.at[at] += 1
-            rng[move] <<= _W16
+            next_ = self.at[at]
+            code[move] = ((code[move] << 16) & _LOW48) | self.words[at, np.minimum(next_, self.words.shape[1] - 1)]
+            self.at[at] = next_ + 1
+            rng[move] <<= 16
         if rows is None:
             self.code, self.range = code, rng
         else:
@@ -260,31 +285,35 @@ def decode(data: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             live = n
         model.predict()
         v = dec.value(None, model.total)
-        by2, by1, by0 = v < model.end2, v < model.end1, v < model.end0
-        start = np.where(by2, 0, np.where(by1, model.end2, np.where(by0, model.end1, model.end0)))
-        stop = np.where(by2, model.end2, np.where(by1, model.end1, np.where(by0, model.end0, model.total)))
-        dec.take(None, start, stop - start)
+        agree, end1 = model.two == model.one, (model.ends >> 16) & _FIELD
+        by1, by0 = v < end1, v < ((model.ends >> 32) & _FIELD)
+        by2 = by1 & ((v < (model.w & _FIELD)) | agree)
+        shift = _SHIFT.take(by2.view(np.uint8) << 2 | by1.view(np.uint8) << 1 | by0.view(np.uint8), mode="clip")
+        dec.take(None, *model.interval(shift, by2 & agree))
         x = np.where(by2, model.two, model.one).astype(np.int64)
-        some = np.flatnonzero(by0 & ~by1)
-        if len(some):
-            groups, line = model.group_ends(some), np.arange(len(some))
-            v = dec.value(some, groups[:, -1])
-            g = (groups <= v[:, None]).sum(axis=1)
-            members = model.member_ends(model.base_g[some] + g)
-            before = groups[line, g] - members[:, -1]
-            k = (members <= (v - before)[:, None]).sum(axis=1)
-            at = model.base0[some] + g * 16 + k
-            width = model.count[at].astype(np.int64)
-            dec.take(some, before + members[line, k] - width, width)
-            x[some] = model.cache[at]
-        some = np.flatnonzero(~by0)
-        if len(some):
-            v = dec.value(some, None)
-            dec.take(some, v, None)
-            x[some] = v
+        rest = np.flatnonzero(~by1)
+        if len(rest):
+            total = np.full(len(rest), _ESCAPES)
+            hit = np.flatnonzero(by0.take(rest))
+            some = rest.take(hit)
+            groups, line = model.group_ends(some), np.arange(0, GROUP * len(some), GROUP)
+            total[hit] = groups[:, -1]
+            start = dec.value(rest, total)
+            found, width = start.copy(), np.ones(len(rest), np.int64)
+            if len(hit):
+                v = start.take(hit).astype(np.float32)
+                g = _below(groups, v)
+                members = model.member_ends(model.base_g.take(some) + g)
+                before = groups.take(line + g) - members[:, -1]
+                k = _below(members, v - before)
+                at = model.base0.take(some) + g * 16 + k
+                own = model.count.take(at)
+                start[hit], width[hit], found[hit] = before + members.take(line + k) - own, own, model.cache.take(at)
+            dec.take(rest, start, width)
+            x[rest] = found
         ids[t, :n] = x
         slot = model.slot(x)
-        model.update(x, slot, model.two == x, model.one == x, model.cache.take(slot, mode="clip") == x)
+        model.update(x, slot, shift, model.two == x, model.one == x, model.cache.take(slot, mode="clip") == x)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
     for k, i in enumerate(order):
         out[i] = ids[: lens[k], k].astype(np.uint32)

@@ -41,7 +41,7 @@ MAGIC = b"PTK1"
 BLOCK_IDS = 4096
 SEGMENT_IDS = 6 << 20
 _CACHE_PIECES = 1 << 20
-_TOGETHER = 64
+_TOGETHER = 512
 #: Ids are kept and coded in 16 bits.
 _MOST_IDS = 1 << 16
 
@@ -93,6 +93,9 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > _MOST_IDS:
             raise ValueError(f"the vocabulary has more than {_MOST_IDS} ids")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(_MOST_IDS, bool)  # ids that end a word, where the vocabulary marks them
+        self.closing[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -101,8 +104,22 @@ class PieceTokenizer:
         self.length = np.zeros(0, np.int64)
         self.store = np.zeros(0, np.uint16)
 
-    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        names, first = np.unique(hashes, return_index=True)
+    def _words(self, groups: list[list[str]]) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
+        """(ids of each word, all ids) of groups of words; without the first if it can't be told. Ids that end a word tell it, or else,
+        by a slower call, the words' numbers."""
+        texts = [" ".join(g) for g in groups]
+        for words, text, e in zip(groups, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint16)
+            last = np.flatnonzero(self.closing[ids])
+            if len(last) == len(words) and last[-1] == len(ids) - 1:
+                yield np.diff(last, prepend=-1), ids
+                continue
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
+            yield count if len(count) == len(words) else None, np.array(e.ids, np.uint16)
+
+    def _learn(self, raw: np.ndarray, names: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """names: hashes, each once; first: a piece that has it."""
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
             new = self.known[at] != names
@@ -111,19 +128,18 @@ class PieceTokenizer:
             return
         data = raw.tobytes()
         texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        # Pieces that are one word to the tokenizer go in groups; word numbers tell their ids apart.
+        # Pieces that are one word to the tokenizer go in groups.
         plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"]
         odd = sorted(set(range(len(texts))) - set(plain))
         groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
         length = np.zeros(len(texts), np.int64)
         parts: list[tuple[list[int], np.ndarray]] = []
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
-            count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(group))
-            if len(count) != len(group):
+        for group, (count, ids) in zip(groups, self._words([[texts[i] for i in g] for g in groups])):
+            if count is None:
                 odd += group
                 continue
             length[group] = count
-            parts.append((group, np.array(e.ids, np.uint16)))
+            parts.append((group, ids))
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
             length[i] = len(e.ids)
             parts.append(([i], np.array(e.ids, np.uint16)))
@@ -143,8 +159,9 @@ class PieceTokenizer:
             self._forget()
         starts, ends = pieces(raw, offsets)
         hashes = word_hashes(_LOWER[raw], starts, ends)
-        self._learn(raw, hashes, starts, ends)
-        at = np.searchsorted(self.known, hashes)
+        names, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(raw, names, first, starts, ends)
+        at = np.searchsorted(self.known, names)[which]  # looked up in order, each once
         length = self.length[at]
         ids = self.store[joined_ranges(self.place[at], length)] if len(at) else np.zeros(0, np.uint16)
         ends = np.concatenate([[0], np.cumsum(length)])

@@ -12,6 +12,9 @@ record of the dataset; its bytes, all integers little-endian:
 Records lie in a Parquet dataset with the columns part, segment, n_ids (long) and data, so Spark's committer makes a
 lost task's output vanish, and offsets are summed without reading data. Part and segment order is document order.
 
+Python workers tokenize; segments are coded and read by functions of the session in the executors' JVMs (see ``jvm_coder``).
+``pack_segment`` and ``unpack_segment`` do the same, to the same bytes, without a session.
+
 Words repeat, so only pieces that a task has not met go through the tokenizer: texts are cut at white space, and a
 chunk whose characters are ASCII or Latin-1 letters is cut further where the tokenizer's own pattern would cut it.
 
@@ -34,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jvm_coder
 from .id_coder import decode, encode
 from .shared import joined_ranges, session_dir, slices, small_batches, word_hashes
 
@@ -45,14 +49,15 @@ _TOGETHER = 512
 #: Ids are kept and coded in 16 bits.
 _MOST_IDS = 1 << 16
 
-_CLASS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other ASCII, 4 beyond
+_CLASS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other ASCII, 4 beyond, 5 an apostrophe or bar
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[48:58] = 2
 _CLASS[65:91] = 1
 _CLASS[97:123] = 1
 _CLASS[0x80:] = 4
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_CLASS[[0x27, 0x7C]] = 5
+_CLASS = _CLASS.tobytes()
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,27 +65,33 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = _CLASS[raw]
+    kind = np.frombuffer(bytearray(raw).translate(_CLASS), np.uint8)
     lead = np.flatnonzero(raw[:-1] == 0xC3)
     lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
     kind[lead] = kind[lead + 1] = 1
-    space = kind == 0
-    fresh = np.ones(n, bool)
-    fresh[1:] = space[:-1]
     edges = offsets[1:-1]
-    fresh[edges[edges < n]] = True
-    fresh &= ~space
-    chunk = np.cumsum(fresh, dtype=np.int32)  # 1-based number of each byte's chunk
+    edges = edges[edges < n]
+    begins = kind == 2
+    begins[0] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[edges] = True
+    # From here on, runs of one kind within a row (a digit each) instead of bytes.
+    at = np.flatnonzero(begins)
+    kind = kind[at]
+    solid = kind != 0
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = ~solid[:-1]
+    fresh[np.searchsorted(at, edges)] = True
+    fresh &= solid
+    chunk = np.cumsum(fresh, dtype=np.int32)  # 1-based number of each run's chunk
     odd = np.zeros(int(chunk[-1]) + 1, bool)
-    odd[chunk[~space & ((kind == 4) | (raw == 0x27) | (raw == 0x7C))]] = True  # these stay whole
-    cut = np.zeros(n, bool)
-    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-    begin = fresh | (cut & ~space & ~odd[chunk])
-    starts = np.flatnonzero(begin)
-    stop = np.append(starts[1:], n)
+    odd[chunk[kind >= 4]] = True  # these stay whole
+    begin = fresh | (solid & ~odd[chunk])
     # A piece ends where the next begins or at the space before that.
-    spaces = np.append(np.flatnonzero(space), n)
-    return starts, np.minimum(stop, spaces[np.searchsorted(spaces, starts)])
+    stops = np.flatnonzero(begin | ~solid)
+    kept = begin[stops]
+    stops = at[stops]
+    return stops[kept], np.append(stops[1:], n)[kept]
 
 
 class PieceTokenizer:
@@ -99,10 +110,36 @@ class PieceTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes, ascending
-        self.place = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.store = np.zeros(0, np.uint16)
+        self.known = 0
+        # Hashes, ascending, and the numbers of their pieces: most, and those that came last, as putting new ones among all takes long.
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.place, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used, self.store = 0, np.zeros(1 << 14, np.uint16)
+
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """The numbers of hashed pieces; -1: not known."""
+        found = np.full(len(names), -1)
+        for hashes, numbers in self.tables:
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)
+                np.copyto(found, numbers[at], where=hashes[at] == names)
+        return found
+
+    def _keep(self, names: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        """Adds pieces: their hashes, ascending, how many ids each has, and the ids of all."""
+        first, used = self.known, self.used
+        self.known, self.used = first + len(names), used + len(ids)
+        for name, size in (("place", self.known), ("length", self.known), ("store", self.used)):
+            if size > len(have := getattr(self, name)):
+                setattr(self, name, np.concatenate([have, np.zeros(2 * size - len(have), have.dtype)]))
+        self.place[first : self.known] = used + np.cumsum(length) - length
+        self.length[first : self.known] = length
+        self.store[used : self.used] = ids
+        most, late = self.tables
+        late = _merged(late, (names, np.arange(first, self.known)))
+        if 8 * len(late[0]) > len(most[0]):
+            most, late = _merged(most, late), (late[0][:0], late[1][:0])
+        self.tables = [most, late]
 
     def _words(self, groups: list[list[str]]) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
         """(ids of each word, all ids) of groups of words; without the first if it can't be told. Ids that end a word tell it, or else,
@@ -118,16 +155,10 @@ class PieceTokenizer:
             count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
             yield count if len(count) == len(words) else None, np.array(e.ids, np.uint16)
 
-    def _learn(self, raw: np.ndarray, names: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """names: hashes, each once; first: a piece that has it."""
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
-            new = self.known[at] != names
-            names, first = names[new], first[new]
-        if not len(names):
-            return
+    def _learn(self, raw: np.ndarray, names: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """names: hashes of unknown pieces, ascending; starts, ends: where each occurs."""
         data = raw.tobytes()
-        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())]
         # Pieces that are one word to the tokenizer go in groups.
         plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"]
         odd = sorted(set(range(len(texts))) - set(plain))
@@ -147,28 +178,45 @@ class PieceTokenizer:
         flat = np.zeros(int(ends_in[-1]), np.uint16)
         for group, ids in parts:
             flat[joined_ranges(ends_in[group] - length[group], length[group])] = ids
-        place = len(self.store) + np.cumsum(length) - length
-        order = np.argsort(known := np.concatenate([self.known, names]), kind="stable")
-        self.known = known[order]
-        self.place, self.length = np.concatenate([self.place, place])[order], np.concatenate([self.length, length])[order]
-        self.store = np.concatenate([self.store, flat])
+        self._keep(names, length, flat)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, how many each row has)."""
-        if len(self.known) > _CACHE_PIECES:
+        if self.known > _CACHE_PIECES:
             self._forget()
         starts, ends = pieces(raw, offsets)
-        hashes = word_hashes(_LOWER[raw], starts, ends)
-        names, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        self._learn(raw, names, first, starts, ends)
-        at = np.searchsorted(self.known, names)[which]  # looked up in order, each once
+        if not len(starts):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
+        lower = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
+        coded = pa.array(word_hashes(lower, starts, ends)).dictionary_encode()  # names, each once, and which of them each piece has
+        names, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(names)  # looked up in order
+        ranked = names[order]
+        number = self._find(ranked)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            first = np.empty(len(names), np.int64)
+            first[which[::-1]] = np.arange(len(which) - 1, -1, -1)  # the last to be written is the first piece
+            first = first[order[new]]
+            number[new] = self.known + np.arange(len(new))
+            self._learn(raw, ranked[new], starts[first], ends[first])
+        of_name = np.empty(len(names), np.int64)
+        of_name[order] = number
+        at = of_name[which]
         length = self.length[at]
-        ids = self.store[joined_ranges(self.place[at], length)] if len(at) else np.zeros(0, np.uint16)
+        ids = self.store[joined_ranges(self.place[at], length)]
         ends = np.concatenate([[0], np.cumsum(length)])
         bounds = ends[np.searchsorted(starts, offsets)]
         return ids, np.diff(bounds)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of ascending hashes as one."""
+    hashes = np.concatenate([a[0], b[0]])
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], np.concatenate([a[1], b[1]])[order]
+
+
 _loaded: dict[str, PieceTokenizer] = {}
 
 
@@ -178,14 +226,18 @@ def _tokenizer(path: str) -> PieceTokenizer:
     return _loaded[path]
 
 
+def _head(ids: list[int | None], lengths: np.ndarray, n_ids: int, block_ids: int) -> bytes:
+    """A segment's bytes before its blocks."""
+    head = MAGIC + np.array([block_ids], "<u4").tobytes() + np.array([n_ids], "<u8").tobytes() + np.array([len(ids), -(-n_ids // block_ids)], "<u4").tobytes()
+    return head + np.array([x is not None for x in ids], "u1").tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes() + lengths.astype("<u4").tobytes()
+
+
 def pack_segment(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """The bytes of a segment."""
     blocks = [tokens[i : i + block_ids] for i in range(0, len(tokens), block_ids)]
     coded = encode(blocks)
-    head = MAGIC + np.array([block_ids], "<u4").tobytes() + np.array([len(tokens)], "<u8").tobytes() + np.array([len(ids), len(blocks)], "<u4").tobytes()
-    index = np.array([x is not None for x in ids], "u1").tobytes() + np.array([x or 0 for x in ids], "<i8").tobytes() + lengths.astype("<u4").tobytes()
     sizes = np.array([len(c) for c in coded], "<u4").tobytes() + np.array([zlib.crc32(b.astype("<u4").tobytes()) for b in blocks], "<u4").tobytes()
-    return b"".join([head, index, sizes, *coded])
+    return b"".join([_head(ids, lengths, len(tokens), block_ids), sizes, *coded])
 
 
 def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -219,8 +271,9 @@ def _write(path: str, end_id: int, segment_ids: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            data = pack_segment(names, np.concatenate(lengths), np.concatenate(tokens))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "data"])
+            head, raw = _head(names, np.concatenate(lengths), size, BLOCK_IDS), np.concatenate(tokens).astype("<u2", copy=False)
+            cells = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, raw.nbytes], np.int32)), pa.py_buffer(raw)])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([size], pa.int64()), pa.array([head], pa.binary()), cells], ["part", "segment", "n_ids", "head", "ids"])
 
         for batch in batches:
             known = batch.column(0).to_pylist()
@@ -243,32 +296,24 @@ def _write(path: str, end_id: int, segment_ids: int):
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, segment_ids: int = SEGMENT_IDS) -> None:
     """Writes all documents' ids, in ascending order of their ids, as a dataset of segments at ``out``."""
     small_batches(docs.sparkSession)
+    jvm_coder.register(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     mark = F.xxhash64("text")
     dealt = rows.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark)
-    dealt.mapInArrow(_write(tokenizer_path, end_id, segment_ids), "part int, segment int, n_ids long, data binary").write.parquet(out)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, segment, data in zip(*(c.to_pylist() for c in batch.columns)):
-            names, lengths, tokens = unpack_segment(data)
-            raw = tokens.astype("<u4").tobytes()
-            ends = np.cumsum(lengths)
-            cells = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array([segment] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array([zlib.crc32(c) for c in cells], pa.int64())], ["part", "segment", "doc_id", "inner", "n_tokens", "ids_crc32"])
+    segments = dealt.mapInArrow(_write(tokenizer_path, end_id, segment_ids), "part int, segment int, n_ids long, head binary, ids binary")
+    segments.select("part", "segment", "n_ids", F.call_function(jvm_coder.PACK, "head", "ids").alias("data")).write.parquet(out)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of a dataset of segments, decoded."""
-    small_batches(spark)
+    jvm_coder.register(spark)
     stored = spark.read.parquet(path)
     sizes = stored.groupBy("part", "segment").agg(F.sum("n_ids").alias("n"))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("of_part"))
     parts = parts.select("part", F.coalesce(F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     inner = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     begins = sizes.join(parts, "part").select("part", "segment", (F.col("part_start") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("begin"))
-    docs = stored.select("part", "segment", "data").mapInArrow(_read, "part int, segment int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = stored.select("part", "segment", F.inline(F.call_function(jvm_coder.UNPACK, "data")))
     return docs.join(begins, ["part", "segment"]).select("doc_id", (F.col("begin") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -8,7 +8,8 @@ order was right; where orders 2 and 1 name the same id their weights add up. An
 coded uniformly. A 48-bit range coder with 16-bit output words and carries codes the result.
 
 Vectorised over blocks: one numpy step codes the next id of all blocks, so the cost of a step is shared by all of
-them. Encoder and decoder run the same model on the same integers.
+them. Encoder and decoder run the same model on the same integers. ``IdCoder.java`` is the same coder for executors: what changes
+here changes there, too.
 """
 
 from __future__ import annotations
